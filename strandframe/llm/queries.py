@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity as T
+
+    docs = C.table(spark, sf_dir, "documents")
+    lexicon = T.learn(docs, T.learnable(C.table(spark, sf_dir, "labels")))
+    return T.score(docs, lexicon).select("doc_id", T.held_out().alias("held_out"), "score", "predicted", "n_matches")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -18,6 +26,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
