@@ -59,8 +59,15 @@ def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def map_batches(df: DataFrame, f, schema: str) -> DataFrame:
-    """mapInArrow that leaves out empty batches."""
+#: Rows of one Arrow batch. Whole texts travel in them, and some are very long.
+BATCH_ROWS = 512
+
+
+def map_batches(df: DataFrame, f, schema) -> DataFrame:
+    """mapInArrow over batches of BATCH_ROWS rows at most, which leaves out empty batches."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in f(batches):
