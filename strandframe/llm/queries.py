@@ -19,6 +19,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.score(docs, lexicon).select("doc_id", T.held_out().alias("held_out"), "score", "predicted", "n_matches")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+
+    from . import bpe as B
+
+    docs = C.table(spark, sf_dir, "documents")
+    spec = B.read_spec(public_tokenizers.path(tokenizer))
+    return B.encode(docs, spec, B.build_lexicon(docs, spec), digest=True)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -27,6 +37,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op4_bpe": op4_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
