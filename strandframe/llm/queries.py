@@ -29,6 +29,15 @@ def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.jso
     return B.encode(docs, spec, B.build_lexicon(docs, spec), digest=True)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii as P
+
+    found = P.find_spans(C.table(spark, sf_dir, "documents"))
+    write = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in P.KINDS], F.sha2(write("base"), 256).alias("base_sha256"), write(F.concat("base", "terms")).alias("spans"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -38,6 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_bpe": op4_bpe,
+    "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
