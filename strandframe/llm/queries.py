@@ -29,6 +29,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.jso
     return B.encode(docs, spec, B.build_lexicon(docs, spec), digest=True)
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    pages = extract_pages(C.table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii as P
 
@@ -47,6 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_bpe": op4_bpe,
+    "op7_html": op7_html,
     "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
