@@ -36,6 +36,15 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    # The corpus as a tree: a folder for each source, in it one for each language.
+    docs = C.table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    return scan_licenses(files, keys=("doc_id",))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii as P
 
@@ -55,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_bpe": op4_bpe,
     "op7_html": op7_html,
+    "op8_licenses": op8_licenses,
     "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
