@@ -106,6 +106,8 @@ def _byte_values() -> np.ndarray:
 _VALUES = _byte_values()
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits parts words, for texts compared without punctuation.
+_IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -142,14 +144,14 @@ class Words:
 
     __slots__ = ("data", "starts", "ends", "first", "hashes")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        """data: the bytes from offsets[0] to offsets[-1]; offsets may start anywhere."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, marks: bool = False):
+        """data: the bytes from offsets[0] to offsets[-1]; offsets may start anywhere. marks: punctuation parts words too."""
         offsets = offsets - offsets[0]
         if lower:
             data = _LOWER[data]
         n = len(data)
         space = np.ones(n + 1, bool)
-        space[:n] = _IS_SPACE[data]
+        space[:n] = (_IS_MARK if marks else _IS_SPACE)[data]
         word = ~space[:n]
         before = np.empty(n, bool)
         if n:
@@ -172,8 +174,8 @@ class Words:
         self.hashes = mix(raw + (self.ends - self.starts).astype(U) * _MULT[3])
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False) -> Words:
-    return Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], lower)
+def words_of(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False, marks: bool = False) -> Words:
+    return Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], lower, marks)
 
 
 def gram_hashes(h: np.ndarray, k: int, which: int = 0) -> np.ndarray:

@@ -29,6 +29,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.jso
     return B.encode(docs, spec, B.build_lexicon(docs, spec), digest=True)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_contamination
+
+    return find_contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract_pages
 
@@ -63,6 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_bpe": op4_bpe,
+    "op6_decontamination": op6_decontamination,
     "op7_html": op7_html,
     "op8_licenses": op8_licenses,
     "op9_pii": op9_pii,
