@@ -19,6 +19,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.score(docs, lexicon).select("doc_id", T.held_out().alias("held_out"), "score", "predicted", "n_matches")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(C.table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     import public_tokenizers
 
@@ -68,6 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_ngram_join": op2_ngram_join,
     "op4_bpe": op4_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_html": op7_html,
