@@ -7,6 +7,7 @@ Python string per word is ever made.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,6 +55,12 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files of finished jobs: Spark deletes them when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id long, text string), whatever else docs holds; a null text is empty."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

@@ -25,6 +25,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(C.table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup_substrings
+
+    return dedup_substrings(C.table(spark, sf_dir, "documents"), digest=True)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +81,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_bpe": op4_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_html": op7_html,
