@@ -41,6 +41,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.jso
     return B.encode(docs, spec, B.build_lexicon(docs, spec), digest=True)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(C.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_contamination
 
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_bpe": op4_bpe,
+    "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_html": op7_html,
     "op8_licenses": op8_licenses,
@@ -91,6 +99,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_line_dedup": r"""
+        with parts as (select doc_id, string_split(coalesce(text, ''), chr(10)) p from documents),
+        l as (select doc_id, no, p[no + 1] content, list_filter(string_split_regex(p[no + 1], '[\x20\x09-\x0D]+'), lambda x: x <> '') w
+              from (select doc_id, p, unnest(range(0, len(p))) no from parts)),
+        k as (select *, len(w) n, (doc_id, no) place from l where len(w) >= 5),
+        e as (select w, any_value(n) n, min(place) place from k group by w),
+        v as (select w, n, place, i, list_concat(w[1:i], w[i + 2:]) u from (select *, unnest(range(0, n)) i from e)),
+        r as (select n, i, u, min(place) place from v group by n, i, u),
+        s as (select u, min(place) place from v group by u),
+        near as (select v.w from v join r using (n, i, u) where r.place < v.place
+                 union select e.w from e join s on e.w = s.u where s.place < e.place
+                 union select v.w from v join e on e.w = v.u where e.place < v.place),
+        gone as (select k.doc_id, k.no from k join e using (w) where k.place > e.place
+                 union select k.doc_id, k.no from k semi join near using (w)),
+        g as (select doc_id, list(no) nos from gone group by doc_id)
+        select p.doc_id, cast(len(p.p) as bigint) n_lines, cast(len(coalesce(nos, [])) as bigint) n_removed,
+               sha256(array_to_string(list_filter(p.p, lambda x, i: not list_contains(coalesce(nos, []), i - 1)), chr(10))) kept_sha256
+        from parts p left join g using (doc_id)""",
     "op10_exact_dedup": """
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') x from documents),
         g as (select x, max(doc_id) keep_id, count(*) n from t group by x)
