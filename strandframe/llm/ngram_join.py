@@ -11,15 +11,18 @@ single-bit sketches, is a lower bound of the symmetric difference. Sets are sort
 size bands; a pair of bands has a largest difference d, and sketches of d + 1 + spare
 blocks have at least 1 + spare equal blocks for every pair that links. Equal blocks are
 found by one shuffle of block values (pigeonhole join). A block that is empty in a set
-says nothing, so it is sent only by a set with more than `spare` empty blocks: any other
-set has an equal block that is not empty.
+says nothing and is not sent: if either set of a pair has at most `spare` empty blocks,
+one of their equal blocks is not empty. Sets with more go on to the next level, a sketch
+of the same shape under another hash; both sets of a pair that the first level could miss
+do. At the last of LEVELS, which few in a million reach, empty blocks are sent as well.
 
 Pairs that share a block are pruned by 512-bit parity sketches and then verified on the
 shingles of their texts. Documents with equal sets form one class and only classes are
 joined. Within a block all members are first joined to its smallest member, then to its
 largest, and after each round members already connected need no further test; what is
-left is tested pair by pair, so no link between different texts is lost and a group of
-near copies costs as many rows as it has members, not their square.
+left is compared by sketch inside the join of the block with itself, and only pairs that
+may link come out of it. So no link between different texts is lost, and a group of near
+copies costs about as many rows as it has members, not their square.
 
 Null and empty texts have no shingles, link with nothing and are their own component;
 with fewer than k words the whole sequence is the one shingle. Ties go to the smallest
@@ -29,6 +32,7 @@ counts; extra columns are ignored and an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +43,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SKETCH_WORDS = 8
-#: Blocks above the pigeonhole's need, so that one empty block is not sent.
-SPARE = 1
-_NEVER = np.iinfo(np.int64).max
+#: Sketches under different hashes for sets with too many empty blocks, and the share of sets that may go on to the next.
+LEVELS, GO_ON = 5, 0.05
 
 
 def shingle_sets(words: C.Words, k: int) -> Iterator[np.ndarray]:
@@ -70,6 +73,7 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent = percent
+        self.known: dict[int, list[tuple[int, int, int]]] = {}
 
     def largest_partner(self, n: int) -> int:
         return 100 * n // self.percent
@@ -85,32 +89,58 @@ class Bands:
             a = b
         return a
 
-    def schemes(self, n: int) -> list[tuple[int, int]]:
-        """(number, blocks) of the sketches a set of n takes part in: as the smaller and as the larger of a pair.
+    def schemes(self, n: int) -> list[tuple[int, int, int]]:
+        """(first, difference, spare) of the sketches a set of n takes part in: as the smaller and as the larger of a pair.
 
         A scheme is known by the first size of the smaller set's band.
         """
-        own = self.start(n)
-        out = [own]
-        if own > 1:
-            below = self.start(own - 1)
-            if self.largest_partner(own - 1) >= n:
-                out.append(below)
-        return [(a, self.difference((e := self.largest_partner(a)) + self.largest_partner(e)) + 1 + SPARE) for a in out]
-
-
-def block_values(s: np.ndarray, blocks: int, seed: int) -> np.ndarray:
-    """Keys of the blocks that a set sends: a hash of scheme, block number and XOR."""
-    h = C.mix(s + C.U(seed * int(C._MULT[3]) % 2**64))
-    at = ((h >> C.U(32)) * C.U(blocks)) >> C.U(32)
-    order = np.argsort(at, kind="stable")
-    at, h = at[order].astype(np.int64), C.mix(s[order] ^ C._MULT[2])
-    edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    full, xor = at[edge], np.bitwise_xor.reduceat(h, edge)
-    if blocks - len(full) > SPARE:
-        missing = np.setdiff1d(np.arange(blocks), full)
-        full, xor = np.r_[full, missing], np.r_[xor, np.zeros(len(missing), C.U)]
-    return C.mix(xor ^ C.mix(full.astype(C.U) * C._MULT[1] + C.U(seed)))
+        if n not in self.known:
+            own = self.start(n)
+            out = [own]
+            if own > 1 and self.largest_partner(own - 1) >= n:
+                out.append(self.start(own - 1))
+            self.known[n] = [(a, d := self.difference((e := self.largest_partner(a)) + self.largest_partner(e)), self.spare(a, d)) for a in out]
+        return self.known[n]
+
+    @staticmethod
+    def spare(n: int, d: int) -> int:
+        """Spare blocks with which at most GO_ON of the sets of n have more empty blocks, or the best there are."""
+        best, at = 2.0, 0
+        for s in range(d // 3 + 4):
+            blocks = d + 1 + s
+            mean = blocks * (1 - 1 / blocks) ** n
+            term, some = math.exp(-mean), 0.0
+            for k in range(s + 1):
+                some += term
+                term *= mean / (k + 1)
+            if 1 - some < best:
+                best, at = 1 - some, s
+            if best <= GO_ON:
+                break
+        return at
+
+
+def block_keys(s: np.ndarray, bands: Bands) -> list[np.ndarray]:
+    """Keys of the blocks that a set sends: a hash of scheme, level, block number and XOR."""
+    out = []
+    for first, d, spare in bands.schemes(len(s)):
+        blocks = d + 1 + spare
+        for level in range(LEVELS):
+            seed = C.U((first * LEVELS + level) * int(C._MULT[3]) % 2**64)
+            h = C.mix(s + seed)
+            at = ((h >> C.U(32)) * C.U(blocks)) >> C.U(32)
+            order = np.argsort(at, kind="stable")
+            at, h = at[order].astype(np.int64), C.mix(s[order] ^ C._MULT[2])
+            edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            full, xor = at[edge], np.bitwise_xor.reduceat(h, edge)
+            done = blocks - len(full) <= spare
+            if not done and level == LEVELS - 1:
+                missing = np.setdiff1d(np.arange(blocks), full)
+                full, xor = np.r_[full, missing], np.r_[xor, np.zeros(len(missing), C.U)]
+            out.append(C.mix(xor ^ C.mix(full.astype(C.U) * C._MULT[1] + seed)))
+            if done:
+                break
+    return out
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -143,24 +173,19 @@ def block_rows(docs: DataFrame, k: int, percent: int, text: str = "text") -> Dat
 
     def run(batches):
         bands = Bands(percent)
-        schemes: dict[int, list[tuple[int, int]]] = {}
         sent: set[int] = set()
         for batch in batches:
             data, off = C.text_buffers(batch.column(0))
             keys, cls, times = [np.zeros(0, C.U)], [], []
             for lo, hi in C.row_chunks(off):
                 for s in shingle_sets(C.words_of(data, off, lo, hi, lower=True), k):
-                    n = len(s)
                     c = class_id(s)
-                    if not n or c in sent:
+                    if not len(s) or c in sent:
                         continue
                     if len(sent) > 500_000:
                         sent.clear()
                     sent.add(c)
-                    if n not in schemes:
-                        schemes[n] = bands.schemes(n)
-                    for seed, blocks in schemes[n]:
-                        v = block_values(s, blocks, seed)
+                    for v in block_keys(s, bands):
                         keys.append(v)
                         cls.append(c)
                         times.append(len(v))
@@ -210,16 +235,15 @@ def link_classes(docs: DataFrame, known: DataFrame, k: int, percent: int, work:
     one = C.stored(one.join(members.select("cls").distinct(), "cls", "left_semi"), f"{work}/classes")
     texts = C.keyed_texts(docs, key, text).join(one.select("doc_id", "cls"), "doc_id").select("cls", "text").groupBy("cls").agg(F.any_value("text").alias("text"))
     texts = C.stored(texts, f"{work}/texts")
-    facts = one.select("cls", "n", "sketch")
+    facts = one.select("cls", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes and parity sketches allow a link."""
-        p = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
-        p = p.join(facts.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        p = p.join(facts.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        distance = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * distance <= (100 - percent) * (F.col("na") + F.col("nb")))
-        return p.where(fits).select("a", "b")
+    def side(of: str) -> DataFrame:
+        """facts with all names ending in of."""
+        return facts.select(*[F.col(c).alias(f"{c}_{of}") for c in facts.columns])
+
+    # What sizes and parity sketches say of a pair: whether it may link.
+    distance = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * distance <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
 
     def relabelled(lab: DataFrame | None) -> DataFrame:
         """(block, cls, label) of the blocks in which more than one component is left."""
@@ -233,12 +257,16 @@ def link_classes(docs: DataFrame, known: DataFrame, k: int, percent: int, work:
     for turn in ("least", "most", "all"):
         m = C.stored(relabelled(lab), f"{work}/open-{turn}") if lab is not None else relabelled(None)
         if turn == "all":
-            x, y = m.select("block", F.col("cls").alias("x"), F.col("label").alias("lx")), m.select("block", F.col("cls").alias("y"), F.col("label").alias("ly"))
-            pairs = x.join(y, "block").where("lx < ly").select("x", "y")
+            # Members are compared by their sketches inside the join: only what may link becomes a row.
+            full = C.stored(m.withColumnRenamed("cls", "cls_a").join(side("a"), "cls_a"), f"{work}/sketched")
+            other = full.select("block", *[F.col(c).alias(c.removesuffix("_a") + "_b") for c in full.columns if c != "block"])
+            new = full.join(other, (full["block"] == other["block"]) & (F.col("cls_a") < F.col("cls_b")) & (F.col("label") != F.col("label_b")) & fits)
+            new = new.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
         else:
             hub = m.groupBy("block").agg((F.min if turn == "least" else F.max)(F.struct("cls", "label")).alias("hub"))
-            pairs = m.join(hub, "block").where("label != hub.label").select(F.col("cls").alias("x"), F.col("hub.cls").alias("y"))
-        new = candidates(pairs)
+            met = m.join(hub, "block").where("label != hub.label")
+            pairs = met.select(F.least("cls", "hub.cls").alias("cls_a"), F.greatest("cls", "hub.cls").alias("cls_b")).distinct()
+            new = pairs.join(side("a"), "cls_a").join(side("b"), "cls_b").where(fits).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
         if tested is not None:
             new = new.join(tested, ["a", "b"], "left_anti")
         new = C.stored(new, f"{work}/pairs-{turn}")
