@@ -2,5 +2,522 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandframe.functions import bits, codecs, dna
+from strandframe.operators import assign as A
+from strandframe.operators import bitmap as S
+from strandframe.operators import genome as G
+from strandframe.operators import reads as R
+from strandframe.operators import snps as V
+from strandframe.sources import variants
+
+from . import derived as D
+from .derived import SQL_D, SQL_N, SQL_R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _long(*names: str):
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+# Scans, ordinals, statistics
+
+
+@query(f"with {SQL_D} select doc_id, source, seq from d")
+def dna_reads(spark, sf):
+    return D.documents(spark, sf)
+
+
+@query(f"with {SQL_D} select cast(count(*) as bigint) reads, cast(sum(length(seq)) as bigint) bases, cast(min(length(seq)) as bigint) min_length, cast(max(length(seq)) as bigint) max_length from d")
+def read_stats(spark, sf):
+    return R.statistics(D.documents(spark, sf))
+
+
+@query(f"with {SQL_D} select cast(length(seq) // 100 as bigint) hundreds, cast(count(*) as bigint) n from d group by 1")
+def read_len_hist(spark, sf):
+    return D.documents(spark, sf).groupBy(F.floor(F.length("seq") / 100).cast("long").alias("hundreds")).agg(F.count("*").alias("n"))
+
+
+def _numbered(spark, sf):
+    """Documents as reads of files named by source, numbered in file and record order."""
+    docs = D.documents(spark, sf).where(F.length("seq") > 0).withColumn("file", F.coalesce("source", F.lit("")))
+    return R.ordinals(docs, ["doc_id"], F.col("file"))
+
+
+_RID = f"{SQL_D}, r as (select coalesce(source, '') file, doc_id, seq, row_number() over (order by coalesce(source, ''), doc_id) - 1 rid from d where length(seq) > 0)"
+
+
+@query(f"with {_RID} select cast(rid as bigint) rid, doc_id, file from r")
+def read_ordinal(spark, sf):
+    return _numbered(spark, sf).select("rid", "doc_id", "file")
+
+
+_CUM = f"{_RID}, c as (select file, count(*) n, sum(count(*)) over (order by file) cumulative from r group by file)"
+
+
+@query(f"with {_CUM} select file, cast(n as bigint) n, cast(cumulative as bigint) cumulative from c")
+def cumulative_reads(spark, sf):
+    return R.cumulative(_numbered(spark, sf))
+
+
+@query(f"with {_CUM} select file, cast(cumulative - lag(cumulative, 1, 0) over (order by file) as bigint) reads from c")
+def file_summary(spark, sf):
+    return R.summary(R.cumulative(_numbered(spark, sf)))
+
+
+@query(f"with {_RID} select cast(rid as bigint) rid, file from r")
+def rid_to_file(spark, sf):
+    numbered = _numbered(spark, sf)
+    return R.file_of(numbered.select("rid"), R.cumulative(numbered))
+
+
+# Predicates and projections
+
+
+@query(f"with {SQL_N} select doc_id, regexp_matches(seq, '[Nn]') has_n, length(seq) >= 68 long_enough, regexp_matches(seq, '^[ACGT]+$') only_bases from dn")
+def read_predicates(spark, sf):
+    return D.documents(spark, sf, D.BASES_N).select("doc_id", dna.has_n("seq").alias("has_n"), dna.long_enough("seq").alias("long_enough"), dna.only_bases("seq").alias("only_bases"))
+
+
+@query(f"with {SQL_N} select doc_id, reverse(translate(seq, 'ACGTN', 'TGCAN')) rc from dn")
+def rev_comp(spark, sf):
+    return D.documents(spark, sf, D.BASES_N).select("doc_id", dna.reverse_complement("seq").alias("rc"))
+
+
+@query(
+    f"with {SQL_D}, x as (select doc_id, seq, reverse(translate(seq, 'ACGT', 'TGCA')) rc, length(seq) n, length(seq) // 2 h from d) "
+    "select doc_id, case when n % 2 = 1 then substring(rc, 1, h) || substring(seq, h + 1, 1) || substring(rc, h + 2) else rc end rc from x"
+)
+def rev_comp_inplace_compat(spark, sf):
+    return D.documents(spark, sf).select("doc_id", dna.reverse_complement_in_place("seq").alias("rc"))
+
+
+def _kmers(spark, sf, k):
+    return D.documents(spark, sf).select(F.explode(dna.kmers("seq", k)).alias("kmer"))
+
+
+def _kmers_sql(k):
+    return f"{SQL_D}, k as (select unnest(list_transform(range(1, length(seq) - {k - 2}), lambda i: substring(seq, i, {k}))) kmer from d where length(seq) >= {k})"
+
+
+def _id_sql(s):
+    return f"list_reduce(list_transform(string_split(translate({s}, 'ACGT', '0123'), ''), lambda c: cast(c as bigint)), lambda a, b: a * 4 + b)"
+
+
+_DISTINCT8 = f"{_kmers_sql(8)}, u as (select distinct kmer from k)"
+
+
+@query(
+    f"with {_DISTINCT8}, i as (select kmer, {_id_sql('kmer')} id, {_id_sql('reverse(kmer)')} rev, {_id_sql(D.SQL_RC.format('kmer'))} rc from u) "
+    "select kmer, kmer as text, id, rev as rev_id, rc as rc_id, least(id, rc) as min_id, ((id << 2) | 3) & 65535 as next_id, (id >> 2) | (cast(2 as bigint) << 14) as prev_id from i"
+)
+def kmer_codes(spark, sf):
+    u = _kmers(spark, sf, 8).distinct().withColumn("id", dna.kmer_id("kmer"))
+    return u.select(
+        "kmer", dna.kmer_text("id", 8).alias("text"), "id", dna.reversed_id("kmer").alias("rev_id"), dna.rc_id("kmer").alias("rc_id"),
+        F.least("id", dna.rc_id("kmer")).alias("min_id"), dna.next_id("id", F.lit(3).cast("long"), 8).alias("next_id"), dna.prev_id("id", F.lit(2), 8).alias("prev_id"),
+    )
+
+
+@query(f"with {_DISTINCT8} select kmer, case when reverse(kmer) < reverse({D.SQL_RC.format('kmer')}) then -1 when reverse(kmer) > reverse({D.SQL_RC.format('kmer')}) then 1 else 0 end as ord, substring(kmer, 1, 3) || 'N' || substring(kmer, 5) as replaced from u")
+def window_order(spark, sf):
+    u = _kmers(spark, sf, 8).distinct()
+    return u.select("kmer", dna.compare_reversed("kmer", dna.reverse_complement("kmer")).alias("ord"), dna.substituted("kmer", F.lit("N"), F.lit(3)).alias("replaced"))
+
+
+@query("with b as (select distinct substring(coalesce(text, ''), i, 1) c from (select text, unnest(range(1, length(coalesce(text, '')) + 1)) i from documents)) select c, regexp_matches(c, '^[ACGTacgt]$') is_base, regexp_matches(c, '^[ACGTNacgtn]$') is_base_or_n from b")
+def base_tests(spark, sf):
+    letters = D.spread(D.table(spark, sf, "documents")).select(F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda x: x != "")).alias("c")).distinct()
+    return letters.select("c", dna.is_base("c").alias("is_base"), dna.is_base_or_n("c").alias("is_base_or_n"))
+
+
+@query(f"with {_kmers_sql(8)} select kmer, cast(count(*) as bigint) n from k group by kmer")
+def kmer_counts(spark, sf):
+    return _kmers(spark, sf, 8).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_kmers_sql(8)} select least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) kmer, cast(count(*) as bigint) n from k group by 1")
+def canonical_kmers(spark, sf):
+    return _kmers(spark, sf, 8).groupBy(dna.canonical("kmer").alias("kmer")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {_kmers_sql(14)} select least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) kmer, cast(count(*) as bigint) n from k group by 1 order by n desc, kmer limit 20")
+def kmer_topk(spark, sf):
+    return _kmers(spark, sf, 14).groupBy(dna.canonical("kmer").alias("kmer")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kmer").limit(20)
+
+
+# Genome index
+
+
+def _contigs(spark, sf):
+    return G.contigs(D.genome(spark, sf))
+
+
+_CTG = f"{SQL_D}, c as (select doc_id, 'd' || doc_id chrom, seq, length(seq) len, sum(length(seq)) over (order by doc_id) - length(seq) off from d)"
+_WIN = f"{_CTG}, w as (select cast(off + pos - 1 as bigint) gpos, substring(seq, pos, 54) w from (select off, seq, unnest(range(1, len - 52)) pos from c where len >= 54))"
+
+
+@query(f"with {_CTG} select doc_id ctg_ord, chrom, cast(off as bigint) as \"offset\", cast(len as bigint) as length from c")
+def ref_contigs(spark, sf):
+    return _contigs(spark, sf).select("ctg_ord", "chrom", "offset", "length")
+
+
+@query(f"with {_CTG}, w as (select chrom, substring(seq, pos, 54) w from (select chrom, seq, unnest(range(1, len - 52)) pos from c where len >= 54)) select substring(w, 41, 4) word, cast(count(*) as bigint) n, cast(count(distinct substring(w, 41, 14)) as bigint) seeds from w group by 1")
+def ref_windows(spark, sf):
+    """Windows by the first four bases of their seed."""
+    w = G.windows(_contigs(spark, sf)).select(dna.kmer_text(F.shiftright("seed", 20), 4).alias("word"), "seed")
+    per = w.groupBy("word", "seed").agg(F.count("*").alias("n"))
+    return per.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("seeds"))
+
+
+@query(f"with {_WIN}, u as (select w, count(*) n, min(gpos) p from w group by w) select cast(n as bigint) copies, cast(count(*) as bigint) windows, cast(sum(p) as bigint) places from u group by n")
+def window_dedup(spark, sf):
+    """How often distinct windows occur, with the sum of their first places."""
+    w = G.windows(_contigs(spark, sf)).groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min("gpos").alias("p"))
+    return w.groupBy("copies").agg(F.count("*").alias("windows"), F.sum("p").alias("places"))
+
+
+@query(f"with {_WIN} select cast(least(n, 257) as bigint) size, cast(count(*) as bigint) seeds from (select right(w, 14) s, count(*) n from (select distinct w from w) group by 1) group by 1")
+def seed_bucket_hist(spark, sf):
+    return G.bucket_histogram(G.seed_groups(G.distinct_windows(G.windows(_contigs(spark, sf)))))
+
+
+@query(f"with {_WIN}, g as (select reverse(right(w, 8)) s, count(*) n from (select distinct w from w) group by 1) select s, cast(n as bigint) n, cast(sum(n) over (order by s) - n as bigint) first_rank from g")
+def seed_ranks(spark, sf):
+    """First rank of each group of windows that end alike, in the order of reversed windows."""
+    w = G.distinct_windows(G.windows(_contigs(spark, sf)))
+    groups = w.groupBy(F.col("lo").bitwiseAND(F.lit(0xFFFF)).alias("end8")).agg(F.count("*").alias("n")).select(F.reverse(dna.kmer_text("end8", 8)).alias("s"), "n")
+    return G.first_ranks(groups, "s", "n", F.substring("s", 1, 4))
+
+
+def _variants(spark, sf):
+    """A variant in the middle of every contig: the base's complement."""
+    half = (F.length("seq") / 2).cast("int")
+    return D.genome(spark, sf).where(F.length("seq") > 0).select("ord", "chrom", half.cast("long").alias("pos"), dna.complement(F.substring(F.col("seq"), half + 1, F.lit(1))).alias("alt"))
+
+
+@query(
+    f"with {_CTG}, s as (select off, seq, len, len // 2 p from c where len > 0), x as (select off, seq, len, p, translate(substring(seq, p + 1, 1), 'ACGT', 'TGCA') alt, unnest(range(p - 53, p + 1)) st from s where len >= 54) "
+    "select cast(off + st as bigint) gpos, substring(seq, st + 1, p - st) || alt || substring(seq, p + 2, 53 - (p - st)) w from x where st >= 0 and st + 54 <= len"
+)
+def snp_overlay(spark, sf):
+    ctg = _contigs(spark, sf)
+    return G.alternate_windows(ctg, G.located(_variants(spark, sf), ctg)).select("gpos", G.window_text().alias("w"))
+
+
+# Placing reads
+
+
+def _index(spark, sf):
+    return G.distinct_windows(G.windows(_contigs(spark, sf)))
+
+
+_PROBE = f"{SQL_R}, pr as (select rid, s, t, substring(case when s = 0 then seq else reverse(translate(seq, 'ACGT', 'TGCA')) end, 10 + 13 * t + 1, 54) w from rd cross join (values (0), (1)) a(s) cross join (values (0), (1), (2)) b(t))"
+_HIT = f"{_WIN}, ix as (select w, right(w, 14) seed, min(gpos) p from w group by w), {_PROBE}, hit as (select r.rid, r.s, r.t, x.p, hamming(r.w, x.w) h from pr r join ix x on right(r.w, 14) = x.seed where hamming(r.w, x.w) < 5)"
+_BEST = f"{_HIT}, best as (select *, p - (10 + 13 * t) pos, row_number() over (partition by rid order by s, t, h, p) rn from hit)"
+_PLACED = f"{_BEST}, pl as (select rd.rid, rd.seq, b.pos, coalesce(b.s = 0, true) fwd, case when b.rid is null then 1 else 0 end cls from rd left join (select * from best where rn = 1) b on rd.rid = b.rid)"
+
+
+@query(f"with {_PROBE} select cast(rid as bigint) rid, s strand, t attempt, w from pr")
+def read_probes(spark, sf):
+    return A.probes(D.reads(spark, sf)).select("rid", "strand", "attempt", G.window_text().alias("w"))
+
+
+@query(f"with {_HIT} select cast(rid as bigint) rid, s strand, t attempt, cast(h as int) mismatches, p gpos from hit")
+def seed_join(spark, sf):
+    return A.hits(A.probes(D.reads(spark, sf)), _index(spark, sf)).select("rid", "strand", "attempt", "mismatches", "gpos")
+
+
+@query(f"with {_HIT} select cast(h as int) mismatches, s strand, cast(count(*) as bigint) n from hit group by 1, 2")
+def hamming_hits(spark, sf):
+    return A.hits(A.probes(D.reads(spark, sf)), _index(spark, sf)).groupBy("mismatches", "strand").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_BEST} select cast(rid as bigint) rid, s strand, t attempt, cast(h as int) mismatches, p gpos, cast(pos as bigint) pos from best where rn = 1")
+def assign_reads(spark, sf):
+    return A.assign(D.reads(spark, sf), _index(spark, sf)).select("rid", "strand", "attempt", "mismatches", "gpos", "pos")
+
+
+def _classified(spark, sf):
+    reads = D.reads(spark, sf)
+    return A.classified(reads, A.assign(reads, _index(spark, sf)))
+
+
+@query(f"with {_PLACED} select cls, fwd is_fwd, cast(count(*) as bigint) n from pl group by 1, 2")
+def classify_reads(spark, sf):
+    return _classified(spark, sf).groupBy("cls", "is_fwd").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_PLACED} select cast(rid as bigint) rid, case when fwd then seq else reverse(translate(seq, 'ACGT', 'TGCA')) end seq from pl")
+def canonical_reads(spark, sf):
+    return A.canonical(_classified(spark, sf)).select("rid", "seq")
+
+
+_ORDER = f"{_PLACED}, o as (select rid, cls, coalesce(pos, 0) pos, fwd, length(seq) n, row_number() over (order by cls, coalesce(pos, 0), (not fwd), rid) rk from pl)"
+
+
+def _ordered(spark, sf):
+    """Reads with their place in archive order, numbered within (cls, stretch of the genome)."""
+    placed = _classified(spark, sf).select("rid", "cls", F.coalesce("pos", F.lit(0)).alias("pos"), (~F.col("is_fwd")).cast("int").alias("rev"), F.length("seq").cast("long").alias("n"))
+    placed = placed.withColumn("stretch", F.struct("cls", F.floor(F.col("pos") / (1 << 20)).alias("at"), F.when(F.col("cls") > 0, F.floor(F.col("rid") / 100_000_000)).otherwise(0).alias("r")))
+    return placed
+
+
+@query(f"with {_ORDER} select cast(rid as bigint) rid, cls, cast(pos as bigint) pos, cast(rk as bigint) rk from o")
+def read_order(spark, sf):
+    cut = _ordered(spark, sf)
+    sizes = cut.groupBy("stretch").agg(F.count("*").alias("m"))
+    starts = sizes.select("stretch", (F.sum("m").over(Window.orderBy("stretch")) - F.col("m")).alias("start"))
+    within = F.row_number().over(Window.partitionBy("stretch").orderBy("pos", "rev", "rid"))
+    return cut.withColumn("w", within).join(starts, "stretch").select("rid", "cls", "pos", (F.col("start") + F.col("w")).cast("long").alias("rk"))
+
+
+@query(f"with {_PLACED} select cast(rid as bigint) rid, cls, cast((sum(length(seq)) over (partition by cls, page order by coalesce(pos, 0), (not fwd), rid) - length(seq)) // 1000 as bigint) block from (select *, rid // {D.STRIDE} page from pl)")
+def block_assign(spark, sf):
+    """Blocks of 1000 bases within each page and class."""
+    part = _ordered(spark, sf).withColumn("part", F.struct("cls", F.floor(F.col("rid") / D.STRIDE).alias("page")))
+    return R.blocks_by_sum(part, "part", ["pos", "rev", "rid"], "n", 1000).select("rid", "cls", "block")
+
+
+@query(f"with {_PLACED}, b as (select rid, cls, page, length(seq) n, (sum(length(seq)) over (partition by cls, page order by coalesce(pos, 0), (not fwd), rid) - length(seq)) // 1000 block from (select *, rid // {D.STRIDE} page from pl)) select cls, cast(block as bigint) block, cast(count(*) as bigint) reads, cast(sum(n) as bigint) bases from b group by 1, 2")
+def block_stats(spark, sf):
+    part = _ordered(spark, sf).withColumn("part", F.struct("cls", F.floor(F.col("rid") / D.STRIDE).alias("page")))
+    return R.blocks_by_sum(part, "part", ["pos", "rev", "rid"], "n", 1000).groupBy("cls", "block").agg(F.count("*").alias("reads"), F.sum("n").alias("bases"))
+
+
+@query("select l_orderkey, l_linenumber, cast(ntile(8) over (partition by l_returnflag, l_suppkey order by l_orderkey, l_linenumber) as bigint) piece from lineitem")
+def even_partition(spark, sf):
+    rows = D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.struct("l_returnflag", "l_suppkey").alias("part"))
+    return R.even_parts(rows, "part", ["l_orderkey", "l_linenumber"], 8).select("l_orderkey", "l_linenumber", F.col("piece").cast("long").alias("piece"))
+
+
+# Sets
+
+
+def _a(spark, sf):
+    return S.of_values(D.table(spark, sf, "lineitem").where("l_returnflag = 'R'"), "l_orderkey")
+
+
+def _b(spark, sf):
+    return S.of_values(D.table(spark, sf, "lineitem").where("l_linestatus = 'O'"), "l_orderkey")
+
+
+_AB = "a as (select distinct l_orderkey x from lineitem where l_returnflag = 'R'), b as (select distinct l_orderkey x from lineitem where l_linestatus = 'O')"
+
+
+@query(f"with {_AB} select x from a union select x from b")
+def bitmap_union(spark, sf):
+    return S.union(_a(spark, sf), _b(spark, sf))
+
+
+@query(f"with {_AB} select x from a intersect select x from b")
+def bitmap_intersect(spark, sf):
+    return S.intersect(_a(spark, sf), _b(spark, sf))
+
+
+@query(f"with {_AB} select x from a except select x from b")
+def bitmap_except(spark, sf):
+    return S.subtract(_a(spark, sf), _b(spark, sf))
+
+
+@query(f"with {_AB} (select x from a except select x from b) union (select x from b except select x from a)")
+def bitmap_xor(spark, sf):
+    return S.symmetric_difference(_a(spark, sf), _b(spark, sf))
+
+
+@query(f"with {_AB} select x from a union select x from b union select cast(c_custkey as bigint) from customer")
+def bitmap_add_many(spark, sf):
+    return S.add(S.union(_a(spark, sf), _b(spark, sf)), S.of_values(D.table(spark, sf, "customer"), "c_custkey"))
+
+
+@query(f"with {_AB} select x from a except select cast(c_custkey as bigint) from customer")
+def bitmap_remove_many(spark, sf):
+    return S.remove(_a(spark, sf), S.of_values(D.table(spark, sf, "customer"), "c_custkey"))
+
+
+@query(
+    f"with {_AB}, n as (select (select count(*) from a) n_a, (select count(*) from b) n_b, (select count(*) from a semi join b using (x)) n_and, (select count(*) from (select x from a union select x from b)) n_or) "
+    "select cast(n_a as bigint) n_a, cast(n_b as bigint) n_b, cast(n_and as bigint) n_and, cast(n_or as bigint) n_or, cast(n_or - n_and as bigint) n_xor, cast(n_a - n_and as bigint) n_andnot, n_and / n_or jaccard, n_and = n_a is_subset, n_and > 0 intersects from n"
+)
+def bitmap_jaccard(spark, sf):
+    return S.counts(_a(spark, sf), _b(spark, sf))
+
+
+@query(f"with {_AB} select x, cast(row_number() over (order by x) as bigint) as rank from a")
+def bitmap_rank(spark, sf):
+    return S.ranked(_a(spark, sf))
+
+
+@query(f"with {_AB} select cast(rk as bigint) as rank, x from (select x, row_number() over (order by x) - 1 rk from a) where rk in (0, 1, 10, 100)")
+def bitmap_select(spark, sf):
+    return S.select(_a(spark, sf), [0, 1, 10, 100])
+
+
+@query(f"with {_AB} select x from a where not (x >= 100 and x < 3000) union all (select cast(i as bigint) from range(100, 3000) r(i) except select x from a)")
+def bitmap_flip(spark, sf):
+    return S.flip(_a(spark, sf), 100, 3000)
+
+
+@query(f"with {_AB} select cast(count(*) as bigint) n, count(*) = 50 contained from a where x >= 10 and x < 60")
+def bitmap_contains_range(spark, sf):
+    return S.contains_range(_a(spark, sf), 10, 60)
+
+
+@query(f"with {_AB} select x from a order by x limit 50 offset 25")
+def bitmap_page(spark, sf):
+    return S.page(_a(spark, sf), 25, 50)
+
+
+@query(f"with {_AB}, u as (select x from a union select x from b), i as (select x from a intersect select x from b) select cast((select count(*) from u) as bigint) n_or, cast((select count(*) from i) as bigint) n_and, cast((select min(x) from u) as bigint) lowest, cast((select max(x) from u) as bigint) highest")
+def bitmap_compact(spark, sf):
+    """Union and intersection of compact bitmaps, one row for each 32,768 values."""
+    a, b = S.compact(_a(spark, sf)), S.compact(_b(spark, sf))
+    ends = S.union(_a(spark, sf), _b(spark, sf)).agg(F.min("x").alias("lowest"), F.max("x").alias("highest"))
+    n_or, n_and = S.compact_or(a, b).agg(F.sum("n").alias("n_or")), S.compact_and(a, b).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_and"))
+    return n_or.join(F.broadcast(n_and)).join(F.broadcast(ends))  # one row each
+
+
+# Bits
+
+
+def _numbers(spark, sf):
+    return D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 2654435761 + F.col("l_linenumber")).cast("long").alias("x"))
+
+
+_X = "n as (select l_orderkey, l_linenumber, l_orderkey * 2654435761 + l_linenumber x from lineitem)"
+
+
+@query(f"with {_X} select l_orderkey, l_linenumber, cast(bit_count(x) as int) ones, cast(bit_count(x) % 2 as int) parity, cast(length(ltrim(bin(x), '0')) - 1 as int) log2 from n")
+def popcount(spark, sf):
+    return _numbers(spark, sf).select("l_orderkey", "l_linenumber", bits.popcount("x").alias("ones"), bits.parity("x").alias("parity"), bits.floor_log2("x").alias("log2"))
+
+
+@query(
+    f"with {_X} select l_orderkey, l_linenumber, (x & 32) <> 0 tested, x | 32 as \"set\", x & ~cast(32 as bigint) cleared, xor(x, 32) changed, x & (-x) low_one, x & (x - 1) no_low_one, x | (x + 1) low_zero_set, "
+    "(x & 1) = 0 is_even, bit_count(x) = 1 is_power, (x & 255) + (xor(x, 255) >> 1) averaged, cast(bit_count((x & (-x)) - 1) as int) low_index from n"
+)
+def bit_ops(spark, sf):
+    x = _numbers(spark, sf)
+    return x.select(
+        "l_orderkey", "l_linenumber", bits.test_bit("x", 5).alias("tested"), bits.set_bit("x", 5).alias("set"), bits.clear_bit("x", 5).alias("cleared"), bits.change_bit("x", 5).alias("changed"),
+        bits.lowest_one("x").alias("low_one"), bits.clear_lowest_one("x").alias("no_low_one"), bits.set_lowest_zero("x").alias("low_zero_set"), bits.is_even("x").alias("is_even"), bits.is_one_bit("x").alias("is_power"),
+        (F.col("x").bitwiseAND(F.lit(255)) + F.shiftrightunsigned(F.col("x").bitwiseXOR(F.lit(255)), 1)).alias("averaged"), bits.lowest_one_index("x").alias("low_index"),
+    )
+
+
+@query(
+    f"with {_X} select l_orderkey, l_linenumber, cast(1 as bigint) << cast(length(ltrim(bin(x), '0')) - 1 as bigint) high_one, "
+    "case when x <= 1 then 1 else cast(1 as bigint) << cast(length(ltrim(bin(x - 1), '0')) as bigint) end next_power, "
+    "((x & 6148914691236517205) << 1) | ((x >> 1) & 6148914691236517205) swapped from (select l_orderkey, l_linenumber, x & 4611686018427387903 x from n)"
+)
+def bit_powers(spark, sf):
+    x = _numbers(spark, sf).withColumn("x", F.col("x").bitwiseAND(F.lit((1 << 62) - 1)))
+    return x.select("l_orderkey", "l_linenumber", bits.highest_one("x").alias("high_one"), bits.next_power_of_2("x").alias("next_power"), bits.swap_groups("x", 1).alias("swapped"))
+
+
+# Variants
+
+
+def _dump(spark):
+    """Rows of a dump in both trailing layouts, with every reason to be left out once."""
+    def row(rsid, chrom, start, strand, kind, alleles, freqs, supports, mol="genomic", end=None, swapped=False):
+        head = ["585", chrom, str(start), str(start + 1 if end is None else end), rsid, "0", strand, "N", "N", "x", mol, kind]
+        tail = [alleles, supports, freqs, "note"] if swapped else [alleles, supports, freqs]
+        return "\t".join([*head, *tail])
+
+    return [
+        "#bin\tchrom", "",
+        row("rs1", "c1", 10, "+", "single", "A,G,", "0.6,0.4,", "300,200,"),
+        row("rs2", "c1", 10, "+", "single", "A,T,", "0.6,0.4,", "300,200,"),
+        row("rs3", "c1", 30, "+", "single", "G,C,", "0.6,0.4,", "300,200,"),
+        row("rs4", "c1", 70, "-", "single", "T,C,G,", "0.5,0.2,0.3,", "300,200,250,"),
+        row("rs5", "c1", 90, "+", "single", "G,C,T,", "0.5,0.25,0.25,", "300,200,250,", swapped=True),
+        row("rs6", "c1", 130, "+", "insertion", "G,C,", "0.5,0.5,", "300,200,"),
+        row("rs7", "c1", 140, "+", "single", "G,C,", "0.5,0.5,", "300,200,", mol="cDNA"),
+        row("rs8", "c1", 150, "+", "single", "G,C,", "0.5,0.5,", "300,200,", end=155),
+        row("rs9", "c2", 0, "+", "single", "A,C,", "0.995,0.005,", "900,200,"),
+        row("rs10", "c2", 4, "+", "single", "A,C,", "0.9,0.1,", "900,20,"),
+        row("rs11", "c2", 8, "+", "single", "A,CT,C,", "0.5,0.3,0.2,", "900,300,200,"),
+        row("rs12", "c9", 8, "+", "single", "A,C,", "0.9,0.1,", "900,200,"),
+    ]
+
+
+_C1 = "".join("ACGT"[(i * i // 10) % 4] for i in range(200))
+_C1 = "".join({10: "A", 30: "G", 70: "A", 90: "G", 130: "G", 140: "G", 150: "G"}.get(i, b) for i, b in enumerate(_C1))
+_C2 = "A" * 60
+
+
+def _parsed(spark):
+    lines = spark.createDataFrame(list(enumerate(_dump(spark))), "ord long, value string")
+    contigs = spark.createDataFrame([("c1", _C1), ("c2", _C2)], "chrom string, seq string")
+    return variants.parse_dump(lines), contigs
+
+
+@query("select * from (values ('rs1', 'c1', 10, 'G'), ('rs3', 'c1', 30, 'C'), ('rs4', 'c1', 70, 'C'), ('rs5', 'c1', 90, 'C'), ('rs11', 'c2', 8, 'C')) v(rsid, chrom, pos, alt)".replace("select *", "select rsid, chrom, cast(pos as bigint) pos, alt"))
+def snp_select(spark, sf):
+    rows, contigs = _parsed(spark)
+    return V.select_snps(rows, contigs, spacing=False)
+
+
+@query("select * from (values ('rs1', 'c1', 10, 'G'), ('rs4', 'c1', 70, 'C'), ('rs11', 'c2', 8, 'C')) v(rsid, chrom, pos, alt)".replace("select *", "select rsid, chrom, cast(pos as bigint) pos, alt"))
+def snp_spaced(spark, sf):
+    rows, contigs = _parsed(spark)
+    return V.select_snps(rows, contigs)
+
+
+@query(
+    """with recursive p as (select distinct source chrom, doc_id * 20 + len % 20 start from (select coalesce(source, '') source, doc_id, length(coalesce(text, '')) len from documents)),
+    s as (select chrom, min(start) start from p group by chrom
+          union all select chrom, n from (select s.chrom, (select min(p.start) from p where p.chrom = s.chrom and p.start > s.start + 54) n from s) where n is not null)
+    select chrom, cast(start as bigint) start from s"""
+)
+def snp_spacing(spark, sf):
+    docs = D.table(spark, sf, "documents")
+    rows = docs.select(F.coalesce("source", F.lit("")).alias("chrom"), (F.col("doc_id") * 20 + F.length(F.coalesce("text", F.lit(""))) % 20).alias("start")).distinct()
+    return V.spaced(rows)
+
+
+# Codecs
+
+
+@query(f"with {SQL_D} select doc_id, seq from d")
+def lzma_round_trip(spark, sf):
+    packed = D.documents(spark, sf).select("doc_id", codecs.lzma_encode(6)("seq").alias("z"))
+    return packed.select("doc_id", codecs.lzma_decode("z").cast("string").alias("seq"))
+
+
+@query(f"with {_RID} select cast(rid as bigint) rid, lpad(hex(rid), 10, '0') as key from r")
+def sort_keys(spark, sf):
+    """Five-byte big-endian keys, which order as the ordinals do."""
+    return _numbered(spark, sf).select(codecs.from_big_endian(codecs.big_endian_key("rid")).alias("rid"), F.hex(codecs.big_endian_key("rid")).alias("key"))
+
+
+@query()
+def crc64_per_file(spark, sf):
+    return R.checksums(_numbered(spark, sf).select("file", "rid", "seq"), "file")
+
+
+@query(f"with {SQL_R} select cast(rid as bigint) rid, seq from rd")
+def archive_round_trip(spark, sf):
+    """Reads placed, ordered, cut into compressed blocks and unpacked again."""
+    from strandframe.operators import archive
+
+    reads = D.reads(spark, sf)
+    placed = A.canonical(A.classified(reads, A.assign(reads, _index(spark, sf))))
+    return archive.unpack(archive.cut_blocks(archive.ordered(placed), 1 << 20))
