@@ -196,9 +196,9 @@ def repeated_places(docs: DataFrame, candidates: DataFrame, key: str = "doc_id",
             ids = batch.column(0).to_pylist()
             prints = batch.column(2)
             for row, h, _, _ in _per_text(batch, 1):
-                f = fingerprints(h)
-                if not len(f):
+                if not prints[row].is_valid or len(h) < WINDOW:
                     continue
+                f = fingerprints(h)
                 at = np.flatnonzero(np.isin(f, np.sort(np.asarray(prints[row].values).view(C.U))))
                 if not len(at):
                     continue
@@ -209,9 +209,10 @@ def repeated_places(docs: DataFrame, candidates: DataFrame, key: str = "doc_id",
             w1, w2, d, p = (np.concatenate(c) for c in cols)
             yield pa.RecordBatch.from_arrays([pa.array(C.signed(w1)), pa.array(C.signed(w2)), pa.array(d), pa.array(p)], ["w1", "w2", "doc_id", "place"])
 
-    given = docs.join(candidates, "doc_id").select("doc_id", "text", "prints")
+    # A left join, as in the last step: both then read one shuffle of the texts.
+    given = docs.join(candidates, "doc_id", "left").select("doc_id", "text", "prints")
     windows = C.map_batches(given, run, "w1 long, w2 long, doc_id long, place int")
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least")
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
     later = windows.join(first, ["w1", "w2"]).where("doc_id > least")
     return later.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
