@@ -81,12 +81,29 @@ def rotate_right(x, n: int) -> Column:
 
 
 def lowest_one(x) -> Column:
-    return _c(x).bitwiseAND(F.negative(_c(x)))
+    """x & -x; -x is written as ~(x - 1) by bits, since the smallest long has no negative."""
+    return _c(x).bitwiseAND(F.bitwise_not(_minus_one(_c(x))))
+
+
+def _minus_one(x: Column) -> Column:
+    """x - 1 that wraps round."""
+    return F.when(x == _l(1 << 63), _l((1 << 63) - 1)).otherwise(x - 1)
+
+
+def _plus_one(x: Column) -> Column:
+    return F.when(x == _l((1 << 63) - 1), _l(1 << 63)).otherwise(x + 1)
+
+
+def _wrapping_add(x: Column, y: Column) -> Column:
+    """64-bit sum that wraps round, from the halves."""
+    low = x.bitwiseAND(_l(0xFFFFFFFF)) + y.bitwiseAND(_l(0xFFFFFFFF))
+    high = F.shiftrightunsigned(x, 32) + F.shiftrightunsigned(y, 32) + F.shiftright(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(_l(0xFFFFFFFF)))
 
 
 def lowest_one_index(x) -> Column:
     """Index of the lowest one; 0 for 0."""
-    return F.when(_c(x) == 0, 0).otherwise(F.bit_count(lowest_one(x) - 1))
+    return F.when(_c(x) == 0, 0).otherwise(F.bit_count(_minus_one(lowest_one(x))))
 
 
 def lowest_zero(x) -> Column:
@@ -94,11 +111,11 @@ def lowest_zero(x) -> Column:
 
 
 def clear_lowest_one(x) -> Column:
-    return _c(x).bitwiseAND(_c(x) - 1)
+    return _c(x).bitwiseAND(_minus_one(_c(x)))
 
 
 def set_lowest_zero(x) -> Column:
-    return _c(x).bitwiseOR(_c(x) + 1)
+    return _c(x).bitwiseOR(_plus_one(_c(x)))
 
 
 def floor_log2(x) -> Column:
@@ -128,7 +145,7 @@ def is_one_bit(x) -> Column:
 
 def next_exponent_of_2(x) -> Column:
     """Smallest e with 2**e >= x."""
-    return F.when(_c(x) <= 1, 0).otherwise(floor_log2(_c(x) - 1) + 1)
+    return F.when(_c(x) <= 1, 0).otherwise(floor_log2(_minus_one(_c(x))) + 1)
 
 
 def next_power_of_2(x) -> Column:
@@ -148,11 +165,11 @@ def same_highest_one(x, y) -> Column:
 
 def average(x, y) -> Column:
     """Floor of the mean without overflow; both count as unsigned."""
-    return _c(x).bitwiseAND(_c(y)) + F.shiftrightunsigned(_c(x).bitwiseXOR(_c(y)), 1)
+    return _wrapping_add(_c(x).bitwiseAND(_c(y)), F.shiftrightunsigned(_c(x).bitwiseXOR(_c(y)), 1))
 
 
 def ceil_average(x, y) -> Column:
-    return _c(x).bitwiseOR(_c(y)) - F.shiftrightunsigned(_c(x).bitwiseXOR(_c(y)), 1)
+    return _wrapping_add(_c(x).bitwiseOR(_c(y)), _plus_one(F.bitwise_not(F.shiftrightunsigned(_c(x).bitwiseXOR(_c(y)), 1))))
 
 
 def is_even(x) -> Column:
