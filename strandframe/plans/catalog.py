@@ -162,6 +162,22 @@ def kmer_topk(spark, sf):
     return _kmers(spark, sf, 14).groupBy(dna.canonical("kmer").alias("kmer")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kmer").limit(20)
 
 
+@query("select doc_id, cast(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) as bigint) newlines from documents")
+def newline_count(spark, sf):
+    t = F.coalesce("text", F.lit(""))
+    return D.table(spark, sf, "documents").select("doc_id", (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("long").alias("newlines"))
+
+
+@query(
+    "with b as (select page_id, coalesce(string_split(url, '/')[-1], '') base from pages) "
+    "select page_id, base, string_split(base, '.')[1] first_stem, case when contains(base, '.') then array_to_string(string_split(base, '.')[1:-2], '.') else base end last_stem from b"
+)
+def file_names(spark, sf):
+    """Base names, cut at the first and at the last dot."""
+    base = F.coalesce(F.substring_index("url", "/", -1), F.lit(""))
+    return D.table(spark, sf, "pages").select("page_id", base.alias("base"), F.substring_index(base, ".", 1).alias("first_stem"), F.regexp_replace(base, r"\.[^.]*$", "").alias("last_stem"))
+
+
 # Genome index
 
 
@@ -254,6 +270,14 @@ def assign_reads(spark, sf):
     return A.assign(D.reads(spark, sf), _index(spark, sf)).select("rid", "strand", "attempt", "mismatches", "gpos", "pos")
 
 
+@query(f"with {_BEST} select cast(count(*) as bigint) reads, cast(count(b.rid) as bigint) placed, cast(count(case when b.s = 1 then 1 end) as bigint) reversed, cast(coalesce(sum(b.h), 0) as bigint) mismatches from rd left join (select * from best where rn = 1) b on rd.rid = b.rid")
+def placement_totals(spark, sf):
+    """Share of reads placed, and on which strand."""
+    reads = D.reads(spark, sf)
+    got = reads.select("rid").join(A.assign(reads, _index(spark, sf)), "rid", "left")
+    return got.agg(F.count("*").alias("reads"), F.count("strand").alias("placed"), F.count(F.when(F.col("strand") == 1, 1)).alias("reversed"), F.coalesce(F.sum("mismatches"), F.lit(0)).cast("long").alias("mismatches"))
+
+
 def _classified(spark, sf):
     reads = D.reads(spark, sf)
     return A.classified(reads, A.assign(reads, _index(spark, sf)))
