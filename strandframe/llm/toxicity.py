@@ -27,7 +27,7 @@ from . import common as C
 #: At most about this many labelled rows are used to fit weights and curve.
 MAX_LABELLED = 16384
 #: A learned entry must be in this many and this share of the sample's toxic rows, and this much likelier there.
-MIN_TOXIC_ROWS, MIN_TOXIC_SHARE, MIN_LOG_ODDS = 8, 0.01, 4.0
+MIN_TOXIC_ROWS, MIN_TOXIC_SHARE, MIN_LOG_ODDS = 6, 0.01, 4.0
 #: Beginnings of words from 3 to this many letters are candidates, besides whole words.
 MAX_PREFIX = 8
 MAX_ENTRIES = 20000
