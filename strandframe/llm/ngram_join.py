@@ -60,12 +60,12 @@ def shingle_sets(words: C.Words, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, C.U)
 
 
-def class_id(s: np.ndarray) -> int:
-    """64-bit identity of a set."""
+def class_id(s: np.ndarray, which: int = 0) -> int:
+    """64-bit identity of a set; which: 0 or, for the few ids that two sets share, 1."""
     if not len(s):
         return 0
     with np.errstate(over="ignore"):
-        return int(C.signed(C.mix(np.array([np.add.reduce(C.mix(s ^ C._MULT[4])) + C.U(len(s))])))[0])
+        return int(C.signed(C.mix(np.array([np.add.reduce(C.mix(s ^ C._MULT[4 - which])) + C.U(len(s))])))[0])
 
 
 class Bands:
@@ -150,25 +150,26 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, cls, sketch): the shingle set of every document."""
+    """(doc_id, n, cls, other, sketch): the shingle set of every document; other is a second identity."""
 
     def run(batches):
         for batch in batches:
             data, off = C.text_buffers(batch.column(1))
-            n, cls, parity = [], [], []
+            n, cls, other, parity = [], [], [], []
             for lo, hi in C.row_chunks(off):
                 for s in shingle_sets(C.words_of(data, off, lo, hi, lower=True), k):
                     n.append(len(s))
                     cls.append(class_id(s))
+                    other.append(class_id(s, 1))
                     parity.append(sketch(s))
             flat = pa.array(np.concatenate(parity) if parity else np.zeros(0, np.int64))
             offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH_WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "n", "cls", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(other, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "n", "cls", "other", "sketch"])
 
-    return C.map_batches(C.keyed_texts(docs, key, text), run, "doc_id long, n long, cls long, sketch array<long>")
+    return C.map_batches(C.keyed_texts(docs, key, text), run, "doc_id long, n long, cls long, other long, sketch array<long>")
 
 
-def block_rows(docs: DataFrame, k: int, percent: int, text: str = "text") -> DataFrame:
+def block_rows(docs: DataFrame, k: int, percent: int, clashing: frozenset[int], text: str = "text") -> DataFrame:
     """(block, cls): what every class sends to the pigeonhole join; a class is left out where this task has sent it already."""
 
     def run(batches):
@@ -180,6 +181,8 @@ def block_rows(docs: DataFrame, k: int, percent: int, text: str = "text") -> Dat
             for lo, hi in C.row_chunks(off):
                 for s in shingle_sets(C.words_of(data, off, lo, hi, lower=True), k):
                     c = class_id(s)
+                    if c in clashing:
+                        c = class_id(s, 1)
                     if not len(s) or c in sent:
                         continue
                     if len(sent) > 500_000:
@@ -224,12 +227,24 @@ def _one(text: pa.Scalar, k: int) -> np.ndarray:
     return next(shingle_sets(C.Words(data, off, lower=True), k))
 
 
-def link_classes(docs: DataFrame, known: DataFrame, k: int, percent: int, work: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def told_apart(known: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """known with the second identity where two sets share the first, and those ids.
+
+    Of n sets about n * n / 2**65 pairs share a 64-bit id: none below a billion documents, a few dozen at 10**10.5.
+    """
+    shared = known.groupBy("cls").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo < hi").select("cls")
+    clashing = frozenset(r.cls for r in shared.collect())
+    if not clashing:
+        return known, clashing
+    return known.withColumn("cls", F.when(F.col("cls").isin(list(clashing)), F.col("other")).otherwise(F.col("cls"))), clashing
+
+
+def link_classes(docs: DataFrame, known: DataFrame, clashing: frozenset[int], k: int, percent: int, work: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, label) over linked classes: label is the smallest class of the component. known: classes()."""
     spark = docs.sparkSession
     bands = Bands(percent)
     one = known.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
-    rows = block_rows(docs, k, percent, text)
+    rows = block_rows(docs, k, percent, clashing, text)
     shared = rows.groupBy("block").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most")
     members = C.stored(rows.join(shared.select("block"), "block").distinct(), f"{work}/members")
     one = C.stored(one.join(members.select("cls").distinct(), "cls", "left_semi"), f"{work}/classes")
@@ -282,8 +297,8 @@ def link_classes(docs: DataFrame, known: DataFrame, k: int, percent: int, work:
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", work: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) of every document."""
     work = work or C.shared_dir(docs.sparkSession)
-    known = C.stored(classes(docs, k, key, text), f"{work}/known")
-    lab = link_classes(docs, known, k, percent, work, key, text)
+    known, clashing = told_apart(C.stored(classes(docs, k, key, text), f"{work}/known"))
+    lab = link_classes(docs, known, clashing, k, percent, work, key, text)
     least = known.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     least = least.join(lab.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
     root = C.stored(least, f"{work}/least")

@@ -454,3 +454,11 @@ def test_word_hashes():
     for x, h in zip(words, w.hashes.tolist()):
         assert seen.setdefault(x, h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+def test_sets_that_share_an_identity(spark, monkeypatch):
+    rows = corpus(3, 80, 30, 60)
+    plain = ngram_join.class_id
+    monkeypatch.setattr(ngram_join, "class_id", lambda s, which=0: plain(s, which) if which or not len(s) else plain(s) % 7 + 1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs_of(spark, rows), 3, 90).collect()}
+    assert got == brute_components(rows, 3, 90)
