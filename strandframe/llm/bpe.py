@@ -35,8 +35,11 @@ from . import common as C
 LEXICON_WORDS = 1 << 16
 #: Longest word in the lexicon, in bytes.
 LEXICON_BYTES = 64
+HEAD_BYTES = 4
 #: Distinct white-space separated pieces that a worker remembers, each at most MEMO_CHARS long.
-MEMO_PIECES, MEMO_CHARS = 200_000, 64
+MEMO_PIECES, MEMO_CHARS = 600_000, 64
+#: ASCII marks that end a piece in ordinary prose.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Distinct words counted before a task hands on what it has.
 COUNTED_WORDS = 100_000
 
@@ -68,51 +71,58 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in j["added_tokens"]}
         self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        self.numbers = [str(i) for i in range(max(self.names) + 1)]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.ranks = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(merges)}
+        self.ranks = {(self.vocab[a], self.vocab[b]): r for r, (a, b) in enumerate(merges)}
+        self.joined = [self.vocab[a + b] for a, b in merges]
         letters = _byte_letters()
         self.first = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + WORD_END] for x in letters]
-        self.split = regex.compile(split)
+        self.split, self.space = regex.compile(split), regex.compile(r"\s+")
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def words(self, piece: str) -> list[str]:
-        """Words of a piece of text without special tokens."""
-        t = unicodedata.normalize("NFC", piece)
+    def pieces(self, text: str) -> list[str]:
+        """The text normalised, in lower case, and cut at white space."""
+        t = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
         # Letter by letter: a capital sigma at a word's end has no form of its own here.
-        return self.split.findall(t.lower() if "Σ" not in t else "".join([c.lower() for c in t]))
+        t = t.lower() if "Σ" not in t else "".join([c.lower() for c in t])
+        # Python also splits at \x1c-\x1f, which the tokenizer does not count as white space.
+        if any(c in t for c in "\x1c\x1d\x1e\x1f"):
+            return [x for x in self.space.split(t) if x]
+        return t.split()
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of lowest rank, leftmost first, is joined until none is left."""
-        ids = [self.first[b] for b in word[:-1]] + [self.last[word[-1]]]
-        ranks = self.ranks
-        if len(ids) < 24:
-            while len(ids) > 1:
-                best, at = None, -1
-                for i in range(len(ids) - 1):
-                    r = ranks.get((ids[i], ids[i + 1]))
-                    if r is not None and (best is None or r[0] < best[0]):
-                        best, at = r, i
-                if best is None:
-                    break
-                ids[at : at + 2] = [best[1]]
-            return ids
+        first, ranks, joined, never = self.first, self.ranks, self.joined, len(self.joined)
+        ids = [first[b] for b in word[:-1]]
+        ids.append(self.last[word[-1]])
         n = len(ids)
+        if n < 64:
+            rank = [ranks.get(p, never) for p in zip(ids, ids[1:])]
+            while rank and (r := min(rank)) < never:
+                i = rank.index(r)
+                ids[i : i + 2] = [joined[r]]
+                del rank[i]
+                if i:
+                    rank[i - 1] = ranks.get((ids[i - 1], ids[i]), never)
+                if i < len(rank):
+                    rank[i] = ranks.get((ids[i], ids[i + 1]), never)
+            return ids
         before, after, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1]), never)) < never]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right, joined = heapq.heappop(heap)
+            r, i, left, right = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or j < 0 or ids[i] != left or ids[j] != right:
                 continue
-            ids[i], alive[j], after[i] = joined, False, after[j]
+            ids[i], alive[j], after[i] = joined[r], False, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a in (before[i], i):
                 b = after[a] if a >= 0 else -1
-                if b >= 0 and (r := ranks.get((ids[a], ids[b]))):
-                    heapq.heappush(heap, (r[0], a, ids[a], ids[b], r[1]))
+                if b >= 0 and (r := ranks.get((ids[a], ids[b]), never)) < never:
+                    heapq.heappush(heap, (r, a, ids[a], ids[b]))
         return [x for x, on in zip(ids, alive) if on]
 
 
@@ -135,6 +145,7 @@ class Lexicon:
         self.first, self.target, self.skip, self.start, self.ids = parts
         self.labels, self.base = block, at
         self.n = words
+        self.heads: dict[bytes, tuple[int, int] | None] = {}
 
     @staticmethod
     def build(words: dict[bytes, list[int]]) -> bytes:
@@ -187,21 +198,34 @@ class Lexicon:
         head = struct.pack(Lexicon.HEAD, len(number), len(labels), len(order), len(flat))
         return head + b"".join(np.asarray(x, np.int32).tobytes() for x in (first, target, skip, start, flat)) + bytes(labels)
 
-    def get(self, word: bytes) -> list[int] | None:
-        """Ids of a word of the lexicon, else None."""
-        state, rank, final, base, first = 0, 0, False, self.base, self.first
-        find = self.labels.find
-        for i in range(len(word)):
-            a = find(word[i : i + 1], base + first[state], base + first[state + 1])
+    def _walk(self, part: bytes, state: int, rank: int) -> tuple[int, int] | None:
+        """(state, rank) behind part; a state at which a word may end comes as its complement."""
+        base, first, target, skip, find = self.base, self.first, self.target, self.skip, self.labels.find
+        for i in range(len(part)):
+            if state < 0:
+                state = ~state
+            a = find(part[i : i + 1], base + first[state], base + first[state + 1])
             if a < 0:
                 return None
             a -= base
-            rank += self.skip[a]
-            state = self.target[a]
-            final = state < 0
-            if final:
-                state = ~state
-        return self.ids[self.start[rank] : self.start[rank + 1]].tolist() if final else None
+            rank += skip[a]
+            state = target[a]
+        return state, rank
+
+    def get(self, word: bytes) -> list[int] | None:
+        """Ids of a word of the lexicon, else None. Where the first HEAD_BYTES lead is remembered."""
+        head = word[:HEAD_BYTES]
+        if head in self.heads:
+            at = self.heads[head]
+        else:
+            if len(self.heads) > 50_000:
+                self.heads.clear()
+            at = self.heads[head] = self._walk(head, 0, 0)
+        if at is not None and len(word) > HEAD_BYTES:
+            at = self._walk(word[HEAD_BYTES:], *at)
+        if at is None or at[0] >= 0:
+            return None
+        return self.ids[self.start[at[1]] : self.start[at[1] + 1]].tolist()
 
 
 def mapped(block: bytes) -> mmap.mmap | bytes:
@@ -218,18 +242,19 @@ def mapped(block: bytes) -> mmap.mmap | bytes:
 
 
 class Encoder:
-    """Encodes and decodes texts; remembers pieces between white space."""
+    """Encodes and decodes texts; remembers pieces between white space, in lower case and without their marks."""
 
     def __init__(self, spec: str, block: bytes | None):
         self.bpe = Bpe(spec)
         self.lexicon = Lexicon(mapped(block)) if block else None
-        self.ids: _Memo = _Memo(self)
         self.decoded: dict[str, str] = {}
+        self.ids: _Memo = _Memo(self)
         self.exact = 0
 
     def piece_ids(self, piece: str) -> list[int]:
+        """Ids of a piece that is normalised, in lower case and without white space."""
         out: list[int] = []
-        for w in self.bpe.words(piece):
+        for w in [piece] if piece.isalpha() else self.bpe.split.findall(piece):
             b = w.encode("utf-8", "surrogatepass")
             got = self.lexicon.get(b) if self.lexicon is not None and len(b) <= LEXICON_BYTES else None
             if got is None:
@@ -238,14 +263,6 @@ class Encoder:
             out += got
         return out
 
-    def pieces(self, text: str) -> list[str]:
-        # Python also splits at \x1c-\x1f, which the tokenizer does not count as white space.
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            import regex
-
-            return [x for x in regex.split(r"\s+", text) if x]
-        return text.split()
-
     def encode_text(self, text: str) -> tuple[str, str, int]:
         """(ids joined by one space, decoded text, number of ids)."""
         if self.bpe.at_special is not None and "<|" in text and (parts := self.bpe.at_special.split(text))[1:]:
@@ -263,32 +280,41 @@ class Encoder:
         return self._plain(text)
 
     def _plain(self, text: str) -> tuple[str, str, int]:
-        pieces = self.pieces(text)
+        pieces = self.bpe.pieces(text)
         if len(self.ids) > MEMO_PIECES:
             self.ids.clear()
             self.decoded.clear()
         ids = " ".join(map(self.ids.__getitem__, pieces))
-        decoded = self.decoded
-        dec = " ".join([decoded[p] if p in decoded else self._decode_piece(p) for p in pieces])
+        try:
+            dec = " ".join(map(self.decoded.__getitem__, pieces))
+        except KeyError:  # a piece too long to be remembered
+            names, decoded = self.bpe.names, self.decoded
+            dec = " ".join([decoded[p] if p in decoded else " ".join([names[int(i)] for i in self.ids[p].split()]) for p in pieces])
         return ids, dec, ids.count(" ") + 1 if ids else 0
 
-    def _decode_piece(self, piece: str) -> str:
-        names = self.bpe.names
-        return " ".join([names[int(i)] for i in self.ids[piece].split()])
-
 
 class _Memo(dict):
+    """Piece -> ids joined by a space; what is asked for first is worked out."""
+
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
 
     def __missing__(self, piece: str) -> str:
-        ids = self.encoder.piece_ids(piece)
-        out = " ".join(map(str, ids))
-        if len(piece) <= MEMO_CHARS:
+        enc = self.encoder
+        core = piece.rstrip(MARKS)
+        if core != piece and core and core[-1].isalnum():
+            # Marks after a letter or digit are a word of their own.
+            tail = piece[len(core) :]
+            out = f"{self[core]} {self[tail]}"
+            dec = f"{enc.decoded[core]} {enc.decoded[tail]}" if core in enc.decoded and tail in enc.decoded else None
+        else:
+            ids = enc.piece_ids(piece)
+            out = " ".join(map(enc.bpe.numbers.__getitem__, ids))
+            dec = " ".join(map(enc.bpe.names.__getitem__, ids)) if len(piece) <= MEMO_CHARS else None
+        if dec is not None and len(piece) <= MEMO_CHARS:
             self[piece] = out
-            names = self.encoder.bpe.names
-            self.encoder.decoded[piece] = " ".join([names[i] for i in ids])
+            enc.decoded[piece] = dec
         return out
 
 
@@ -318,7 +344,7 @@ def word_counts(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
         def out():
             words: Counter = Counter()
             for piece, n in counts.items():
-                for w in bpe.words(piece):
+                for w in [piece] if piece.isalpha() else bpe.split.findall(piece):
                     words[w] += n
             kept = [(b, n) for w, n in words.items() if len(b := w.encode("utf-8", "surrogatepass")) <= LEXICON_BYTES]
             counts.clear()
@@ -326,7 +352,7 @@ def word_counts(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                counts.update(t.split())
+                counts.update(bpe.pieces(t))
                 if len(counts) > COUNTED_WORDS:
                     yield out()
         yield out()
@@ -335,9 +361,21 @@ def word_counts(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
     return C.map_batches(texts, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, spec: str, text: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The automaton of the most frequent words; ties go to the smaller word."""
-    top = word_counts(docs, spec, text).orderBy(F.desc("n"), "word").limit(words).collect()
+def build_lexicon(docs: DataFrame, spec: str, text: str = "text", words: int = LEXICON_WORDS, work: str | None = None) -> bytes:
+    """The automaton of the most frequent words: all from the least count on that leaves at most `words` of them.
+
+    The count is found from how many words have each count, so no task sends more than its share of the lexicon.
+    """
+    counts = C.stored(word_counts(docs, spec, text), f"{work or C.shared_dir(docs.sparkSession)}/words")
+    # Counts from 4096 on are taken together by powers of two: a few thousand rows at any size.
+    step = F.expr("case when n < 4096 then n else shiftleft(1L, cast(floor(log2(n)) as int)) end")
+    least, total = 1 << 62, 0
+    for n, held in counts.groupBy(step.alias("least")).agg(F.count("*").alias("held")).orderBy(F.desc("least")).collect():
+        total += held
+        if total > words:
+            break
+        least = n
+    top = counts.where(F.col("n") >= least).collect()
     bpe = Bpe(spec)
     return Lexicon.build({bytes(r.word): bpe.merge(bytes(r.word)) for r in top})
 
