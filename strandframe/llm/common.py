@@ -70,6 +70,23 @@ def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 BATCH_ROWS = 512
 
 
+#: Rows of a lookup table sent to all executors at most, and pieces that a key's rows are dealt to beyond it.
+LOOKUP_ROWS, SALTS = 20_000, 64
+
+
+def join_lookup(df: DataFrame, lookup: DataFrame, key: str, salt: list[str]) -> DataFrame:
+    """df left-joined to a stored table with one short row per key.
+
+    The table is counted: up to LOOKUP_ROWS it goes to all executors and df is not moved;
+    beyond that both sides are dealt by key and salt, so that a key with a third of df's
+    rows is spread over SALTS tasks. salt: columns of df that tell its rows apart.
+    """
+    if lookup.count() <= LOOKUP_ROWS:
+        return df.join(F.broadcast(lookup), key, "left")
+    salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(*salt), F.lit(SALTS))).join(salted, [key, "_salt"], "left").drop("_salt")
+
+
 def map_batches(df: DataFrame, f, schema) -> DataFrame:
     """mapInArrow over batches of BATCH_ROWS rows at most, which leaves out empty batches."""
     conf = df.sparkSession.conf

@@ -8,7 +8,9 @@ the votes of each host, and the path with the most votes is used to extract all
 that host. A page that lacks the winning path is extracted with its own best path.
 
 Votes are added up within tasks first, so a host with a third of all pages costs one
-row per task and path. The winning paths are joined to the pages by host.
+row per task and path. The winning paths, one short row per host, are counted: as long
+as they are few they go to all executors and no page is moved; beyond that they are
+joined by host and salt, so that a large host's pages are spread over many tasks.
 
 A null or empty page gives an empty text; a page without host forms the host "".
 Ties between paths go to the longer vote score and then to the smaller path. Repeated
@@ -268,9 +270,9 @@ def host_paths(pages: DataFrame, url: str = "url", text: str = "html") -> DataFr
     return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), -F.col("score"), F.col("path"))).alias("path"))
 
 
-def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", work: str | None = None) -> DataFrame:
     """page_id, url, text and path (the consensus path used) for every row of pages."""
-    paths = host_paths(pages, url, text)
+    paths = C.stored(host_paths(pages, url, text), f"{work or C.shared_dir(pages.sparkSession)}/paths")
     given = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("html"), host_column(url).alias("host"))
 
     def run(batches):
@@ -279,5 +281,5 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", text
             out = [extract(blocks(page), tuple(p.split("/")) if p else None) for page, p in zip(batch.column(2).to_pylist(), path)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), batch.column(3)], ["page_id", "url", "text", "path"])
 
-    joined = given.join(paths, "host", "left").select("page_id", "url", "html", "path")
+    joined = C.join_lookup(given, paths, "host", ["page_id", "url"]).select("page_id", "url", "html", "path")
     return C.map_batches(joined, run, "page_id long, url string, text string, path string")
