@@ -189,4 +189,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold an item; the hits are stored and taken away by an anti join."""
     hits = find_contamination(docs, benchmark).select("doc_id").distinct()
     hits = C.stored(hits, f"{C.shared_dir(docs.sparkSession)}/hits")
-    return docs.join(hits, "doc_id", "left_anti")
+    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)

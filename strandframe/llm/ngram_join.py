@@ -308,7 +308,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id; the schema stays."""
+    """docs with one document of each component, the one with the smallest doc_id; the schema stays.
+
+    Rows that share an id stay or go together; rows without one stay.
+    """
     found = jaccard_components(docs, k, percent)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -50,3 +50,33 @@ def test_pipeline(spark):
     final = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in final.select("doc_id").collect()} == ids
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == ids
+
+
+def test_stages_take_awkward_tables(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, clashing names; then no rows at all."""
+    rows = [
+        (None, None, None, None, None), (1, "", "en", "s", 0), (2, None, "en", None, None), (3, "a b c d e f g", None, "s", 13), (3, "a b c d e f g", None, "s", 13),
+        (4, "a b c d e f g", "en", "s", 13), (None, "a b c d e f g", "en", "s", 13), (5, "word " * 30_000, "en", "s", 1), (6, "x\n" * 3000, "en", "s", 1), (7, "you idiot " * 9, "en", "s", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("numbers", "_n", "cls", "label", "toxic", "n", "place", "item_id", "prints"):
+        docs = docs.withColumn(name, docs.lang)
+    sf = f"file://{tmp_path}/sf"
+    spark.createDataFrame([(1, 1, 0), (None, None, None), (9, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "one two three four five six"), (2, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for table in (docs, docs.limit(0)):
+        at = table
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, at, sf)
+            n = out.count()
+            if out.columns != docs.columns:
+                assert out.columns[:2] == ["doc_id", "n_tokens"]
+            at = out
+        assert n == 0 if table is not docs else n >= 5
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_take_empty_tables(spark, tmp_path, name):
+    for t in ("documents", "labels", "benchmark", "pages"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{t}.parquet")
+    assert queries.QUERIES[name](spark, f"file://{tmp_path}").collect() == []
