@@ -61,11 +61,17 @@ def window_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return C.gram_hashes(hashes, WINDOW, 0), C.gram_hashes(hashes, WINDOW, 1)
 
 
-def first_places(w: np.ndarray) -> np.ndarray:
-    """First position of each distinct window hash, in order."""
-    order = np.argsort(w, kind="stable")
-    s = w[order]
-    return np.sort(order[np.r_[True, s[1:] != s[:-1]]]) if len(w) else np.zeros(0, np.int64)
+def first_places(w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    """First position of each distinct pair of window hashes, in order."""
+    if not len(w1):
+        return np.zeros(0, np.int64)
+    order = np.argsort(w1, kind="stable")
+    same = w1[order[1:]] == w1[order[:-1]]
+    if (w2[order[1:]][same] != w2[order[:-1]][same]).any():
+        # Windows that differ share their first hash: sort by both.
+        order = np.lexsort((np.arange(len(w1)), w2, w1))
+        same = (w1[order[1:]] == w1[order[:-1]]) & (w2[order[1:]] == w2[order[:-1]])
+    return np.sort(order[np.r_[True, ~same]])
 
 
 def _per_text(batch: pa.RecordBatch, column: int):
@@ -93,10 +99,8 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 own = np.unique(f)
                 prints.append(own)
                 if len(f):
-                    w = window_hashes(h)[0]
-                    first = first_places(w)
-                    again = np.ones(len(w), bool)
-                    again[first] = False
+                    again = np.ones(len(f), bool)
+                    again[first_places(*window_hashes(h))] = False
                     twice.append(np.unique(f[again]))
                 else:
                     twice.append(f)
@@ -203,7 +207,7 @@ def repeated_places(docs: DataFrame, candidates: DataFrame, key: str = "doc_id",
                 if not len(at):
                     continue
                 w1, w2 = window_hashes(h)
-                at = at[first_places(w1[at])]
+                at = at[first_places(w1[at], w2[at])]
                 for col, x in zip(cols, (w1[at], w2[at], np.full(len(at), ids[row], np.int64), at.astype(np.int32))):
                     col.append(x)
             w1, w2, d, p = (np.concatenate(c) for c in cols)
@@ -225,9 +229,8 @@ def _kept(h: np.ndarray, places: np.ndarray | None, copy: bool) -> np.ndarray:
         return stay
     if copy:
         return np.zeros(n, bool)
-    w = window_hashes(h)[0]
-    gone = np.ones(len(w), bool)
-    gone[first_places(w)] = False
+    gone = np.ones(n - WINDOW + 1, bool)
+    gone[first_places(*window_hashes(h))] = False
     if places is not None and len(places):
         gone[places] = True
     if gone.any():
