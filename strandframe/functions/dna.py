@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Window, seed and word lengths of the index, mismatches that are still a hit, shortest read that is placed.
+#: Window, seed and word count of the index, mismatches from which a window is no hit, shortest read that is placed.
 WINDOW, SEED, WORDS, MISMATCHES, MIN_READ = 54, 14, 5, 5, 68
 
 

@@ -23,6 +23,7 @@ def parse_dump(lines: DataFrame) -> DataFrame:
     """
     p = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#")).select("ord", F.split("value", "\t").alias("p")).where(F.size("p") >= 12)
     last = F.element_at("p", -1)
+    # Fixed value: the pattern of a list of frequencies.
     plain = last.rlike(r"^([01]\.\d+?,){2,}$")
     pick = lambda a, b: F.when(plain, F.element_at("p", a)).otherwise(F.element_at("p", b))
     parts = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
