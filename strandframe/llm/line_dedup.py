@@ -20,6 +20,9 @@ differ inside one piece of the longer one, and have the words before and behind
 common. This loses no pair; only the words of the pieces that may differ are then taken
 out, which keeps the join small.
 
+Texts are joined to what was found out about them by sort-merge joins at every size: the
+lists of lines grow with the corpus and are never sent to all executors.
+
 Null and empty texts have no lines to lose. Ties are settled by place; rows that share a
 doc_id share their lines' places, so a line is never removed for its own twin there. An
 empty table gives an empty result; extra columns are ignored.
@@ -36,7 +39,7 @@ from . import common as C
 
 #: Shorter lines are left alone.
 MIN_WORDS = 5
-PIECES = 3
+PIECES = 2
 
 
 class _Lines:
@@ -87,26 +90,26 @@ def piece_bounds(n, i: int):
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(line, check, n, pieces, doc_id, number) of every line of MIN_WORDS words or more; line and check are its hashes."""
+    """(line, check, pieces, doc_id, number) of every line of MIN_WORDS words or more; line and check are its hashes."""
 
     def run(batches):
         for batch in batches:
             data, off = C.text_buffers(batch.column(1))
             ids = np.asarray(batch.column(0))
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
             for lo, hi in C.row_chunks(off):
-                found = _Lines(C.words_of(data, off, lo, hi), off[lo:hi + 1] - off[lo])
-                for col, x in zip(cols, (found.hashes(0), found.hashes(1), found.n, found.piece_keys().ravel(), ids[lo:hi][found.text], found.number)):
+                found = _Lines(C.words_of(data, off, lo, hi), off[lo : hi + 1] - off[lo])
+                for col, x in zip(cols, (found.hashes(0), found.hashes(1), found.piece_keys().ravel(), ids[lo:hi][found.text], found.number)):
                     col.append(x)
             cat = [np.concatenate(c) for c in cols]
             starts = pa.array(np.arange(len(cat[0]) + 1, dtype=np.int32) * 2 * PIECES)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(C.signed(cat[0])), pa.array(C.signed(cat[1])), pa.array(cat[2].astype(np.int32)), pa.ListArray.from_arrays(starts, pa.array(C.signed(cat[3]))), pa.array(cat[4].astype(np.int64)), pa.array(cat[5].astype(np.int32))],
-                ["line", "check", "n", "pieces", "doc_id", "number"],
+                [pa.array(C.signed(cat[0])), pa.array(C.signed(cat[1])), pa.ListArray.from_arrays(starts, pa.array(C.signed(cat[2]))), pa.array(cat[3].astype(np.int64)), pa.array(cat[4].astype(np.int32))],
+                ["line", "check", "pieces", "doc_id", "number"],
             )
 
     given = C.keyed_texts(docs, key, text).where("doc_id is not null")
-    return C.map_batches(given, run, "line long, check long, n int, pieces array<long>, doc_id long, number int")
+    return C.map_batches(given, run, "line long, check long, pieces array<long>, doc_id long, number int")
 
 
 def variants(h: np.ndarray, open_: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +144,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", text: st
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["line", "check", "doc_id", "number", "shared", "content"])
 
-    given = C.keyed_texts(docs, key, text).join(wanted, "doc_id").select("doc_id", "text", "wanted")
+    given = C.keyed_texts(docs, key, text).join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted")
     return C.map_batches(given, run, "line long, check long, doc_id long, number int, shared array<int>, content string")
 
 
@@ -207,13 +210,14 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", work
     work = work or C.shared_dir(spark)
     every = C.stored(lines(docs, key, text), f"{work}/lines")
     place = F.struct("doc_id", "number")
-    distinct = C.stored(every.groupBy("line", "check").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.any_value("pieces").alias("pieces")), f"{work}/distinct")
+    distinct = C.stored(every.groupBy("line", "check").agg(F.min(place).alias("place"), F.count("*").alias("copies")), f"{work}/distinct")
 
     # Lines that agree with another in all but one piece, and in which pieces that may be.
-    keys = distinct.select("line", "check", F.posexplode("pieces").alias("no", "key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = keys.join(shared, "key").groupBy("line", "check").agg(F.sort_array(F.collect_set(F.col("no").cast("int"))).alias("shared"))
-    near = near.join(distinct.select("line", "check", "place"), ["line", "check"])
+    keys = every.select("line", F.posexplode("pieces").alias("no", "key"))
+    shared = keys.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("key")
+    near = keys.join(shared, "key").groupBy("line").agg(F.sort_array(F.collect_set(F.col("no").cast("int"))).alias("shared"))
+    near = C.stored(distinct.select("line", "check", "place").join(near, "line"), f"{work}/near")
+    C.release(spark)
     wanted = near.groupBy("place.doc_id").agg(F.collect_list(F.struct(F.col("place.number").alias("number"), "line", "check", "shared")).alias("wanted"))
     texts = C.stored(line_texts(docs, wanted, key, text), f"{work}/texts")
     C.release(spark)
@@ -225,12 +229,13 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", work
         first = other.groupBy("key").agg(F.min(F.struct("place", "line", "check")).alias("y"))
         met = one.join(first, "key").where("y.place < place").select("line", "check", F.col("y.line").alias("line_y"), F.col("y.check").alias("check_y"))
         pairs = met if pairs is None else pairs.union(met)
-    alike = _verified(pairs.distinct(), texts)
+    alike = C.stored(_verified(pairs.distinct(), texts), f"{work}/alike")
 
     first_gone = distinct.join(alike, ["line", "check"]).select("place.doc_id", "place.number")
     later = every.join(distinct.where("copies > 1").select("line", "check", "place"), ["line", "check"]).where(place != F.col("place")).select("doc_id", "number")
-    gone = first_gone.union(later)
-    return C.stored(gone.groupBy("doc_id").agg(F.collect_set("number").alias("numbers")), f"{work}/gone")
+    gone = C.stored(first_gone.union(later).groupBy("doc_id").agg(F.collect_set("number").alias("numbers")), f"{work}/gone")
+    C.release(spark)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", work: str | None = None) -> DataFrame:
@@ -253,16 +258,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", work:
                 out.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
 
-    joined = C.keyed_texts(docs, key, text).join(gone, "doc_id", "left").select("doc_id", "text", "numbers")
+    joined = C.keyed_texts(docs, key, text).join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "numbers")
     return C.map_batches(joined, run, "doc_id long, n_lines long, n_removed long, text string")
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
-    """docs with shortened texts and their n_chars, if there is such a column; a document that loses all its words goes."""
-    gone = removed_lines(docs)
-    text = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("numbers", i)), "\n")
-    out = docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("numbers").isNull(), F.col("text")).otherwise(text))
-    out = out.where(F.col("numbers").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """docs with shortened texts and their n_chars, if there is such a column; a document that loses all its words goes.
+
+    Rows without a doc_id stay as they are.
+    """
+    gone = removed_lines(docs).withColumnRenamed("numbers", "_gone")
+    lost = F.col("_gone").isNotNull()
+    text = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    out = docs.join(gone.hint("merge"), "doc_id", "left").withColumn("text", F.when(lost, text).otherwise(F.col("text")))
+    out = out.where(~lost | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("numbers").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(lost, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
