@@ -102,6 +102,18 @@ def windows(ctg: DataFrame) -> DataFrame:
     return pieces(ctg).select("offset", "seq").mapInArrow(run, "gpos long, hi long, lo long, seed int")
 
 
+def seed_counts(ctg: DataFrame) -> DataFrame:
+    """(seed, n): windows of each seed, counted within Arrow batches before the shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            low = [np.zeros(0, np.int64)] + [_packed(seq.encode("ascii", "replace"))[2] for seq in batch.column(0).to_pylist()]
+            seed, n = np.unique(np.concatenate(low) & SEED_MASK, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int32)), pa.array(n.astype(np.int64))], ["seed", "n"])
+
+    return pieces(ctg).select("seq").mapInArrow(run, "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+
+
 def located(snps: DataFrame, ctg: DataFrame) -> DataFrame:
     """(gpos, alt): variants on the global axis; unknown chromosomes are dropped, the first of a position is kept.
 
@@ -129,10 +141,13 @@ def alternate_windows(ctg: DataFrame, snps: DataFrame) -> DataFrame:
 
 def distinct_windows(plain: DataFrame, alternate: DataFrame | None = None) -> DataFrame:
     """(hi, lo, seed, is_alt, gpos): each distinct window once; the reference goes before a variant, then the smallest place."""
-    every = plain.withColumn("is_alt", F.lit(False))
+    # Flag and place in one long, so the minimum is a hash aggregation: the top bit but one is the flag.
+    flag = 1 << 62
+    every = plain.select("hi", "lo", F.col("gpos").alias("p"))
     if alternate is not None:
-        every = every.union(alternate.withColumn("is_alt", F.lit(True)))
-    return every.groupBy("hi", "lo").agg(F.min(F.struct("is_alt", "gpos")).alias("m")).select("hi", "lo", F.col("lo").bitwiseAND(F.lit(SEED_MASK)).cast("int").alias("seed"), "m.is_alt", "m.gpos")
+        every = every.union(alternate.select("hi", "lo", F.col("gpos").bitwiseOR(F.lit(flag)).alias("p")))
+    least = every.groupBy("hi", "lo").agg(F.min("p").alias("p"))
+    return least.select("hi", "lo", F.col("lo").bitwiseAND(F.lit(SEED_MASK)).cast("int").alias("seed"), (F.col("p") >= flag).alias("is_alt"), F.col("p").bitwiseAND(F.lit(flag - 1)).alias("gpos"))
 
 
 def window_text(hi="hi", lo="lo"):

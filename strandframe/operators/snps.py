@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from strandframe.functions import dna
 
 SPACING = dna.WINDOW
+#: Stretches without wide gaps that are walked by one call.
+ISLANDS = 512
 MIN_FREQUENCY, MIN_SUPPORT = 0.01, 100.0
 
 
@@ -46,7 +48,6 @@ def spaced(rows: DataFrame, distance: int = SPACING) -> DataFrame:
     """
     by = Window.partitionBy("chrom").orderBy("start")
     cut = rows.withColumn("_new", (F.col("start") - F.lag("start").over(by) > distance).cast("int")).withColumn("_island", F.sum(F.coalesce("_new", F.lit(0))).over(by))
-
     columns = rows.columns
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -58,7 +59,8 @@ def spaced(rows: DataFrame, distance: int = SPACING) -> DataFrame:
             last = p if fits else last
         return pdf[keep][columns]
 
-    return cut.groupBy("chrom", "_island").applyInPandas(walk, rows.schema)
+    # A group is a few hundred neighbouring stretches: the gap between two of them is too wide to matter.
+    return cut.groupBy("chrom", F.floor(F.col("_island") / ISLANDS)).applyInPandas(walk, rows.schema)
 
 
 def select_snps(rows: DataFrame, contigs: DataFrame, spacing: bool = True) -> DataFrame:

@@ -11,6 +11,7 @@ from strandframe.functions import bits, codecs, dna
 from strandframe.operators import assign as A
 from strandframe.operators import bitmap as S
 from strandframe.operators import genome as G
+from strandframe.operators import kmers as K
 from strandframe.operators import reads as R
 from strandframe.operators import snps as V
 from strandframe.sources import variants
@@ -108,10 +109,6 @@ def rev_comp_inplace_compat(spark, sf):
     return D.documents(spark, sf).select("doc_id", dna.reverse_complement_in_place("seq").alias("rc"))
 
 
-def _kmers(spark, sf, k):
-    return D.documents(spark, sf).select(F.explode(dna.kmers("seq", k)).alias("kmer"))
-
-
 def _kmers_sql(k):
     return f"{SQL_D}, k as (select unnest(list_transform(range(1, length(seq) - {k - 2}), lambda i: substring(seq, i, {k}))) kmer from d where length(seq) >= {k})"
 
@@ -128,7 +125,7 @@ _DISTINCT8 = f"{_kmers_sql(8)}, u as (select distinct kmer from k)"
     "select kmer, kmer as text, id, rev as rev_id, rc as rc_id, least(id, rc) as min_id, ((id << 2) | 3) & 65535 as next_id, (id >> 2) | (cast(2 as bigint) << 14) as prev_id from i"
 )
 def kmer_codes(spark, sf):
-    u = _kmers(spark, sf, 8).distinct().withColumn("id", dna.kmer_id("kmer"))
+    u = K.counts(D.documents(spark, sf), 8).select("kmer").withColumn("id", dna.kmer_id("kmer"))
     return u.select(
         "kmer", dna.kmer_text("id", 8).alias("text"), "id", dna.reversed_id("kmer").alias("rev_id"), dna.rc_id("kmer").alias("rc_id"),
         F.least("id", dna.rc_id("kmer")).alias("min_id"), dna.next_id("id", F.lit(3).cast("long"), 8).alias("next_id"), dna.prev_id("id", F.lit(2), 8).alias("prev_id"),
@@ -137,7 +134,7 @@ def kmer_codes(spark, sf):
 
 @query(f"with {_DISTINCT8} select kmer, case when reverse(kmer) < reverse({D.SQL_RC.format('kmer')}) then -1 when reverse(kmer) > reverse({D.SQL_RC.format('kmer')}) then 1 else 0 end as ord, substring(kmer, 1, 3) || 'N' || substring(kmer, 5) as replaced from u")
 def window_order(spark, sf):
-    u = _kmers(spark, sf, 8).distinct()
+    u = K.counts(D.documents(spark, sf), 8)
     return u.select("kmer", dna.compare_reversed("kmer", dna.reverse_complement("kmer")).alias("ord"), dna.substituted("kmer", F.lit("N"), F.lit(3)).alias("replaced"))
 
 
@@ -149,17 +146,17 @@ def base_tests(spark, sf):
 
 @query(f"with {_kmers_sql(8)} select kmer, cast(count(*) as bigint) n from k group by kmer")
 def kmer_counts(spark, sf):
-    return _kmers(spark, sf, 8).groupBy("kmer").agg(F.count("*").alias("n"))
+    return K.counts(D.documents(spark, sf), 8)
 
 
 @query(f"with {_kmers_sql(8)} select least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) kmer, cast(count(*) as bigint) n from k group by 1")
 def canonical_kmers(spark, sf):
-    return _kmers(spark, sf, 8).groupBy(dna.canonical("kmer").alias("kmer")).agg(F.count("*").alias("n"))
+    return K.counts(D.documents(spark, sf), 8, canonical=True)
 
 
 @query(f"with {_kmers_sql(14)} select least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) kmer, cast(count(*) as bigint) n from k group by 1 order by n desc, kmer limit 20")
 def kmer_topk(spark, sf):
-    return _kmers(spark, sf, 14).groupBy(dna.canonical("kmer").alias("kmer")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kmer").limit(20)
+    return K.top(D.documents(spark, sf), 14, 20)
 
 
 @query("select doc_id, cast(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) as bigint) newlines from documents")
@@ -197,9 +194,9 @@ def ref_contigs(spark, sf):
 @query(f"with {_CTG}, w as (select chrom, substring(seq, pos, 54) w from (select chrom, seq, unnest(range(1, len - 52)) pos from c where len >= 54)) select substring(w, 41, 4) word, cast(count(*) as bigint) n, cast(count(distinct substring(w, 41, 14)) as bigint) seeds from w group by 1")
 def ref_windows(spark, sf):
     """Windows by the first four bases of their seed."""
-    w = G.windows(_contigs(spark, sf)).select(dna.kmer_text(F.shiftright("seed", 20), 4).alias("word"), "seed")
-    per = w.groupBy("word", "seed").agg(F.count("*").alias("n"))
-    return per.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("seeds"))
+    per = G.seed_counts(_contigs(spark, sf))
+    words = per.groupBy(F.shiftright("seed", 20).alias("w")).agg(F.sum("n").alias("n"), F.count("*").alias("seeds"))
+    return words.select(dna.kmer_text("w", 4).alias("word"), "n", "seeds")
 
 
 @query(f"with {_WIN}, u as (select w, count(*) n, min(gpos) p from w group by w) select cast(n as bigint) copies, cast(count(*) as bigint) windows, cast(sum(p) as bigint) places from u group by n")

@@ -192,3 +192,36 @@ def test_streaming_places_arriving_files(spark, files, tmp_path):
     q.awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(rows) == 70 and {r.cls for r in rows} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("k", [1, 5, 14, 31])
+def test_kmer_counts(spark, k):
+    from collections import Counter
+
+    from strandframe.operators import kmers
+
+    rng = random.Random(k)
+    seqs = ["", "ACGT", None, "N" * 40] + ["".join(rng.choice("ACGTACGTACGTN") for _ in range(rng.randrange(20, 200))) for _ in range(30)]
+    plain = Counter(s[i : i + k] for s in seqs if s for i in range(len(s) - k + 1) if "N" not in s[i : i + k])
+    both = Counter()
+    for s, n in plain.items():
+        both[min(s, s.translate(RC)[::-1])] += n
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    assert {r.kmer: r.n for r in kmers.counts(df, k).collect()} == plain
+    assert {r.kmer: r.n for r in kmers.counts(df, k, canonical=True).collect()} == both
+
+
+def test_spacing_of_variants(spark):
+    from strandframe.operators import snps
+
+    rng = random.Random(3)
+    rows = [(c, p) for c in ("x", "y") for p in sorted(rng.sample(range(6000), 300))]
+    want = []
+    for c in ("x", "y"):
+        last = None
+        for d, p in rows:
+            if d == c and (last is None or p - last > 54):
+                want.append((c, p))
+                last = p
+    got = snps.spaced(spark.createDataFrame(rows, "chrom string, start long"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
