@@ -154,6 +154,7 @@ def inverse_frequencies(files: DataFrame, text: str = "text", templates=TEMPLATE
 def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", keys: tuple[str, ...] = (), work: str | None = None) -> DataFrame:
     """keys, path, license, score, origin (own, inherited or none) and from_dir for every file."""
     spark = files.sparkSession
+    work = work or C.shared_dir(spark)
     idf, unknown = inverse_frequencies(files, text)
 
     def run(batches):
@@ -166,7 +167,7 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", keys
     given = files.select(*keys, F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
     scanned = C.map_batches(given, run, f"{fields}, own string, score double, covers boolean")
-    scanned = C.stored(scanned.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")), f"{work or C.shared_dir(spark)}/scanned")
+    scanned = C.stored(scanned.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")), f"{work}/scanned")
 
     licensing = scanned.where(F.col("own").isNotNull() & (F.col("covers") | F.col("path").rlike(_FILE_NAME)))
     of_dir = licensing.groupBy("dir").agg(F.min_by("own", F.struct(-F.col("score"), F.col("own"), F.col("path"))).alias("given"))
@@ -174,7 +175,7 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", keys
     dirs = scanned.select("dir").distinct()
     up = dirs.select("dir", F.explode(F.expr("transform(sequence(0, size(split(dir, '/'))), i -> struct(i as depth, array_join(slice(split(dir, '/'), 1, i), '/') as above))")).alias("a")).select("dir", "a.*")
     nearest = up.join(of_dir.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max_by(F.struct("given", "above"), "depth").alias("near"))
-    out = scanned.join(nearest, "dir", "left")
+    out = C.join_lookup(scanned, C.stored(nearest, f"{work}/nearest"), "dir", [*keys, "path"])
     return out.select(
         *keys, "path", F.coalesce("own", "near.given").alias("license"), F.round("score", 4).alias("score"),
         F.when(F.col("own").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").otherwise("none").alias("origin"),
