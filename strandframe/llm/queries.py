@@ -51,7 +51,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_contamination
 
-    return find_contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    found = find_contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start_word", "n_words")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +105,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_join": r"""
+        with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+        s as (select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else array_to_string(w[i:i + 2], ' ') end sh
+              from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) i from w where len(w) > 0)),
+        n as (select doc_id, count(*) n from s group by doc_id),
+        p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+        l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 90 * (nx.n + ny.n - c)),
+        r(x, y) as (select x, y from l union select r.x, l.y from r join l on r.y = l.x),
+        m as (select x, min(y) y from r group by x)
+        select w.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, least(w.doc_id, coalesce(m.y, w.doc_id)) component_id
+        from w left join n using (doc_id) left join m on m.x = w.doc_id""",
+    "op3_substring_dedup": r"""
+        with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+        v as (select doc_id, i, row_number() over (partition by array_to_string(w[i:i + 19], ' ') order by doc_id, i) > 1 dup
+              from (select doc_id, w, unnest(range(1, len(w) - 18)) i from w where len(w) >= 20)),
+        t as (select doc_id, i, word, coalesce(max(cast(dup as int)) over (partition by doc_id order by i rows between 19 preceding and current row), 0) gone
+              from (select doc_id, unnest(range(1, len(w) + 1)) i, unnest(w) word from w) left join v using (doc_id, i)),
+        k as (select doc_id, sum(gone) g, string_agg(word, ' ' order by i) filter (gone = 0) kept from t group by doc_id)
+        select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(g, 0) as bigint) n_removed, sha256(coalesce(kept, '')) kept_sha256 from w left join k using (doc_id)""",
     "op5_line_dedup": r"""
         with parts as (select doc_id, string_split(coalesce(text, ''), chr(10)) p from documents),
         l as (select doc_id, no, p[no + 1] content, list_filter(string_split_regex(p[no + 1], '[\x20\x09-\x0D]+'), lambda x: x <> '') w
@@ -122,6 +142,16 @@ ORACLES: dict[str, str] = {
         select p.doc_id, cast(len(p.p) as bigint) n_lines, cast(len(coalesce(nos, [])) as bigint) n_removed,
                sha256(array_to_string(list_filter(p.p, lambda x, i: not list_contains(coalesce(nos, []), i - 1)), chr(10))) kept_sha256
         from parts p left join g using (doc_id)""",
+    "op6_decontamination": r"""
+        with d as (select doc_id id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
+        b as (select item_id id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') w from benchmark),
+        dg as (select id, n, i - 1 p, array_to_string(w[i:i + 4], ' ') g from (select id, w, len(w) - 4 n, unnest(range(1, len(w) - 3)) i from d where len(w) >= 5)),
+        bg as (select id, m, g, count(*) c from (select id, len(w) - 4 m, array_to_string(w[i:i + 4], ' ') g from (select id, w, unnest(range(1, len(w) - 3)) i from b where len(w) >= 5)) group by 1, 2, 3),
+        h as (select dg.id doc_id, bg.id item_id, dg.n, bg.m, p, dg.g, c from dg join bg on dg.g = bg.g),
+        s as (select distinct doc_id, item_id, m, s from (select doc_id, item_id, n, m, unnest(range(greatest(p - m + 1, 0), least(p, n - m) + 1)) s from h)),
+        k as (select s.doc_id, s.item_id, s.m, s.s, h.g, least(count(*), any_value(h.c)) c from s join h on h.doc_id = s.doc_id and h.item_id = s.item_id and h.p between s.s and s.s + s.m - 1 group by 1, 2, 3, 4, 5),
+        v as (select doc_id, item_id, m, s, sum(c) / m sim from k group by doc_id, item_id, m, s)
+        select doc_id, item_id, max(sim) similarity, cast(arg_max(s, (sim, -s)) as bigint) start_word, cast(any_value(m) + 4 as bigint) n_words from v where sim >= 0.8 group by doc_id, item_id""",
     "op10_exact_dedup": """
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') x from documents),
         g as (select x, max(doc_id) keep_id, count(*) n from t group by x)
