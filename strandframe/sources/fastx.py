@@ -11,11 +11,14 @@ import gzip
 import io
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "file_ord int, file string, rec_no long, name string, comment string, seq string, qual string"
+#: Bases of one Arrow batch.
+BATCH_BASES = 4 << 20
 
 
 def parse(stream) -> Iterator[tuple[str, str, str, str | None]]:
@@ -77,10 +80,8 @@ class _Reader(DataSourceReader):
         return [_File(i, p) for i, p in enumerate(self.paths)]
 
     def read(self, partition):
-        path = partition.path.removeprefix("file://")
-        with open(path, "rb") as f:
-            for rec_no, (name, comment, seq, qual) in enumerate(parse(opened(f))):
-                yield partition.at, partition.path, rec_no, name, comment, seq, qual
+        with open(partition.path.removeprefix("file://"), "rb") as f:
+            yield from batches_of(partition.at, partition.path, opened(f))
 
 
 class FastxDataSource(DataSource):
@@ -101,46 +102,56 @@ class FastxDataSource(DataSource):
         return _Reader(paths)
 
 
-def read_fastx(spark: SparkSession, paths: list[str], local: bool = False) -> DataFrame:
+def read_fastx(spark: SparkSession, paths: list[str], local: bool | None = None) -> DataFrame:
     """All records of the files in argument order.
 
-    Files are opened through Spark's own reader, so any store that Spark reads will do;
-    local=True uses the "fastx" source over paths that every executor can open.
+    local: read by the "fastx" source, which streams files of any size that every executor can
+    open. Otherwise files come through Spark's own reader, so any store that it reads will do,
+    but a file is one row and so at most 2 GiB. Left open, paths with a scheme other than file:
+    go through Spark's reader.
     """
+    if not paths:
+        return spark.createDataFrame([], SCHEMA)
+    if local is None:
+        local = not any("://" in p and not p.startswith("file://") for p in paths)
     if local:
         import json
 
         spark.dataSource.register(FastxDataSource)
         return spark.read.format("fastx").option("paths", json.dumps(paths)).load()
-    order = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "file_ord int, given string")
-    out = None
-    for i, p in enumerate(paths):
-        one = spark.read.format("binaryFile").load(p).select(F.lit(i).cast("int").alias("file_ord"), F.lit(p).alias("file"), "content")
-        out = one if out is None else out.union(one)
-    if out is None:
-        return spark.createDataFrame([], SCHEMA)
+    conf, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    full = [path_of(p).getFileSystem(conf).makeQualified(path_of(p)).toString() for p in paths]
+    # One row per argument: the list is in the driver's hands already.
+    order = spark.createDataFrame([(q, i, p) for i, (q, p) in enumerate(zip(full, paths))], "path string, file_ord int, file string")
+    files = spark.read.format("binaryFile").load(sorted(set(full))).select("path", "content")
+    out = files.join(F.broadcast(order), "path").select("file_ord", "file", "content")
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for at, file, content in zip(*(c.to_pylist() for c in batch.columns)):
-                rows, size = [], 0
-                for rec_no, rec in enumerate(parse(opened(content))):
-                    rows.append((at, file, rec_no, *rec))
-                    size += len(rec[2])
-                    if size > 1 << 22:
-                        yield _batch(pa, rows)
-                        rows, size = [], 0
-                yield _batch(pa, rows)
+                yield from batches_of(at, file, opened(content))
 
     return out.mapInArrow(run, SCHEMA)
 
 
-def _batch(pa, rows):
-    cols = list(zip(*rows)) or [[]] * 7
+def batches_of(at: int, file: str, stream) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of about BATCH_BASES bases of the records of a stream."""
+    rows: list[tuple] = []
+    size = 0
+    for rec_no, rec in enumerate(parse(stream)):
+        rows.append((at, file, rec_no, *rec))
+        size += len(rec[2])
+        if size > BATCH_BASES:
+            yield _batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["file_ord", "file", "rec_no", "name", "comment", "seq", "qual"])
+    names = ["file_ord", "file", "rec_no", "name", "comment", "seq", "qual"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def path_list(spark: SparkSession, list_file: str) -> list[str]:

@@ -61,7 +61,7 @@ def files(tmp_path_factory):
 def test_parser_agrees_between_readers(spark, files):
     d, _, every = files
     paths = [str(d / n) for n in every]
-    a = fastx.read_fastx(spark, paths).orderBy("file_ord", "rec_no").collect()
+    a = fastx.read_fastx(spark, paths, local=False).orderBy("file_ord", "rec_no").collect()
     b = fastx.read_fastx(spark, paths, local=True).orderBy("file_ord", "rec_no").collect()
     assert a == b and [r.seq for r in a] == [s for out in every.values() for s in out]
     assert a[0].name == "r0" and a[0].comment == "x" and a[0].qual == "@" * len(a[0].seq)
