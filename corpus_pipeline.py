@@ -53,7 +53,8 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: A learned lexicon and BPE are beyond SQL; tests/llm holds each stage against brute force.
+#: A learned lexicon and BPE are beyond SQL; tests/llm holds the stages' operators against brute force,
+#: the tokenizers library and held-out rows.
 ORACLE_SQL = None
 
 
