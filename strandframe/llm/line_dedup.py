@@ -4,7 +4,9 @@ A line's words are its runs of characters without white space. Two lines are ali
 one becomes the other by at most one word edit: a word put in, taken out or replaced. A
 line goes when an earlier line (smaller doc_id, or same document and earlier line) is
 alike; lines are judged on the input, not on what is left. Lines of fewer than MIN_WORDS
-words stay: they say too little to be taken for copies.
+words are never taken for edited copies. With short_copies, as in the pipeline, those
+whose words equal an earlier line's go too, at any length; without it, as in the query
+and its SQL twin, they stay. Lines without a word always stay.
 
 Equal lines are first folded into one entry with its earliest place. Each distinct line
 emits its neighbourhood as hashed keys: itself, and itself without each of its words. Two
@@ -37,15 +39,15 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Shorter lines are left alone.
+#: Shorter lines are compared for equality at most.
 MIN_WORDS = 5
 PIECES = 2
 
 
 class _Lines:
-    """Lines of MIN_WORDS words or more of a chunk of texts, with hashes of any range of their words."""
+    """Lines of shortest words or more of a chunk of texts, with hashes of any range of their words."""
 
-    def __init__(self, words: C.Words, offsets: np.ndarray):
+    def __init__(self, words: C.Words, offsets: np.ndarray, shortest: int = MIN_WORDS):
         feeds = np.flatnonzero(words.data == 10)
         n_texts = len(offsets) - 1
         text = np.repeat(np.arange(n_texts), np.diff(words.first))
@@ -53,7 +55,7 @@ class _Lines:
         # A line is a run of words with the same text and line number.
         edge = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (number[1:] != number[:-1])]) if len(text) else np.zeros(0, np.int64)
         ends = np.r_[edge[1:], len(text)].astype(np.int64) if len(text) else edge
-        long = ends - edge >= MIN_WORDS
+        long = ends - edge >= shortest
         self.a, self.b = edge[long], ends[long]
         self.text, self.number = text[self.a], number[self.a]
         self.n = self.b - self.a
@@ -72,14 +74,16 @@ class _Lines:
         return C.mix(self.ranges(self.a, self.b, which) + self.n.astype(C.U))
 
     def piece_keys(self) -> np.ndarray:
-        """For each line and (longer line of n or n + 1 words, piece): hash of the words before and behind the piece."""
-        out = np.empty((len(self.a), 2 * PIECES), C.U)
+        """For each line of MIN_WORDS words or more and (longer line of n or n + 1 words, piece): hash of the words before and behind the piece."""
+        long = self.n >= MIN_WORDS
+        a, b, n = self.a[long], self.b[long], self.n[long]
+        out = np.empty((len(a), 2 * PIECES), C.U)
         for more in (0, 1):
-            longer = self.n + more
+            longer = n + more
             for i in range(PIECES):
                 before, behind = piece_bounds(longer, i)
                 behind = longer - behind
-                key = self.ranges(self.a, self.a + before) * C._MULT[0] + self.ranges(self.b - behind, self.b) * C._MULT[1]
+                key = self.ranges(a, a + before) * C._MULT[0] + self.ranges(b - behind, b) * C._MULT[1]
                 out[:, more * PIECES + i] = C.mix(key + longer.astype(C.U) * C._MULT[2] + C.U(i))
         return out
 
@@ -89,20 +93,23 @@ def piece_bounds(n, i: int):
     return n * i // PIECES, n * (i + 1) // PIECES
 
 
-def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(line, check, pieces, doc_id, number) of every line of MIN_WORDS words or more; line and check are its hashes."""
+def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = MIN_WORDS) -> DataFrame:
+    """(line, check, pieces, doc_id, number) of every line of shortest words or more; line and check are its hashes.
+
+    Lines of fewer than MIN_WORDS words have no pieces.
+    """
 
     def run(batches):
         for batch in batches:
             data, off = C.text_buffers(batch.column(1))
             ids = np.asarray(batch.column(0))
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             for lo, hi in C.row_chunks(off):
-                found = _Lines(C.words_of(data, off, lo, hi), off[lo : hi + 1] - off[lo])
-                for col, x in zip(cols, (found.hashes(0), found.hashes(1), found.piece_keys().ravel(), ids[lo:hi][found.text], found.number)):
+                found = _Lines(C.words_of(data, off, lo, hi), off[lo : hi + 1] - off[lo], shortest)
+                for col, x in zip(cols, (found.hashes(0), found.hashes(1), found.piece_keys().ravel(), ids[lo:hi][found.text], found.number, found.n)):
                     col.append(x)
             cat = [np.concatenate(c) for c in cols]
-            starts = pa.array(np.arange(len(cat[0]) + 1, dtype=np.int32) * 2 * PIECES)
+            starts = pa.array(np.r_[0, np.cumsum(np.where(cat[5] >= MIN_WORDS, 2 * PIECES, 0))].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(C.signed(cat[0])), pa.array(C.signed(cat[1])), pa.ListArray.from_arrays(starts, pa.array(C.signed(cat[2]))), pa.array(cat[3].astype(np.int64)), pa.array(cat[4].astype(np.int32))],
                 ["line", "check", "pieces", "doc_id", "number"],
@@ -204,11 +211,11 @@ def _words(line: str) -> list[str]:
 _TO_SPACE = {c: " " for c in range(9, 14)}
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", work: str | None = None) -> DataFrame:
-    """(doc_id, numbers): the line numbers, from 0, that go."""
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", work: str | None = None, short_copies: bool = False) -> DataFrame:
+    """(doc_id, numbers): the line numbers, from 0, that go. short_copies: also copies of lines under MIN_WORDS words."""
     spark = docs.sparkSession
     work = work or C.shared_dir(spark)
-    every = C.stored(lines(docs, key, text), f"{work}/lines")
+    every = C.stored(lines(docs, key, text, 1 if short_copies else MIN_WORDS), f"{work}/lines")
     place = F.struct("doc_id", "number")
     distinct = C.stored(every.groupBy("line", "check").agg(F.min(place).alias("place"), F.count("*").alias("copies")), f"{work}/distinct")
 
@@ -238,12 +245,12 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", work
     return gone
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", work: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", work: str | None = None, short_copies: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed and the text without the lines that go, for every row.
 
     n_lines counts the lines between line feeds, the empty ones too; an empty text has one.
     """
-    gone = removed_lines(docs, key, text, work)
+    gone = removed_lines(docs, key, text, work, short_copies)
 
     def run(batches):
         for batch in batches:
@@ -265,9 +272,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", work:
 def drop_lines(docs: DataFrame) -> DataFrame:
     """docs with shortened texts and their n_chars, if there is such a column; a document that loses all its words goes.
 
-    Rows without a doc_id stay as they are.
+    Copies of short lines go as well. Rows without a doc_id stay as they are.
     """
-    gone = removed_lines(docs).withColumnRenamed("numbers", "_gone")
+    gone = removed_lines(docs, short_copies=True).withColumnRenamed("numbers", "_gone")
     lost = F.col("_gone").isNotNull()
     text = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     out = docs.join(gone.hint("merge"), "doc_id", "left").withColumn("text", F.when(lost, text).otherwise(F.col("text")))

@@ -220,6 +220,14 @@ def test_drop_lines_keeps_the_table(spark):
     assert [tuple(r) for r in got] == [(1, "a b c d e\nx y z", "s", 15), (3, None, "s", None), (4, "", "s", 0), (5, "q\nr", "s", 3)]
 
 
+def test_drop_lines_takes_copies_of_short_lines(spark):
+    rows = [(1, "All rights reserved.\na b c d e f g"), (2, "Les.\n\nsix other words are in here\nAll rights  reserved."), (3, "Les.\n東京都渋谷区"), (4, "東京都渋谷区\n\nLes too.\nLes too."), (5, "a b c d e f g\nAll rights reserved.")]
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(docs_of(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "Les.\n\nsix other words are in here", 3: "東京都渋谷区", 4: "\nLes too."}
+    removed = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs_of(spark, rows), short_copies=True).collect()}
+    assert removed == {1: 0, 2: 1, 3: 1, 4: 2, 5: 2}
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     words = [f"t{i}" for i in range(4000)]
