@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact verification.
 
 Words are runs of letters and digits with A-Z lower-cased; shingles are five words. For
-an item of n words every n-word window of a text is a candidate. Windows without a
+an item of n words every n-word window of a text is a candidate; a text of fewer words is
+itself the one window, and the share is still that of the item's shingles. Windows without a
 single shingle of an item of that size have similarity 0 to all of them and are passed
 over; the others get a 64-bit SimHash. A multi-index over BLOCKS = RADIUS + 1 blocks of
 bits returns every item whose fingerprint is within RADIUS (one block at least is then
@@ -127,22 +128,22 @@ class Benchmark:
         out, sums = [], None
         for size, at in by_size.items():
             m = size - SHINGLE + 1
-            if m > n:
-                continue
+            # A shorter text is its own window.
+            width = min(m, n)
             marks = np.zeros(n + 1, np.int32)
             marks[np.array(at) + 1] = 1
             run = np.cumsum(marks)
-            starts = np.flatnonzero(run[m:] - run[: n + 1 - m] > 0)
+            starts = np.flatnonzero(run[width:] - run[: n + 1 - width] > 0)
             sums = bit_sums(grams) if sums is None else sums
             ids, held, index = self.sizes[size]
-            w, i, distance = index.find(simhashes(sums, starts, m))
+            w, i, distance = index.find(simhashes(sums, starts, width))
             best: dict[int, tuple[float, int, int]] = {}
             for s, k, d in zip(starts[w].tolist(), i.tolist(), distance.tolist()):
-                window = Counter(grams[s : s + m].tolist())
+                window = Counter(grams[s : s + width].tolist())
                 share = sum(min(c, window[g]) for g, c in held[k].items() if g in window) / m
                 if share >= SIMILARITY and (k not in best or share > best[k][0]):
                     best[k] = (share, d, s)
-            out += [(ids[k], share, d, s, size) for k, (share, d, s) in best.items()]
+            out += [(ids[k], share, d, s, width + SHINGLE - 1) for k, (share, d, s) in best.items()]
         return out
 
 

@@ -270,6 +270,16 @@ def test_decontamination(spark):
     assert decontaminate.find_contamination(docs_of(spark, rows), spark.createDataFrame([], "item_id long, text string")).collect() == []
 
 
+def test_decontamination_of_texts_shorter_than_an_item(spark):
+    item = [f"t{i}" for i in range(50)]
+    rows = [(1, item[:-1]), (2, item[:20] + item[21:]), (3, item[:45]), (4, item[:41]), (5, item[:30]), (6, item)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    docs = docs_of(spark, [(d, " ".join(w)) for d, w in rows])
+    got = {r.doc_id: (r.similarity, r.start_word, r.n_words) for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert got == {1: (45 / 46, 0, 49), 2: (41 / 46, 0, 49), 3: (41 / 46, 0, 45), 4: (37 / 46, 0, 41), 6: (1.0, 0, 50)}
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()] == [5]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
     items = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(20)]
