@@ -1,17 +1,19 @@
-"""PII: pattern spans, and an information-theoretic pass over their surroundings.
+"""PII: pattern spans, and an information-theoretic pass over the documents that hold them.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers, found by fixed
 patterns, leftmost and non-overlapping for each kind. They are the protected entities.
-Corpus co-occurrence then estimates how strongly a term near an entity reveals it:
-with n(t,e) documents in which term t stands within WINDOW words of entity e, n(t) and
-n(e) documents that hold them and N documents in all,
+Corpus co-occurrence then estimates how strongly a term of the same document, at any
+distance, reveals an entity: with n(t,e) documents that hold term t and entity e, n(t)
+and n(e) documents that hold them and N documents in all,
 
     disclosure(t, e) = log2( n(t,e) * N / (n(t) * n(e)) ) / log2(N / n(e))
 
 the share of the entity's information that the term gives away. From
 DISCLOSURE on, with at least MIN_TOGETHER documents together, the term is
-generalised: its span joins the result under the kind "term". All counts cover all
-documents; the tables that hold them grow with the corpus and are joined, not sent.
+generalised: each of its places in the documents that hold the entity joins the result
+under the kind "term". All counts cover all documents; the tables that hold them grow
+with the corpus and are joined, not sent. Entities of fewer than MIN_TOGETHER documents
+can have no such term, so only the others meet the terms of their documents.
 
 A null text is empty and has no span. Offsets are code points, ends exclusive. Ties do
 not matter, since every term over the threshold is marked. Repeated rows count as
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +35,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity whose terms are weighed.
-WINDOW = 6
 #: A term is marked from this share of the entity's information, and this many documents, on.
 DISCLOSURE, MIN_TOGETHER = 0.9, 2
 #: Counted terms that a task holds before it hands them on.
@@ -106,48 +106,39 @@ def _entity(kind: str, s: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{norm}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _around(t: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) for the terms near each span; text inside any span is not a term."""
-    out = []
-    inside = [(a, b) for _, a, b in spans]
-    for kind, a, b in spans:
-        e = _entity(kind, t[a:b])
-        # Terms are looked for in growing stretches, so that a long text is not split for one entity.
-        for side in (0, 1):
-            found, reach = [], 16 * WINDOW
-            while True:
-                lo, hi = (max(0, a - reach), a) if side == 0 else (b, min(len(t), b + reach))
-                whole = lo == 0 if side == 0 else hi == len(t)
-                found = [(m.start(), m.end()) for m in _TERM.finditer(t, lo, hi)]
-                if side == 0 and found and not whole and found[0][0] == lo:
-                    found = found[1:]
-                if side == 1 and found and not whole and found[-1][1] == hi:
-                    found = found[:-1]
-                if len(found) >= WINDOW or whole:
-                    break
-                reach *= 4
-            for x, y in found[-WINDOW:] if side == 0 else found[:WINDOW]:
-                if not any(p < y and x < q for p, q in inside):
-                    out.append((e, t[x:y].lower(), x, y))
+def _terms(t: str, spans: list[tuple[str, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """Places of each term of a text; text inside any span is not a term."""
+    inside: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if inside and a <= inside[-1][1]:
+            inside[-1][1] = max(inside[-1][1], b)
+        else:
+            inside.append([a, b])
+    out, at = defaultdict(list), 0
+    for m in _TERM.finditer(t):
+        while at < len(inside) and inside[at][1] <= m.start():
+            at += 1
+        if at == len(inside) or inside[at][0] >= m.end():
+            out[m[0].lower()].append(m.span())
     return out
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, base (kind, start, end), near (entity, term, start, end), entities of every row."""
+    """doc_id, base (kind, start, end), entities and, beside entities, terms (term, places) of every row."""
 
     def run(batches):
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        held = pa.list_(pa.struct([("term", pa.string()), ("places", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
         for batch in batches:
-            base, around, ents = [], [], []
+            base, terms, ents = [], [], []
             for t in batch.column(1).to_pylist():
                 spans = base_spans(t)
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
-                around.append([dict(zip(("entity", "term", "start", "end"), x)) for x in _around(t, spans)] if spans else [])
+                terms.append([{"term": w, "places": [dict(zip(("start", "end"), x)) for x in at]} for w, at in _terms(t, spans).items()] if spans else [])
                 ents.append(sorted({_entity(k, t[a:b]) for k, a, b in spans}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(around, near), pa.array(ents, pa.list_(pa.int64()))], ["doc_id", "base", "near", "entities"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(terms, held), pa.array(ents, pa.list_(pa.int64()))], ["doc_id", "base", "terms", "entities"])
 
-    return C.map_batches(C.keyed_texts(docs, key, text), run, "doc_id long, base array<struct<kind:string,start:long,end:long>>, near array<struct<entity:long,term:string,start:long,end:long>>, entities array<long>")
+    return C.map_batches(C.keyed_texts(docs, key, text), run, "doc_id long, base array<struct<kind:string,start:long,end:long>>, terms array<struct<term:string,places:array<struct<start:long,end:long>>>>, entities array<long>")
 
 
 def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -172,14 +163,19 @@ def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
     return C.map_batches(texts, run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosures(scanned: DataFrame, frequency: DataFrame) -> DataFrame:
+def shared_entities(scanned: DataFrame) -> DataFrame:
+    """(row, entity, n_e) for each row and entity of it that MIN_TOGETHER rows hold; n_e: how many hold it."""
+    held = scanned.select("row", F.explode("entities").alias("entity"))
+    return held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= MIN_TOGETHER), "entity").select("row", "entity", "n_e")
+
+
+def disclosures(scanned: DataFrame, shared: DataFrame, frequency: DataFrame) -> DataFrame:
     """(entity, term, disclosure) for the terms that reveal an entity beyond the threshold."""
     total = scanned.agg(F.count("*").alias("total"))
-    entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = scanned.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x.entity.alias("entity"), x.term.alias("term"))))).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_TOGETHER)
+    terms = scanned.select("row", F.explode("terms.term").alias("term"))
+    pairs = shared.join(terms, "row").groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_e").alias("n_e")).where(F.col("n_te") >= MIN_TOGETHER)
     # total is one row.
-    joined = pairs.join(entities, "entity").join(frequency.withColumnRenamed("n", "n_t"), "term").join(F.broadcast(total))
+    joined = pairs.join(frequency.withColumnRenamed("n", "n_t"), "term").join(F.broadcast(total))
     share = F.log2(F.col("n_te") * F.col("total") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("total") / F.col("n_e"))
     return joined.where(F.col("total") > F.col("n_e")).select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
 
@@ -188,10 +184,13 @@ def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", work: s
     """doc_id, base and terms (both arrays of kind, start, end) for every row."""
     spark = docs.sparkSession
     work = work or C.shared_dir(spark)
-    scanned = C.stored(scan(docs, key, text), f"{work}/scanned")
-    told = disclosures(scanned, document_frequency(docs, text))
-    near = scanned.select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.*")
-    spans = near.join(told.select("entity", "term"), ["entity", "term"]).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
+    # The row numbers hold as the table is stored.
+    scanned = C.stored(scan(docs, key, text).withColumn("row", F.monotonically_increasing_id()), f"{work}/scanned")
+    shared = C.stored(shared_entities(scanned), f"{work}/shared")
+    told = disclosures(scanned, shared, document_frequency(docs, text))
+    found = scanned.select("row", "doc_id", F.explode("terms").alias("x")).select("row", "doc_id", "x.*").join(shared.select("row", "entity"), "row")
+    places = found.join(told.select("entity", "term"), ["entity", "term"]).select("doc_id", F.explode("places").alias("at"))
+    spans = places.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "at.start", "at.end"))).alias("terms"))
     return scanned.select("doc_id", "base").join(spans, "doc_id", "left").select("doc_id", "base", F.coalesce("terms", F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")).alias("terms"))
 
 

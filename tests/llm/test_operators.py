@@ -389,6 +389,15 @@ def test_pii(spark):
     assert pii.find_spans(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+def test_pii_terms_at_any_distance(spark):
+    far = " the of and plain words" * 4
+    rows = [(i, f"plain words number{i} the of and") for i in range(30)]
+    rows += [(100, f"call +1 (377) 555-0271{far} Zebulon, zebulon"), (101, f"Zebulon{far} or +1 (377) 555-0271{far} ZEBULON"), (102, f"fax +1 (377) 555-0299{far} Quorl")]
+    texts = dict(rows)
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.terms] for r in pii.find_spans(docs_of(spark, rows)).collect()}
+    assert {d: t for d, t in got.items() if t} == {100: ["Zebulon", "zebulon"], 101: ["Zebulon", "ZEBULON"]}
+
+
 def test_toxicity(spark):
     rng = random.Random(13)
     rows, labels = [], []
