@@ -12,6 +12,11 @@ row per task and path. The winning paths, one short row per host, are counted: a
 as they are few they go to all executors and no page is moved; beyond that they are
 joined by host and salt, so that a large host's pages are spread over many tasks.
 
+Elements named like what is not the article, and forms, are left out. One that holds more
+than half of the page's text outside links is the page's frame, whatever its name, and
+stays, while others inside it still go; but where the page has text in an article or main
+element outside all of them, only one inside such an element can be a frame.
+
 A null or empty page gives an empty text; a page without host forms the host "".
 Ties between paths go to the longer vote score and then to the smaller path. Repeated
 rows vote again and each is extracted. Other columns are ignored; an empty table gives
@@ -47,9 +52,11 @@ _STOPS = frozenset("table ul ol dl div article section body html main blockquote
 #: Words in class, id or role that name what is not the article.
 _NOISE = re.compile(
     r"(?:^|[^a-z])(?:ads?|ad-?(?:box|unit|slot|wrap\w*|container)|advert\w*|adverts?|adsense|adsbygoogle|banners?|promo\w*|sponsor\w*|nav\w*|menus?|breadcrumbs?|side-?bars?|rail|footers?|foot|masthead|topbar|cookies?\w*|consent|gdpr|notices?|notifications?|announcements?|alerts?|warning|disclaimers?|"
-    r"popups?|modals?|overlay|newsletter|subscri\w+|signup|login|share|sharing|social|related|recommend\w*|comments?|comment-?\w*|disqus|replies|reply|respond|responses?|discussion|widgets?|pagination|pager|toolbar|skip|tags?|tag-?cloud|search\w*|form\w*|"
+    r"popups?|modals?|overlay|newsletter|subscri\w+|signup|login|share|sharing|social|related|recommend\w*|comments?|comment-?\w*|disqus|replies|reply|respond|responses?|discussion|widgets?|pagination|pager|toolbar|skip|tags?|tag-?cloud|search\w*|forms?|"
     r"complementary|navigation|contentinfo|search|dialog|alertdialog|hidden|copyright|legal|toc|teasers?|outbrain|taboola|paywall)(?:$|[^a-z])"
 )
+#: Parts of class names that say how an element stands to a sidebar, header or the like which it is not.
+_STATE = re.compile(r"(?:^|[^a-z])(?:no|not|non|has|have|with|without|hide|hides)(?:$|[^a-z])")
 _HEADER = re.compile(r"(?:^|[^a-z])headers?(?:$|[^a-z])")
 _MAIN_WORD = re.compile(r"(?:^|[^a-z])(?:article|content|main|post|story|entry|text|body|prose)(?:$|[^a-z])")
 #: Containers deeper than this share the path of their ancestor at this depth.
@@ -77,38 +84,47 @@ def _attributes(s: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_ATTR.finditer(s)))} if "=" in s or "hidden" in s else {}
 
 
-def _unwanted(tag: str, attrs: dict[str, str], within: int) -> bool:
-    """within: open article or main elements, whose own headers hold the title."""
-    if tag in _DROPPED and not (tag == "header" and within):
-        return True
-    if not attrs:
-        return False
+def _unwanted(tag: str, attrs: dict[str, str], within: int) -> int:
+    """0 for a wanted element, 1 for one that always goes, 2 for one that goes unless it holds most of the page.
+
+    within: open article or main elements, whose own headers hold the title.
+    """
+    if tag in _DROPPED and tag != "form" and not (tag == "header" and within):
+        return 1
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    named = " ".join([attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", ""), attrs.get("itemprop", "")]).lower()
-    return bool(named.strip()) and tag not in ("body", "html", "article", "main") and bool(_NOISE.search(named := named.replace("_", "-")) or not within and _HEADER.search(named))
+        return 1
+    if tag == "form":
+        return 2
+    if not attrs or tag in ("body", "html", "article", "main"):
+        return 0
+    named = " ".join([attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", ""), attrs.get("itemprop", "")]).lower().replace("_", "-")
+    names = [x for x in named.split() if not _STATE.search(x)]
+    return 2 * any(_NOISE.search(x) or not within and _HEADER.search(x) for x in names)
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of text of a page in page order, without dropped parts; each has the path of its containers."""
-    out: list[Block] = []
-    # An open element: tag, its step if it is a container, whether it is dropped, whether it is a link.
-    stack: list[tuple[str, str, bool, bool]] = []
+    # Found blocks: path, pieces of text (text, whether it is linked, innermost doubtful element or -1), tag.
+    raw: list[tuple[tuple[str, ...], list[tuple[str, bool, int]], str]] = []
+    # An open element: tag, its step if it is a container, whether it is dropped (2: doubtful), whether it is a link.
+    stack: list[tuple[str, str, int, bool]] = []
+    # Doubtful elements: the one around each, whether it is in an article, the unlinked text of each; those that are open.
+    around: list[int] = []
+    in_article: list[bool] = []
+    held: list[int] = []
+    doubtful: list[int] = [-1]
     open_tags: dict[str, int] = defaultdict(int)
     dropped = links = 0
     steps: list[str] = []
     in_blocks: list[str] = []
-    parts: list[str] = []
-    linked = 0
+    parts: list[tuple[str, bool, int]] = []
+    free = 0
+    has_article = False
 
     def flush() -> None:
-        nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip(" ")
-            if text:
-                out.append(Block(tuple(steps[:MAX_DEPTH]), text, min(linked, len(text)), in_blocks[-1] if in_blocks else ""))
+            raw.append((tuple(steps[:MAX_DEPTH]), parts.copy(), in_blocks[-1] if in_blocks else ""))
             parts.clear()
-        linked = 0
 
     def pop() -> None:
         nonlocal dropped, links
@@ -118,7 +134,9 @@ def blocks(page: str) -> list[Block]:
         if tag in _BLOCK:
             in_blocks.pop()
         open_tags[tag] -= 1
-        dropped -= drop
+        dropped -= drop == 1
+        if drop == 2:
+            doubtful.pop()
         links -= link
 
     def close(tag: str) -> None:
@@ -145,9 +163,14 @@ def blocks(page: str) -> list[Block]:
         if lt < 0:
             lt = n
         if lt > at and not dropped:
-            parts.append(page[at:lt])
-            if links:
-                linked += lt - at
+            parts.append((page[at:lt], links > 0, doubtful[-1]))
+            if not links:
+                n_free = len(page[at:lt].strip())
+                free += n_free
+                if doubtful[-1] >= 0:
+                    held[doubtful[-1]] += n_free
+                elif n_free and open_tags["article"] + open_tags["main"]:
+                    has_article = True
         if lt == n:
             break
         m = _TAG.match(page, lt) if page.find(">", lt) >= 0 else None
@@ -161,7 +184,7 @@ def blocks(page: str) -> list[Block]:
                 at = end + 1
                 continue
             if not dropped:
-                parts.append("<")
+                parts.append(("<", False, doubtful[-1]))
             at = lt + 1
             continue
         at = m.end()
@@ -206,9 +229,27 @@ def blocks(page: str) -> list[Block]:
         if tag in _BLOCK:
             in_blocks.append(tag)
         open_tags[tag] += 1
-        dropped += drop
+        dropped += drop == 1
+        if drop == 2:
+            around.append(doubtful[-1])
+            in_article.append(open_tags["article"] + open_tags["main"] > 0)
+            held.append(0)
+            doubtful.append(len(held) - 1)
         links += tag == "a"
     flush()
+
+    for i in range(len(held) - 1, -1, -1):
+        if around[i] >= 0:
+            held[around[i]] += held[i]
+    stays: list[bool] = []
+    for i, x in enumerate(held):
+        stays.append(2 * x > free and (in_article[i] or not has_article) and (around[i] < 0 or stays[around[i]]))
+    out = []
+    for path, pieces, tag in raw:
+        pieces = [x for x in pieces if x[2] < 0 or stays[x[2]]]
+        text = _SPACE.sub(" ", html.unescape("".join([x[0] for x in pieces]))).strip(" ")
+        if text:
+            out.append(Block(path, text, min(sum(len(x[0]) for x in pieces if x[1]), len(text)), tag))
     return out
 
 

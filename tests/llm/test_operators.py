@@ -446,6 +446,16 @@ def test_html(spark):
     html_extract.blocks("<div class='a'>x" * 20_000 + "<p " * 20_000)
 
 
+@pytest.mark.parametrize("frame", ["div class='wrapper no-sidebar'", "div class='has-sidebar'", "div class='content-with-sidebar'", "div class='post format-standard'", "form action='/x'", "div class='sidebar-layout'"])
+def test_html_frames_keep_the_article(frame):
+    page = f"<body><{frame}><div class='story'><p>The article's text, in full. It is long, as <span class='share'>Tell all</span> articles are.</p></div><div class='sidebar'><p>Side text.</p></div><form><p>Your name</p></form></{frame.split()[0]}><div class='ad-box'>Buy, now.</div></body>"
+    found = html_extract.blocks(page)
+    assert [b.text for b in found] == ["The article's text, in full. It is long, as articles are."]
+    assert html_extract.extract(found, None) == found[0].text
+    short = "<body><div class='ad'>Much more text than the article has, so much that it is most.</div><article><p>Short.</p></article></body>"
+    assert [b.text for b in html_extract.blocks(short)] == ["Short."]
+
+
 def test_lookup_by_salt(spark, monkeypatch, tmp_path):
     rows = [(i, "k" if i % 3 else f"k{i}") for i in range(100)]
     df = spark.createDataFrame(rows, "i long, key string")
