@@ -17,6 +17,8 @@ and take no part.
 
 Null and empty texts have no words and the hash of the empty text. Texts of fewer than
 WINDOW words lose nothing. Of rows with the same doc_id none is earlier than the other.
+A row without a doc_id has no place in the order: it loses what it repeats of itself only,
+and nothing is repeated of it.
 Ties in place cannot occur within a document. An empty table gives an empty result;
 extra columns are ignored.
 """
@@ -273,7 +275,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", d
     C.release(spark)
     places = repeated_places(given, candidates)
     told = first.withColumn("first", F.lit(True)).join(places, "doc_id", "left")
-    joined = given.join(told, "doc_id", "left").select("doc_id", "text", "places", F.coalesce("first", F.lit(False)).alias("first"))
+    joined = given.join(told, "doc_id", "left").select("doc_id", "text", "places", (F.col("doc_id").isNull() | F.coalesce("first", F.lit(False))).alias("first"))
 
     def run(batches):
         for batch in batches:

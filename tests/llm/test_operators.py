@@ -171,6 +171,13 @@ def test_substring_dedup(spark, batches):
     assert substring_dedup.dedup_substrings(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+def test_substring_dedup_without_an_id(spark):
+    w = [f"w{i}" for i in range(30)]
+    rows = [(None, " ".join(w)), (5, " ".join(w)), (None, " ".join(w + w)), (6, " ".join(w[:25]))]
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(docs_of(spark, rows)).collect())
+    assert got == [("5", 30, 0), ("6", 25, 25), ("None", 30, 0), ("None", 60, 30)]
+
+
 def test_fingerprint_runs_are_compacted(spark, tmp_path):
     index = substring_dedup.FingerprintIndex(spark, buckets=3, fanout=2)
     batches = [[(1, 10, 1), (2, 10, 1)], [(2, 20, 1), (3, 20, 2)], [(4, 30, 1), (3, 31, 1)], [(1, 40, 1), (9, 41, 1)]]
