@@ -287,6 +287,18 @@ def test_decontamination_of_texts_shorter_than_an_item(spark):
     assert [r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()] == [5]
 
 
+def test_radius_holds_windows_at_the_threshold():
+    import numpy as np
+
+    rng, beyond = np.random.default_rng(15), 0
+    for _ in range(3000):
+        item = rng.integers(0, 1 << 63, 25, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 25, dtype=np.uint64)
+        window = np.r_[item[:20], rng.integers(0, 1 << 63, 5, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 5, dtype=np.uint64)]
+        a, b = (int(decontaminate.simhashes(decontaminate.bit_sums(x), np.zeros(1, np.int64), 25)[0]) for x in (item, window))
+        beyond += (a ^ b).bit_count() > decontaminate.RADIUS
+    assert beyond == 0
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
     items = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(20)]
