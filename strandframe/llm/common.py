@@ -1,14 +1,18 @@
 """Shared pieces of the text operators: tables, work folders, word hashing.
 
-Words are hashed straight from the Arrow byte buffers: a polynomial prefix sum
-gives the hash of every word of a chunk in a handful of numpy passes, so no
-Python string per word is ever made.
+Words are hashed straight from the Arrow byte buffers, eight bytes at a time for all
+words of a chunk, so no Python string per word is ever made. Every step is followed by a
+finaliser, so hashes of words and of word sequences are not linear in what stands where,
+and a key drawn for each run keeps texts from being made to collide. Where any range of
+words has to be hashed, polynomials modulo the prime 2**61 - 1 do it.
 """
 
 from __future__ import annotations
 
 import gc
+import hashlib
 import os
+import secrets
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,11 +27,9 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
-_BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MULT = [U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)]
-_WINDOW_BASES = [(U(b), U(pow(b, -1, 1 << 64))) for b in (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)]
-_POWERS: dict[int, np.ndarray] = {}
+#: Odd multipliers of the left and the right part of a sequence, for two independent hashes.
+_SIDES = [(U(0xD1B54A32D192ED03), U(0x8CB92BA72F3D8DD7)), (U(0xDB4F0B9175AE2165), U(0xBBE0563303A4615F))]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,14 +58,28 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files of finished jobs: Spark deletes them when the driver collects its garbage."""
+    """Lets go of shuffle files of finished jobs: Spark deletes them when the driver collects its garbage.
+
+    Called between the stored steps of an operator that would else hold the files of all of them at once.
+    """
     gc.collect()
     spark._jvm.System.gc()
 
 
-def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id long, text string), whatever else docs holds; a null text is empty."""
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", row: bool = False) -> DataFrame:
+    """(doc_id long, text string), whatever else docs holds; a null text is empty. row: with the row key."""
+    out = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return out.select("doc_id", row_key("doc_id", "text").alias("row"), "text") if row else out
+
+
+def row_key(key: str, text: str):
+    """64 bits of the SHA-256 of a row's id and text: with the id it tells rows apart that share an id, or have none.
+
+    Rows that are equal in both have the same key; whatever is joined on it holds one row for each key.
+    """
+    digest = F.sha2(F.concat_ws(":", F.coalesce(F.col(key).cast("long").cast("string"), F.lit("-")), F.coalesce(F.col(text).cast("string"), F.lit(""))), 256)
+    high, low = (F.conv(F.substring(digest, a, 8), 16, 10).cast("long") for a in (1, 9))
+    return F.shiftleft(high, 32).bitwiseOR(low)
 
 
 #: Rows of one Arrow batch. Whole texts travel in them, and some are very long.
@@ -88,7 +104,11 @@ def join_lookup(df: DataFrame, lookup: DataFrame, key: str, salt: list[str]) ->
 
 
 def map_batches(df: DataFrame, f, schema) -> DataFrame:
-    """mapInArrow over batches of BATCH_ROWS rows at most, which leaves out empty batches."""
+    """mapInArrow over batches of BATCH_ROWS rows at most, which leaves out empty batches.
+
+    The session's limit of rows in a batch is lowered where it is higher, and stays so: results are
+    lazy, and Spark reads the limit when they are computed.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -111,23 +131,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: np.ndarray, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _POWERS.get(int(base))
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1024)
-        have = np.full(size, base, U)
-        have[0] = U(1)
-        have = np.multiply.accumulate(have)
-        _POWERS[int(base)] = have
-    return have[:n]
-
-
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U) * _MULT[2])
+def fresh_key() -> int:
+    """A key for the word hashes of one run."""
+    return secrets.randbits(63)
 
 
-_VALUES = _byte_values()
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Everything in ASCII but letters and digits parts words, for texts compared without punctuation.
@@ -163,12 +171,12 @@ class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of consecutive texts.
 
     starts, ends: byte positions in data; first[i]:first[i+1] are the words of text i;
-    hashes: 64-bit hash of each word's bytes.
+    hashes: 64-bit hash of each word's bytes under the key.
     """
 
     __slots__ = ("data", "starts", "ends", "first", "hashes")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, marks: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, marks: bool = False, key: int = 0):
         """data: the bytes from offsets[0] to offsets[-1]; offsets may start anywhere. marks: punctuation parts words too."""
         offsets = offsets - offsets[0]
         if lower:
@@ -192,25 +200,108 @@ class Words:
         self.starts = np.flatnonzero(word & before)
         self.ends = np.flatnonzero(word & after) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        sums = np.zeros(n + 1, U)
-        np.cumsum(_VALUES[data] * powers(_BASE, n), out=sums[1:])
-        raw = (sums[self.ends] - sums[self.starts]) * powers(_BASE_INV, n + 1)[self.starts]
-        self.hashes = mix(raw + (self.ends - self.starts).astype(U) * _MULT[3])
+        self.hashes = word_hashes(data, self.starts, self.ends, key)
+
 
+#: Longer words, in bytes, are hashed by BLAKE2.
+SHORT_WORD = 32
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False, marks: bool = False) -> Words:
-    return Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], lower, marks)
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """Hash of data[starts[i]:ends[i]] for each i, eight bytes a step."""
+    n = ends - starts
+    if not len(n):
+        return np.zeros(0, U)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
+    start = mix(np.array([key], U) + _MULT[4])
+    h = mix((eight[starts] & _LOW_BYTES[np.minimum(n, 8)]) ^ (n.astype(U) * _MULT[3] + start))
+    for done in range(8, SHORT_WORD, 8):
+        more = np.flatnonzero(n > done)
+        if not len(more):
+            return h
+        part = eight[starts[more] + done] & _LOW_BYTES[np.minimum(n[more] - done, 8)]
+        h[more] = mix(h[more] * _MULT[2] ^ part)
+    for i in np.flatnonzero(n > SHORT_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest()
+        h[i] = U(int.from_bytes(digest, "little"))
+    return h
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False, marks: bool = False, key: int = 0) -> Words:
+    return Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], lower, marks, key)
 
 
 def gram_hashes(h: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-    """Hash of each k consecutive word hashes (positions 0 .. len-k)."""
-    if len(h) < k:
+    """Hash of each k consecutive word hashes (positions 0 .. len-k), put together from halves by doubling."""
+    n = len(h) - k + 1
+    if n < 1 or k < 1:
         return np.zeros(0, U)
-    base, inverse = _WINDOW_BASES[which]
-    n = len(h)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(h * powers(base, n), out=sums[1:])
-    return mix((sums[k:] - sums[: n + 1 - k]) * powers(inverse, n)[: n + 1 - k] + U(k))
+    left, right = _SIDES[which]
+    have, size, out, done = h, 1, None, 0
+    while True:
+        if k & size:
+            part = have[done : done + n]
+            out = part if out is None else mix(out * left + part * right)
+            done += size
+        if 2 * size > k:
+            return mix(out * left + U(k))
+        have = mix(have[:-size] * left + have[size:] * right)
+        size *= 2
+
+
+_P = U((1 << 61) - 1)
+_LOW30, _LOW31 = U((1 << 30) - 1), U((1 << 31) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1."""
+    x = (x & _P) + (x >> U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product modulo 2**61 - 1 of numbers below it, from halves of 31 bits."""
+    ah, al, bh, bl = a >> U(31), a & _LOW31, b >> U(31), b & _LOW31
+    middle = ah * bl + al * bh
+    return _reduced(U(2) * ah * bh + (middle >> U(30)) + ((middle & _LOW30) << U(31)) + al * bl)
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**61 - 1, kept for the two latest bases."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        if have is None and len(_POWERS) > 3:
+            _POWERS.clear()
+        have = np.ones(1, U)
+        while len(have) < n:
+            have = np.concatenate([have, times(have, np.array([pow(base, len(have), int(_P))], U))])
+        _POWERS[base] = have
+    return have[:n]
+
+
+class Ranges:
+    """Hashes of any ranges of a sequence of word hashes, by sums of a polynomial modulo 2**61 - 1."""
+
+    def __init__(self, hashes: np.ndarray, key: int):
+        self.base = 2 + key % ((1 << 61) - 4)
+        self.back = pow(self.base, -1, int(_P))
+        n = len(hashes)
+        terms = times(_reduced(hashes), powers(self.base, n))
+        high = np.zeros(n + 1, U)
+        low = np.zeros(n + 1, U)
+        np.cumsum(terms >> U(31), out=high[1:])
+        np.cumsum(terms & _LOW31, out=low[1:])
+        high = _reduced(high)
+        self.sums = _reduced(_reduced((high >> U(30)) + ((high & _LOW30) << U(31))) + _reduced(low))
+
+    def between(self, a: np.ndarray, b: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Of words a .. b - 1, as if the word numbered `at` (a itself, if not given) were the first of all."""
+        return times(_reduced(self.sums[b] + (_P - self.sums[a])), powers(self.back, len(self.sums) + 1)[a if at is None else at])
 
 
 def signed(x: np.ndarray) -> np.ndarray:

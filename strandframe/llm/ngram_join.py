@@ -24,10 +24,15 @@ left is compared by sketch inside the join of the block with itself, and only pa
 may link come out of it. So no link between different texts is lost, and a group of near
 copies costs about as many rows as it has members, not their square.
 
+Shingles are hashed to 64 bits under a key drawn for each run, in a way that is not linear
+in the words; sizes and candidates rest on these hashes, links on the words themselves.
+
 Null and empty texts have no shingles, link with nothing and are their own component;
-with fewer than k words the whole sequence is the one shingle. Ties go to the smallest
-doc_id; rows that share an id are one document if their sets are equal, else each set
-counts; extra columns are ignored and an empty table gives an empty result.
+with fewer than k words the whole sequence is the one shingle. Every row counts by its own
+text: rows that share an id are told apart by a row key, each links as its text does, and
+equal rows repeat their result. A row without an id links like any other and gets the
+smallest id of its component, null if no row of it has one. Ties go to the smallest
+doc_id; extra columns are ignored and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -149,27 +154,27 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(bool)).view(np.int64)
 
 
-def classes(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, cls, other, sketch): the shingle set of every document; other is a second identity."""
+def classes(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text", salt: int = 0) -> DataFrame:
+    """(doc_id, row, n, cls, other, sketch): the shingle set of every document; other is a second identity. salt: key of the word hashes."""
 
     def run(batches):
         for batch in batches:
-            data, off = C.text_buffers(batch.column(1))
+            data, off = C.text_buffers(batch.column(2))
             n, cls, other, parity = [], [], [], []
             for lo, hi in C.row_chunks(off):
-                for s in shingle_sets(C.words_of(data, off, lo, hi, lower=True), k):
+                for s in shingle_sets(C.words_of(data, off, lo, hi, lower=True, key=salt), k):
                     n.append(len(s))
                     cls.append(class_id(s))
                     other.append(class_id(s, 1))
                     parity.append(sketch(s))
             flat = pa.array(np.concatenate(parity) if parity else np.zeros(0, np.int64))
             offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH_WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(other, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "n", "cls", "other", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(other, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "row", "n", "cls", "other", "sketch"])
 
-    return C.map_batches(C.keyed_texts(docs, key, text), run, "doc_id long, n long, cls long, other long, sketch array<long>")
+    return C.map_batches(C.keyed_texts(docs, key, text, row=True), run, "doc_id long, row long, n long, cls long, other long, sketch array<long>")
 
 
-def block_rows(docs: DataFrame, k: int, percent: int, clashing: frozenset[int], text: str = "text") -> DataFrame:
+def block_rows(docs: DataFrame, k: int, percent: int, clashing: frozenset[int], text: str = "text", salt: int = 0) -> DataFrame:
     """(block, cls): what every class sends to the pigeonhole join; a class is left out where this task has sent it already."""
 
     def run(batches):
@@ -179,7 +184,7 @@ def block_rows(docs: DataFrame, k: int, percent: int, clashing: frozenset[int],
             data, off = C.text_buffers(batch.column(0))
             keys, cls, times = [np.zeros(0, C.U)], [], []
             for lo, hi in C.row_chunks(off):
-                for s in shingle_sets(C.words_of(data, off, lo, hi, lower=True), k):
+                for s in shingle_sets(C.words_of(data, off, lo, hi, lower=True, key=salt), k):
                     c = class_id(s)
                     if c in clashing:
                         c = class_id(s, 1)
@@ -198,8 +203,14 @@ def block_rows(docs: DataFrame, k: int, percent: int, clashing: frozenset[int],
     return C.map_batches(texts, run, "block long, cls long")
 
 
+def word_shingles(text: str, k: int) -> set[tuple[bytes, ...]]:
+    """The shingles of a text as words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return set(zip(*(words[i:] for i in range(k)))) if len(words) >= k else {tuple(words)} if words else set()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, tested on the shingles of one text of each.
+    """The pairs (a, b) of classes that link, tested on the words of one text of each.
 
     texts: (cls, text) of the classes in pairs. A class's text goes to each of its pairs, so a pair is one row.
     """
@@ -209,24 +220,19 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     def run(batches):
         for batch in batches:
             keep = []
-            kept: tuple[object, np.ndarray] = (None, np.zeros(0, C.U))
+            kept: tuple[object, set] = (None, set())
             for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if kept[0] != a:
-                    kept = (a, _one(ta, k))
-                x, y = kept[1], _one(tb, k)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                    kept = (a, word_shingles(ta.as_py(), k))
+                x, y = kept[1], word_shingles(tb.as_py(), k)
+                both = len(x & y)
+                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     return C.map_batches(full, run, "a long, b long")
 
 
-def _one(text: pa.Scalar, k: int) -> np.ndarray:
-    data, off = C.text_buffers(pa.array([text.as_py()], pa.string()))
-    return next(shingle_sets(C.Words(data, off, lower=True), k))
-
-
 def told_apart(known: DataFrame) -> tuple[DataFrame, frozenset[int]]:
     """known with the second identity where two sets share the first, and those ids.
 
@@ -239,16 +245,19 @@ def told_apart(known: DataFrame) -> tuple[DataFrame, frozenset[int]]:
     return known.withColumn("cls", F.when(F.col("cls").isin(list(clashing)), F.col("other")).otherwise(F.col("cls"))), clashing
 
 
-def link_classes(docs: DataFrame, known: DataFrame, clashing: frozenset[int], k: int, percent: int, work: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def link_classes(docs: DataFrame, known: DataFrame, clashing: frozenset[int], k: int, percent: int, work: str, key: str = "doc_id", text: str = "text", salt: int = 0) -> DataFrame:
     """(node, label) over linked classes: label is the smallest class of the component. known: classes()."""
     spark = docs.sparkSession
     bands = Bands(percent)
-    one = known.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
-    rows = block_rows(docs, k, percent, clashing, text)
+    one = known.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    rows = block_rows(docs, k, percent, clashing, text, salt)
     shared = rows.groupBy("block").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most")
     members = C.stored(rows.join(shared.select("block"), "block").distinct(), f"{work}/members")
     one = C.stored(one.join(members.select("cls").distinct(), "cls", "left_semi"), f"{work}/classes")
-    texts = C.keyed_texts(docs, key, text).join(one.select("doc_id", "cls"), "doc_id").select("cls", "text").groupBy("cls").agg(F.any_value("text").alias("text"))
+    # One text of each class; of equal rows, which share the row key, the first that a task meets.
+    place = one.select("cls", F.col("at.doc_id").alias("at_id"), F.col("at.row").alias("at_row"))
+    texts = C.keyed_texts(docs, key, text, row=True).join(place, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("row") == F.col("at_row")))
+    texts = texts.select("cls", "text").groupBy("cls").agg(F.first("text").alias("text"))
     texts = C.stored(texts, f"{work}/texts")
     facts = one.select("cls", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
 
@@ -294,24 +303,32 @@ def link_classes(docs: DataFrame, known: DataFrame, clashing: frozenset[int], k:
     return lab if lab is not None else spark.createDataFrame([], "node long, label long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", work: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) of every document."""
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", work: str | None = None, row: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) of every document; row: with the row key."""
     work = work or C.shared_dir(docs.sparkSession)
-    known, clashing = told_apart(C.stored(classes(docs, k, key, text), f"{work}/known"))
-    lab = link_classes(docs, known, clashing, k, percent, work, key, text)
+    salt = C.fresh_key()
+    known, clashing = told_apart(C.stored(classes(docs, k, key, text, salt), f"{work}/known"))
+    lab = link_classes(docs, known, clashing, k, percent, work, key, text, salt)
     least = known.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     least = least.join(lab.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
     root = C.stored(least, f"{work}/least")
     top = root.groupBy("label").agg(F.min("least").alias("component_id"))
     of = C.stored(root.join(top, "label").select("cls", "component_id"), f"{work}/roots")
-    return known.select("doc_id", "n", "cls").join(of, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = known.select("doc_id", "row", "n", "cls").join(of, "cls", "left")
+    return found.select("doc_id", *(["row"] if row else []), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component, the one with the smallest doc_id; the schema stays.
 
-    Rows that share an id stay or go together; rows without one stay.
+    Of rows with that id only those stay that have the smallest row key, so equal rows stay together;
+    rows without an id stay.
     """
-    found = jaccard_components(docs, k, percent)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = jaccard_components(docs, k, percent, row=True).where("doc_id is not null and n_shingles > 0")
+    # Of the few rows that share their component's id, the smallest row key.
+    named = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most").select("component_id", "least")
+    second = found.where("doc_id = component_id").join(named, "component_id").where("row > least").select("doc_id", "row")
+    gone = found.where("doc_id <> component_id").select("doc_id", "row").union(second).distinct()
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row"))
+    same = (docs["doc_id"].cast("long") == F.col("_gone_id")) & (C.row_key("doc_id", "text") == F.col("_gone_row"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
