@@ -1,18 +1,25 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact verification.
 
-Words are runs of letters and digits with A-Z lower-cased; shingles are five words. For
-an item of n words every n-word window of a text is a candidate; a text of fewer words is
-itself the one window, and the share is still that of the item's shingles. Windows without a
-single shingle of an item of that size have similarity 0 to all of them and are passed
-over; the others get a 64-bit SimHash. A multi-index over BLOCKS = RADIUS + 1 blocks of
-bits returns every item whose fingerprint is within RADIUS (one block at least is then
-equal), and the weighted share of the item's shingles that the window holds, with
-multiplicity, verifies: SIMILARITY or more is contamination.
+Words are runs of letters and digits with A-Z lower-cased; shingles are five words, and an
+item of fewer words is one shingle as it is. For an item of n words every n-word window of a
+text is a candidate; a text of fewer words is itself the one window, and the share is still
+that of the item's shingles. A window gets a SimHash of 256 bits. The multi-index compares
+fingerprints by BLOCKS blocks of 64 bits: two within RADIUS agree in one block at least up to
+RADIUS // BLOCKS bits, and only those pairs are compared in full. Items within RADIUS are
+verified by the weighted share of their shingles that the window holds, with multiplicity:
+SIMILARITY or more is contamination.
+
+Blocks that must be equal would have to be three bits wide for such a radius, and nearly every
+pair shares one of those; of unrelated pairs 0.4 in a hundred agree in a block of 64 bits up to
+19, and none of 240,000 is within RADIUS. Of windows that share 0.8 with an item about one in
+fifty thousand is beyond it. Windows without a single shingle of an item of that size have
+similarity 0 to all of them and get no fingerprint.
 
 The benchmark is sent to executors in blocks of at most BLOCK_CHARS, one pass over the
-texts for each block, so a large benchmark costs passes and not memory. Items of fewer
-than five words never match. Null and empty texts match nothing; ties between windows
-go to the first; repeated items and rows each match; empty tables give an empty result.
+texts for each block, so a large benchmark costs passes and not memory. Items without words
+match nothing, and null and empty texts hold nothing; ties between windows go to the first;
+repeated items and rows each match; empty tables give an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,76 +35,71 @@ from . import common as C
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Of windows that share 0.8 with an item, about one in a million is beyond it (22: one in 500).
-RADIUS = 30
-BLOCKS = RADIUS + 1
+BLOCKS, RADIUS = 4, 79
 #: Benchmark text sent to executors at once.
 BLOCK_CHARS = 16 << 20
+#: Words of a text, and pairs of window and item, that are handled at once.
+STRETCH, PAIRS = 8192, 1 << 20
 _GATE_BITS = 20
 
-SCHEMA = "doc_id long, item_id long, similarity double, distance int, start_word long, n_words long"
-
-
-def bit_sums(grams: np.ndarray) -> np.ndarray:
-    """Running sums of each of the 64 bits over a sequence of shingle hashes."""
-    bits = np.unpackbits(grams.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-    out = np.zeros((len(grams) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=out[1:])
+SCHEMA = "doc_id long, item_id long, similarity double, distance int, start_word long, n_words long, row long"
+
+
+def simhashes(grams: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
+    """SimHashes, BLOCKS numbers each, of the windows of m shingles at starts, which rise."""
+    out, at = np.empty((len(starts), BLOCKS), C.U), 0
+    while at < len(starts):
+        # A stretch of the text at a time, whatever its length.
+        lo = int(starts[at])
+        to = int(np.searchsorted(starts, lo + STRETCH))
+        part = grams[lo : int(starts[to - 1]) + m]
+        lanes = np.stack([C.mix(part ^ C._MULT[j]) for j in range(BLOCKS)], axis=1)
+        sums = np.zeros((len(part) + 1, 64 * BLOCKS), np.int32)
+        np.cumsum(np.unpackbits(lanes.view(np.uint8), axis=1), axis=0, out=sums[1:])
+        first = starts[at:to] - lo
+        out[at:to] = np.packbits(2 * (sums[first + m] - sums[first]) > m, axis=1).view("<u8")
+        at = to
     return out
 
 
-def simhashes(sums: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
-    """SimHash of the windows of m shingles at starts."""
-    ones = 2 * (sums[starts + m] - sums[starts]) > m
-    return np.packbits(ones, axis=1).view("<u8").ravel().astype(np.uint64)
-
-
 class MultiIndex:
-    """Fingerprints by the value of each block of bits; finds all within RADIUS."""
+    """Fingerprints of BLOCKS blocks; finds all within RADIUS."""
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
-        cuts = [64 * b // BLOCKS for b in range(BLOCKS + 1)]
-        self.blocks = []
-        for a, b in zip(cuts, cuts[1:]):
-            shift, mask = C.U(a), C.U((1 << (b - a)) - 1)
-            held = defaultdict(list)
-            for i, v in enumerate(((prints >> shift) & mask).tolist()):
-                held[v].append(i)
-            self.blocks.append((shift, mask, {v: np.array(i) for v, i in held.items()}))
+
+    def proposed(self, prints: np.ndarray) -> np.ndarray:
+        """Pairs (position in prints * size of the index + position in the index) that agree in a block up to RADIUS // BLOCKS bits."""
+        n, out = len(self.prints), [np.zeros(0, np.int64)]
+        step = max(1, PAIRS // max(n, 1))
+        for at in range(0, len(prints), step):
+            part = prints[at : at + step]
+            near = np.zeros((len(part), n), bool)
+            for j in range(BLOCKS):
+                near |= np.bitwise_count(part[:, j, None] ^ self.prints[None, :, j]) <= RADIUS // BLOCKS
+            out.append(np.flatnonzero(near) + at * n)
+        return np.concatenate(out)
 
     def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in prints, position in the index, distance) of all pairs within RADIUS."""
-        pairs = []
-        n = len(self.prints)
-        for shift, mask, held in self.blocks:
-            values = (prints >> shift) & mask
-            for v, items in held.items():
-                at = np.flatnonzero(values == C.U(v))
-                if len(at):
-                    pairs.append((at[:, None] * n + items[None, :]).ravel())
-        if not pairs:
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        both = np.unique(np.concatenate(pairs))
-        a, b = both // n, both % n
-        distance = np.bitwise_count(prints[a] ^ self.prints[b])
+        a, b = np.divmod(self.proposed(prints), max(len(self.prints), 1))
+        distance = np.bitwise_count(prints[a] ^ self.prints[b]).sum(axis=1, dtype=np.int64)
         near = distance <= RADIUS
-        return a[near], b[near], distance[near].astype(np.int64)
+        return a[near], b[near], distance[near]
 
 
 class Benchmark:
-    def __init__(self, items: list[tuple[int, str]]):
+    """Items that share a shingle length: all of SHINGLE words or more, or all of `shingle` words."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], shingle: int):
+        self.shingle = shingle
         by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-        for item_id, text in items:
-            data, off = C.text_buffers(pa.array([text or ""]))
-            h = C.Words(data, off, lower=True, marks=True).hashes
-            if len(h) >= SHINGLE:
-                by_size[len(h)].append((item_id, C.gram_hashes(h, SHINGLE)))
+        for item_id, h in items:
+            by_size[len(h)].append((item_id, C.gram_hashes(h, shingle)))
         self.sizes = {}
         grams, sizes = [np.zeros(0, C.U)], [np.zeros(0, np.int64)]
         for n, held in sorted(by_size.items()):
-            prints = np.concatenate([simhashes(bit_sums(g), np.zeros(1, np.int64), len(g)) for _, g in held])
+            prints = np.concatenate([simhashes(g, np.zeros(1, np.int64), len(g)) for _, g in held])
             self.sizes[n] = ([i for i, _ in held], [Counter(g.tolist()) for _, g in held], MultiIndex(prints))
             own = np.unique(np.concatenate([g for _, g in held]))
             grams.append(own)
@@ -109,6 +111,17 @@ class Benchmark:
         self.gate = np.zeros(1 << _GATE_BITS, bool)
         self.gate[(self.grams >> C.U(64 - _GATE_BITS)).astype(np.int64)] = True
 
+    @staticmethod
+    def of(items: list[tuple[int, str]], salt: int) -> list[Benchmark]:
+        """The items by shingle length; those without words are left out."""
+        held = defaultdict(list)
+        for item_id, text in items:
+            data, off = C.text_buffers(pa.array([text or ""]))
+            h = C.Words(data, off, lower=True, marks=True, key=salt).hashes
+            if len(h):
+                held[min(SHINGLE, len(h))].append((item_id, h))
+        return [Benchmark(x, k) for k, x in sorted(held.items())]
+
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Positions whose shingle is in some item."""
         at = np.flatnonzero(self.gate[(grams >> C.U(64 - _GATE_BITS)).astype(np.int64)])
@@ -126,25 +139,24 @@ class Benchmark:
         for p, a, b in zip(hits.tolist(), lo.tolist(), hi.tolist()):
             for size in set(self.gram_sizes[a:b].tolist()):
                 by_size[size].append(p)
-        out, sums = [], None
+        out = []
         for size, at in by_size.items():
-            m = size - SHINGLE + 1
+            m = size - self.shingle + 1
             # A shorter text is its own window.
             width = min(m, n)
             marks = np.zeros(n + 1, np.int32)
             marks[np.array(at) + 1] = 1
             run = np.cumsum(marks)
             starts = np.flatnonzero(run[width:] - run[: n + 1 - width] > 0)
-            sums = bit_sums(grams) if sums is None else sums
             ids, held, index = self.sizes[size]
-            w, i, distance = index.find(simhashes(sums, starts, width))
+            w, i, distance = index.find(simhashes(grams, starts, width))
             best: dict[int, tuple[float, int, int]] = {}
             for s, k, d in zip(starts[w].tolist(), i.tolist(), distance.tolist()):
                 window = Counter(grams[s : s + width].tolist())
                 share = sum(min(c, window[g]) for g, c in held[k].items() if g in window) / m
                 if share >= SIMILARITY and (k not in best or share > best[k][0]):
                     best[k] = (share, d, s)
-            out += [(ids[k], share, d, s, width + SHINGLE - 1) for k, (share, d, s) in best.items()]
+            out += [(ids[k], share, d, s, width + self.shingle - 1) for k, (share, d, s) in best.items()]
         return out
 
 
@@ -157,30 +169,31 @@ def _items(benchmark: DataFrame) -> list[DataFrame]:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document and item that it holds: similarity, SimHash distance, and the best window in words."""
-    spark = docs.sparkSession
-    given, out = C.keyed_texts(docs, key, text), None
+    """One row for each document and item that it holds: similarity, SimHash distance, the best window in words, and the document's row key."""
+    spark, salt = docs.sparkSession, C.fresh_key()
+    given, out = C.keyed_texts(docs, key, text, row=True), None
     for block in _items(benchmark):
         sent = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])
 
         def run(batches, sent=sent):
-            held = Benchmark(sent.value)
+            held = Benchmark.of(sent.value, salt)
             for batch in batches:
-                data, off = C.text_buffers(batch.column(1))
-                ids = batch.column(0).to_pylist()
+                data, off = C.text_buffers(batch.column(2))
+                ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 rows = []
                 for lo, hi in C.row_chunks(off):
-                    words = C.words_of(data, off, lo, hi, lower=True, marks=True)
-                    grams = C.gram_hashes(words.hashes, SHINGLE)
-                    at = held.hits(grams)
-                    doc = np.searchsorted(words.first, at, "right") - 1
-                    for d in np.unique(doc).tolist():
-                        a, b = int(words.first[d]), int(words.first[d + 1]) - SHINGLE + 1
-                        own = at[(doc == d) & (at < b)] - a
-                        if len(own):
-                            rows += [(ids[lo + d], *x) for x in held.matches(grams[a:b], own)]
-                cols = list(zip(*rows)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "similarity", "distance", "start_word", "n_words"])
+                    words = C.words_of(data, off, lo, hi, lower=True, marks=True, key=salt)
+                    for bench in held:
+                        grams = C.gram_hashes(words.hashes, bench.shingle)
+                        at = bench.hits(grams)
+                        doc = np.searchsorted(words.first, at, "right") - 1
+                        for d in np.unique(doc).tolist():
+                            a, b = int(words.first[d]), int(words.first[d + 1]) - bench.shingle + 1
+                            own = at[(doc == d) & (at < b)] - a
+                            if len(own):
+                                rows += [(ids[lo + d], *x, keys[lo + d]) for x in bench.matches(grams[a:b], own)]
+                cols = list(zip(*rows)) or [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "similarity", "distance", "start_word", "n_words", "row"])
 
         found = C.map_batches(given, run, SCHEMA)
         out = found if out is None else out.union(found)
@@ -188,7 +201,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold an item; the hits are stored and taken away by an anti join."""
-    hits = find_contamination(docs, benchmark).select("doc_id").distinct()
+    """docs without the rows whose text holds an item, with or without an id; the hits are stored and taken away by an anti join."""
+    hits = find_contamination(docs, benchmark).select(F.col("doc_id").alias("_hit_id"), F.col("row").alias("_hit_row")).distinct()
     hits = C.stored(hits, f"{C.shared_dir(docs.sparkSession)}/hits")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & (C.row_key("doc_id", "text") == F.col("_hit_row"))
+    return docs.join(hits, same, "left_anti").select(*docs.columns)
