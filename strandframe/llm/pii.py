@@ -16,10 +16,10 @@ with the corpus and are joined, not sent. Entities of fewer than MIN_TOGETHER do
 can have no such term, so only the others meet the terms of their documents.
 
 A null text is empty and has no span. Offsets are code points, ends exclusive. Ties do
-not matter, since every term over the threshold is marked. Repeated rows count as
-documents of their own for the counts, and each gets its own result when ids differ;
-rows that share an id get the union of their term spans. An empty table gives an empty
-result; other columns are ignored.
+not matter, since every term over the threshold is marked. Every row counts as a document of
+its own and gets the spans of its own text, whether or not others share its id or it has
+none; equal rows get equal spans. An empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -124,21 +124,21 @@ def _terms(t: str, spans: list[tuple[str, int, int]]) -> dict[str, list[tuple[in
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, base (kind, start, end), entities and, beside entities, terms (term, places) of every row."""
+    """doc_id, row_key, base (kind, start, end), entities and, beside entities, terms (term, places) of every row."""
 
     def run(batches):
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         held = pa.list_(pa.struct([("term", pa.string()), ("places", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
         for batch in batches:
             base, terms, ents = [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 spans = base_spans(t)
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
                 terms.append([{"term": w, "places": [dict(zip(("start", "end"), x)) for x in at]} for w, at in _terms(t, spans).items()] if spans else [])
                 ents.append(sorted({_entity(k, t[a:b]) for k, a, b in spans}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(terms, held), pa.array(ents, pa.list_(pa.int64()))], ["doc_id", "base", "terms", "entities"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, span), pa.array(terms, held), pa.array(ents, pa.list_(pa.int64()))], ["doc_id", "row_key", "base", "terms", "entities"])
 
-    return C.map_batches(C.keyed_texts(docs, key, text), run, "doc_id long, base array<struct<kind:string,start:long,end:long>>, terms array<struct<term:string,places:array<struct<start:long,end:long>>>>, entities array<long>")
+    return C.map_batches(C.keyed_texts(docs, key, text, row=True), run, "doc_id long, row_key long, base array<struct<kind:string,start:long,end:long>>, terms array<struct<term:string,places:array<struct<start:long,end:long>>>>, entities array<long>")
 
 
 def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -181,22 +181,25 @@ def disclosures(scanned: DataFrame, shared: DataFrame, frequency: DataFrame) ->
 
 
 def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", work: str | None = None) -> DataFrame:
-    """doc_id, base and terms (both arrays of kind, start, end) for every row."""
+    """doc_id, row_key, base and terms (both arrays of kind, start, end) for every row."""
     spark = docs.sparkSession
     work = work or C.shared_dir(spark)
     # The row numbers hold as the table is stored.
     scanned = C.stored(scan(docs, key, text).withColumn("row", F.monotonically_increasing_id()), f"{work}/scanned")
     shared = C.stored(shared_entities(scanned), f"{work}/shared")
     told = disclosures(scanned, shared, document_frequency(docs, text))
-    found = scanned.select("row", "doc_id", F.explode("terms").alias("x")).select("row", "doc_id", "x.*").join(shared.select("row", "entity"), "row")
-    places = found.join(told.select("entity", "term"), ["entity", "term"]).select("doc_id", F.explode("places").alias("at"))
-    spans = places.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "at.start", "at.end"))).alias("terms"))
-    return scanned.select("doc_id", "base").join(spans, "doc_id", "left").select("doc_id", "base", F.coalesce("terms", F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")).alias("terms"))
+    found = scanned.select("row", F.explode("terms").alias("x")).select("row", "x.*").join(shared.select("row", "entity"), "row")
+    places = found.join(told.select("entity", "term"), ["entity", "term"]).select("row", F.explode("places").alias("at"))
+    spans = places.groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "at.start", "at.end"))).alias("terms"))
+    none = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")
+    return scanned.select("row", "doc_id", "row_key", "base").join(spans, "row", "left").select("doc_id", "row_key", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the text with each base span replaced by <KIND> and each revealing term by <TERM>."""
-    spans = find_spans(docs, key, text).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.concat("base", "terms")))).alias("spans"))
+    # Equal rows have equal spans, so one of them serves for each row key.
+    spans = find_spans(docs, key, text).withColumn("spans", F.concat("base", "terms")).where(F.size("spans") > 0)
+    spans = spans.groupBy(F.col("doc_id").alias("at_id"), F.col("row_key").alias("at_row")).agg(F.first("spans").alias("spans"))
 
     def run(batches):
         for batch in batches:
@@ -210,4 +213,6 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 out.append("".join([*parts, t[at:]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return C.map_batches(C.keyed_texts(docs, key, text).join(spans, "doc_id", "left"), run, "doc_id long, text string")
+    same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("row") == F.col("at_row"))
+    joined = C.keyed_texts(docs, key, text, row=True).join(spans, same, "left").select("doc_id", "text", "spans")
+    return C.map_batches(joined, run, "doc_id long, text string")
