@@ -128,9 +128,9 @@ ORACLES: dict[str, str] = {
         with parts as (select doc_id, string_split(coalesce(text, ''), chr(10)) p from documents),
         l as (select doc_id, no, p[no + 1] content, list_filter(string_split_regex(p[no + 1], '[\x20\x09-\x0D]+'), lambda x: x <> '') w
               from (select doc_id, p, unnest(range(0, len(p))) no from parts)),
-        k as (select *, len(w) n, (doc_id, no) place from l where len(w) >= 5),
+        k as (select *, len(w) n, (doc_id, no) place from l where len(w) >= 1),
         e as (select w, any_value(n) n, min(place) place from k group by w),
-        v as (select w, n, place, i, list_concat(w[1:i], w[i + 2:]) u from (select *, unnest(range(0, n)) i from e)),
+        v as (select w, n, place, i, list_concat(w[1:i], w[i + 2:]) u from (select *, unnest(range(0, n)) i from e where n >= 5)),
         r as (select n, i, u, min(place) place from v group by n, i, u),
         s as (select u, min(place) place from v group by u),
         near as (select v.w from v join r using (n, i, u) where r.place < v.place
@@ -145,13 +145,15 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": r"""
         with d as (select doc_id id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
         b as (select item_id id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') w from benchmark),
-        dg as (select id, n, i - 1 p, array_to_string(w[i:i + 4], ' ') g from (select id, w, len(w) - 4 n, unnest(range(1, len(w) - 3)) i from d where len(w) >= 5)),
-        bg as (select id, m, g, count(*) c from (select id, len(w) - 4 m, array_to_string(w[i:i + 4], ' ') g from (select id, w, unnest(range(1, len(w) - 3)) i from b where len(w) >= 5)) group by 1, 2, 3),
-        h as (select dg.id doc_id, bg.id item_id, dg.n, bg.m, p, dg.g, c from dg join bg on dg.g = bg.g),
-        s as (select distinct doc_id, item_id, m, s from (select doc_id, item_id, n, m, unnest(range(greatest(p - m + 1, 0), least(p, n - m) + 1)) s from h)),
-        k as (select s.doc_id, s.item_id, s.m, s.s, h.g, least(count(*), any_value(h.c)) c from s join h on h.doc_id = s.doc_id and h.item_id = s.item_id and h.p between s.s and s.s + s.m - 1 group by 1, 2, 3, 4, 5),
-        v as (select doc_id, item_id, m, s, sum(c) / m sim from k group by doc_id, item_id, m, s)
-        select doc_id, item_id, max(sim) similarity, cast(arg_max(s, (sim, -s)) as bigint) start_word, cast(any_value(m) + 4 as bigint) n_words from v where sim >= 0.8 group by doc_id, item_id""",
+        i as (select id, w, least(5, len(w)) k from b where len(w) > 0),
+        dg as (select id, k, n, i - 1 p, array_to_string(w[i:i + k - 1], ' ') g
+               from (select id, w, k, len(w) - k + 1 n, unnest(range(1, len(w) - k + 2)) i from d cross join (select distinct k from i) where len(w) >= k)),
+        bg as (select id, k, m, g, count(*) c from (select id, k, len(w) - k + 1 m, array_to_string(w[i:i + k - 1], ' ') g from (select id, w, k, unnest(range(1, len(w) - k + 2)) i from i)) group by 1, 2, 3, 4),
+        h as (select dg.id doc_id, bg.id item_id, k, m, p, dg.g, c, dg.n, least(m, dg.n) width from dg join bg using (k, g)),
+        s as (select distinct doc_id, item_id, k, m, width, s from (select doc_id, item_id, k, m, width, unnest(range(greatest(p - width + 1, 0), least(p, n - width) + 1)) s from h)),
+        held as (select s.doc_id, s.item_id, s.k, s.m, s.width, s.s, h.g, least(count(*), any_value(h.c)) c from s join h on h.doc_id = s.doc_id and h.item_id = s.item_id and h.p between s.s and s.s + s.width - 1 group by 1, 2, 3, 4, 5, 6, 7),
+        v as (select doc_id, item_id, k, m, width, s, sum(c) / m sim from held group by doc_id, item_id, k, m, width, s)
+        select doc_id, item_id, max(sim) similarity, cast(arg_max(s, (sim, -s)) as bigint) start_word, cast(any_value(width + k - 1) as bigint) n_words from v where sim >= 0.8 group by doc_id, item_id""",
     "op10_exact_dedup": """
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') x from documents),
         g as (select x, max(doc_id) keep_id, count(*) n from t group by x)
