@@ -12,10 +12,17 @@ row per task and path. The winning paths, one short row per host, are counted: a
 as they are few they go to all executors and no page is moved; beyond that they are
 joined by host and salt, so that a large host's pages are spread over many tasks.
 
-Elements named like what is not the article, and forms, are left out. One that holds more
-than half of the page's text outside links is the page's frame, whatever its name, and
-stays, while others inside it still go; but where the page has text in an article or main
-element outside all of them, only one inside such an element can be a frame.
+Elements named like what is not the article, and forms, are left out. A name counts if the
+whole class, id or role says so (`comments`, `cookie-notice`, `sidebar-2`, not
+`search-algorithm`); outside article and main elements one plain word of it (`ad`,
+`newsletter`) is enough. Inside them words with other meanings (`warning`, `tags`, `legal`)
+drop an element only if most of its text is linked. An element that holds more than half of
+the page's text outside links is the page's frame, whatever its name, and stays, while
+others inside it still go; but where the page has text in an article or main element outside
+all of them, only one inside such an element can be a frame.
+
+Containers of any depth count, with all their classes: a page's paths are a tree, in which
+scores are added up from the leaves, so deep pages are read in linear time too.
 
 A null or empty page gives an empty text; a page without host forms the host "".
 Ties between paths go to the longer vote score and then to the smaller path. Repeated
@@ -50,42 +57,106 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _ENDS_P = _BLOCK - {"br"}
 _STOPS = frozenset("table ul ol dl div article section body html main blockquote td th".split())
 #: Words in class, id or role that name what is not the article.
-_NOISE = re.compile(
-    r"(?:^|[^a-z])(?:ads?|ad-?(?:box|unit|slot|wrap\w*|container)|advert\w*|adverts?|adsense|adsbygoogle|banners?|promo\w*|sponsor\w*|nav\w*|menus?|breadcrumbs?|side-?bars?|rail|footers?|foot|masthead|topbar|cookies?\w*|consent|gdpr|notices?|notifications?|announcements?|alerts?|warning|disclaimers?|"
-    r"popups?|modals?|overlay|newsletter|subscri\w+|signup|login|share|sharing|social|related|recommend\w*|comments?|comment-?\w*|disqus|replies|reply|respond|responses?|discussion|widgets?|pagination|pager|toolbar|skip|tags?|tag-?cloud|search\w*|forms?|"
-    r"complementary|navigation|contentinfo|search|dialog|alertdialog|hidden|copyright|legal|toc|teasers?|outbrain|taboola|paywall)(?:$|[^a-z])"
+_PLAIN = frozenset(
+    "ad ads adbox adslot adunit adsense adsbygoogle advert adverts advertisement advertisements advertising advertorial banner banners promo promos promotion promoted sponsor sponsored sponsors "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars masthead topbar cookie cookies consent gdpr notice notices notification notifications popup popups modal modals newsletter "
+    "subscribe subscription signup login share sharing sharebar social related recommended recommendations comment comments commenting commentlist disqus replies respond widget widgets pagination pager toolbar "
+    "footer footers contentinfo complementary dialog alertdialog outbrain taboola paywall copyright teaser teasers".split()
 )
-#: Parts of class names that say how an element stands to a sidebar, header or the like which it is not.
-_STATE = re.compile(r"(?:^|[^a-z])(?:no|not|non|has|have|with|without|hide|hides)(?:$|[^a-z])")
-_HEADER = re.compile(r"(?:^|[^a-z])headers?(?:$|[^a-z])")
+#: Words that name such parts too, but have other meanings in an article.
+_DOUBTFUL = frozenset("rail foot announcement announcements alert alerts warning disclaimer disclaimers overlay recommend reply response responses discussion skip tag tags tagcloud search form forms hidden legal toc".split())
+#: Words of a name that say nothing of the content.
+_LAYOUT = frozenset(
+    "area bar block body bottom box btn button buttons card cards cell center cloud col column component container content desktop element fixed float frame global grid group head heading holder icon icons inline inner item items label large "
+    "layer left line link links list main mini mobile module outer page panel placeholder position post posts primary reader readers region right row secondary section side single site slot small space sticky strip tab tabs text thread title top unit user users view wide wrap wrapper zone by for in of on the to".split()
+)
+#: Words that say how an element stands to a sidebar, header or the like which it is not.
+_STATE = frozenset("no not non has have with without hide hides".split())
+_HEADERS = frozenset(("header", "headers"))
+#: A header that these words name is the article's.
+_ARTICLE = frozenset("article content entry post story text body".split())
+_PARTS = re.compile(r"[^\W_]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _MAIN_WORD = re.compile(r"(?:^|[^a-z])(?:article|content|main|post|story|entry|text|body|prose)(?:$|[^a-z])")
-#: Containers deeper than this share the path of their ancestor at this depth.
-MAX_DEPTH = 24
 _SPACE = re.compile(r"[ \t\n\r\f\v\x1c-\x1f\x85   -     　]+")
 _DIGITS = re.compile(r"[0-9]+")
 
 
+class Tree:
+    """The container paths of a page: numbered nodes, parents before children; 0 is the root, outside any container."""
+
+    __slots__ = ("parent", "step", "children")
+
+    def __init__(self):
+        self.parent, self.step = [0], [""]
+        self.children: dict[tuple[int, str], int] = {}
+
+    def below(self, node: int, step: str) -> int:
+        """The child of a node by its step; equal paths are one node."""
+        at = self.children.setdefault((node, step), len(self.parent))
+        if at == len(self.parent):
+            self.parent.append(node)
+            self.step.append(step)
+        return at
+
+    def path(self, node: int) -> str:
+        out = []
+        while node:
+            out.append(self.step[node])
+            node = self.parent[node]
+        return "/".join(reversed(out))
+
+    def find(self, path: str) -> int | None:
+        node = 0
+        for step in path.split("/"):
+            if (node := self.children.get((node, step))) is None:
+                return None
+        return node
+
+    def inside(self, top: int) -> list[bool]:
+        """For each node whether it is top or below it."""
+        out = []
+        for node, up in enumerate(self.parent):
+            out.append(node == top or node > 0 and out[up])
+        return out
+
+
 class Block:
-    __slots__ = ("path", "text", "linked", "tag")
+    __slots__ = ("tree", "node", "text", "linked", "tag")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int, tag: str):
-        self.path, self.text, self.linked, self.tag = path, text, linked, tag
+    def __init__(self, tree: Tree, node: int, text: str, linked: int, tag: str):
+        self.tree, self.node, self.text, self.linked, self.tag = tree, node, text, linked, tag
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
-    """tag.class of a container with digits folded, first class only by name order."""
-    names = sorted(_DIGITS.sub("#", x) for x in attrs.get("class", "").lower().split())
+    """tag.class of a container with digits folded and classes in order of name."""
+    names = sorted({_DIGITS.sub("#", x) for x in attrs.get("class", "").lower().split()})
     if not names and attrs.get("id"):
         names = [_DIGITS.sub("#", attrs["id"].lower())]
-    return ".".join([tag, *names[:2]])
+    return ".".join([tag, *names]).replace("/", "|")
 
 
 def _attributes(s: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_ATTR.finditer(s)))} if "=" in s or "hidden" in s else {}
 
 
+def _named(name: str, within: bool) -> int:
+    """What one class, id or role says: 0 nothing, 2 that the element is no part of the article, 3 that it may not be."""
+    parts = [x for x in _PARTS.findall(_CAMEL.sub("-", name).lower()) if not x.isdigit()]
+    if not parts or not _STATE.isdisjoint(parts):
+        return 0
+    whole = all(x in _PLAIN or x in _DOUBTFUL or x in _HEADERS or x in _LAYOUT or len(x) == 1 for x in parts)
+    if not _PLAIN.isdisjoint(parts) and (whole or not within):
+        return 2
+    if whole and not _HEADERS.isdisjoint(parts) and not within and _ARTICLE.isdisjoint(parts):
+        return 2
+    if whole and not _DOUBTFUL.isdisjoint(parts):
+        return 3 if within else 2
+    return 0
+
+
 def _unwanted(tag: str, attrs: dict[str, str], within: int) -> int:
-    """0 for a wanted element, 1 for one that always goes, 2 for one that goes unless it holds most of the page.
+    """0 for a wanted element, 1 for one that always goes, 2 for one that goes unless it holds most of the page, 3 for one that goes if most of it is linked.
 
     within: open article or main elements, whose own headers hold the title.
     """
@@ -97,25 +168,28 @@ def _unwanted(tag: str, attrs: dict[str, str], within: int) -> int:
         return 2
     if not attrs or tag in ("body", "html", "article", "main"):
         return 0
-    named = " ".join([attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", ""), attrs.get("itemprop", "")]).lower().replace("_", "-")
-    names = [x for x in named.split() if not _STATE.search(x)]
-    return 2 * any(_NOISE.search(x) or not within and _HEADER.search(x) for x in names)
+    names = " ".join([attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", ""), attrs.get("itemprop", "")]).split()
+    said = {_named(x, within > 0) for x in names}
+    return 2 if 2 in said else 3 if 3 in said else 0
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of text of a page in page order, without dropped parts; each has the path of its containers."""
-    # Found blocks: path, pieces of text (text, whether it is linked, innermost doubtful element or -1), tag.
-    raw: list[tuple[tuple[str, ...], list[tuple[str, bool, int]], str]] = []
-    # An open element: tag, its step if it is a container, whether it is dropped (2: doubtful), whether it is a link.
-    stack: list[tuple[str, str, int, bool]] = []
-    # Doubtful elements: the one around each, whether it is in an article, the unlinked text of each; those that are open.
+    # Found blocks: container, pieces of text (text, whether it is linked, innermost doubtful element or -1), tag.
+    raw: list[tuple[int, list[tuple[str, bool, int]], str]] = []
+    # An open element: tag, whether it is a container, whether it is dropped (2, 3: doubtful), whether it is a link.
+    stack: list[tuple[str, bool, int, bool]] = []
+    # Doubtful elements: the one around each, whether it is in an article and goes if it is linked, the unlinked and linked text of each; those that are open.
     around: list[int] = []
     in_article: list[bool] = []
+    if_linked: list[bool] = []
     held: list[int] = []
+    tied: list[int] = []
     doubtful: list[int] = [-1]
     open_tags: dict[str, int] = defaultdict(int)
     dropped = links = 0
-    steps: list[str] = []
+    tree = Tree()
+    nodes = [0]
     in_blocks: list[str] = []
     parts: list[tuple[str, bool, int]] = []
     free = 0
@@ -123,19 +197,19 @@ def blocks(page: str) -> list[Block]:
 
     def flush() -> None:
         if parts:
-            raw.append((tuple(steps[:MAX_DEPTH]), parts.copy(), in_blocks[-1] if in_blocks else ""))
+            raw.append((nodes[-1], parts.copy(), in_blocks[-1] if in_blocks else ""))
             parts.clear()
 
     def pop() -> None:
         nonlocal dropped, links
-        tag, step, drop, link = stack.pop()
-        if step:
-            steps.pop()
+        tag, container, drop, link = stack.pop()
+        if container:
+            nodes.pop()
         if tag in _BLOCK:
             in_blocks.pop()
         open_tags[tag] -= 1
         dropped -= drop == 1
-        if drop == 2:
+        if drop > 1:
             doubtful.pop()
         links -= link
 
@@ -164,8 +238,11 @@ def blocks(page: str) -> list[Block]:
             lt = n
         if lt > at and not dropped:
             parts.append((page[at:lt], links > 0, doubtful[-1]))
-            if not links:
-                n_free = len(page[at:lt].strip())
+            n_free = len(page[at:lt].strip())
+            if links:
+                if doubtful[-1] >= 0:
+                    tied[doubtful[-1]] += n_free
+            else:
                 free += n_free
                 if doubtful[-1] >= 0:
                     held[doubtful[-1]] += n_free
@@ -222,18 +299,20 @@ def blocks(page: str) -> list[Block]:
         if m[4].endswith("/") and tag in ("svg", "math", "path", "use"):
             continue
         drop = _unwanted(tag, attrs, open_tags["article"] + open_tags["main"])
-        step = _step(tag, attrs) if tag in _CONTAINER else ""
-        stack.append((tag, step, drop, tag == "a"))
-        if step:
-            steps.append(step)
+        container = tag in _CONTAINER
+        stack.append((tag, container, drop, tag == "a"))
+        if container:
+            nodes.append(tree.below(nodes[-1], _step(tag, attrs)))
         if tag in _BLOCK:
             in_blocks.append(tag)
         open_tags[tag] += 1
         dropped += drop == 1
-        if drop == 2:
+        if drop > 1:
             around.append(doubtful[-1])
             in_article.append(open_tags["article"] + open_tags["main"] > 0)
+            if_linked.append(drop == 3)
             held.append(0)
+            tied.append(0)
             doubtful.append(len(held) - 1)
         links += tag == "a"
     flush()
@@ -241,47 +320,69 @@ def blocks(page: str) -> list[Block]:
     for i in range(len(held) - 1, -1, -1):
         if around[i] >= 0:
             held[around[i]] += held[i]
+            tied[around[i]] += tied[i]
     stays: list[bool] = []
     for i, x in enumerate(held):
-        stays.append(2 * x > free and (in_article[i] or not has_article) and (around[i] < 0 or stays[around[i]]))
+        own = tied[i] <= x if if_linked[i] else 2 * x > free and (in_article[i] or not has_article)
+        stays.append(own and (around[i] < 0 or stays[around[i]]))
     out = []
-    for path, pieces, tag in raw:
+    for node, pieces, tag in raw:
         pieces = [x for x in pieces if x[2] < 0 or stays[x[2]]]
         text = _SPACE.sub(" ", html.unescape("".join([x[0] for x in pieces]))).strip(" ")
         if text:
-            out.append(Block(path, text, min(sum(len(x[0]) for x in pieces if x[1]), len(text)), tag))
+            out.append(Block(tree, node, text, min(sum(len(x[0]) for x in pieces if x[1]), len(text)), tag))
     return out
 
 
-def container_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
-    """Score of each container path of a page; a container shares in the score of what is inside it."""
-    scores: dict[tuple[str, ...], float] = defaultdict(float)
+def container_scores(found: list[Block]) -> list[float]:
+    """Score of each container of a page by number (the root's is not a container's); one shares in the score of what is inside it."""
+    if not found:
+        return []
+    tree = found[0].tree
+    scores = [0.0] * len(tree.parent)
     for b in found:
         free = len(b.text) - b.linked
-        gain = free * (1.0 if b.tag in ("p", "pre", "blockquote", "li", "td", "h1", "h2", "h3", "h4") else 0.6) - 2.0 * b.linked + 10.0 * (b.text.count(",") + b.text.count("."))
-        for depth in range(1, len(b.path) + 1):
-            # Wrappers further out get less, so the tightest container of most text wins.
-            scores[b.path[:depth]] += gain * 0.9 ** (len(b.path) - depth)
-    for path in scores:
-        step = path[-1]
+        scores[b.node] += free * (1.0 if b.tag in ("p", "pre", "blockquote", "li", "td", "h1", "h2", "h3", "h4") else 0.6) - 2.0 * b.linked + 10.0 * (b.text.count(",") + b.text.count("."))
+    for node in range(len(scores) - 1, 0, -1):
+        # Wrappers further out get less, so the tightest container of most text wins.
+        scores[tree.parent[node]] += 0.9 * scores[node]
+    for node in range(1, len(scores)):
+        step = tree.step[node]
         if step.startswith(("article", "main")):
-            scores[path] *= 1.6
-        elif _MAIN_WORD.search(step):
-            scores[path] *= 1.3
+            scores[node] *= 1.6
+        elif _MAIN_WORD.search(step.partition(".")[2]):
+            scores[node] *= 1.3
     return scores
 
 
-def best_path(found: list[Block]) -> tuple[str, ...] | None:
-    scores = container_scores(found)
-    return min(scores, key=lambda p: (-scores[p], p)) if scores else None
+def best_container(found: list[Block], scores: list[float]) -> int:
+    """The container with the highest score, of those with text in them; 0 if no text is in one."""
+    if not found:
+        return 0
+    tree = found[0].tree
+    used = [False] * len(tree.parent)
+    for b in found:
+        used[b.node] = True
+    for node in range(len(used) - 1, 0, -1):
+        used[tree.parent[node]] |= used[node]
+    nodes = [n for n in range(1, len(used)) if used[n]]
+    if not nodes:
+        return 0
+    most = max(scores[n] for n in nodes)
+    tied = [n for n in nodes if scores[n] == most]
+    return tied[0] if len(tied) == 1 else min(tied, key=lambda n: tree.path(n).split("/"))
 
 
-def extract(found: list[Block], path: tuple[str, ...] | None) -> str:
+def extract(found: list[Block], path: str | None) -> str:
     """Blocks below path, joined by a space; without path, or if nothing is below it, by the page's own best path."""
-    if path is None or not (inside := [b.text for b in found if b.path[: len(path)] == path]):
-        path = best_path(found)
-        inside = [b.text for b in found if path is None or b.path[: len(path)] == path]
-    return " ".join(inside)
+    if not found:
+        return ""
+    tree = found[0].tree
+    top = tree.find(path) if path else None
+    held = tree.inside(top) if top is not None else []
+    if top is None or not any(held[b.node] for b in found):
+        held = tree.inside(best_container(found, container_scores(found)))
+    return " ".join([b.text for b in found if held[b.node]])
 
 
 def host_column(url: str = "url"):
@@ -298,11 +399,10 @@ def host_paths(pages: DataFrame, url: str = "url", text: str = "html") -> DataFr
             for host, page in zip(*(c.to_pylist() for c in batch.columns)):
                 found = blocks(page)
                 scores = container_scores(found)
-                if scores:
-                    path = min(scores, key=lambda p: (-scores[p], p))
-                    v = votes[host, "/".join(path)]
+                if node := best_container(found, scores):
+                    v = votes[host, found[0].tree.path(node)]
                     v[0] += 1
-                    v[1] += scores[path]
+                    v[1] += scores[node]
             yield pa.RecordBatch.from_pydict({"host": [h for h, _ in votes], "path": [p for _, p in votes], "votes": pa.array([v[0] for v in votes.values()], pa.int64()), "score": pa.array([v[1] for v in votes.values()], pa.float64())})
 
     given = pages.select(host_column(url).alias("host"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("html"))
@@ -319,7 +419,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", text
     def run(batches):
         for batch in batches:
             path = batch.column(3).to_pylist()
-            out = [extract(blocks(page), tuple(p.split("/")) if p else None) for page, p in zip(batch.column(2).to_pylist(), path)]
+            out = [extract(blocks(page), p) for page, p in zip(batch.column(2).to_pylist(), path)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), batch.column(3)], ["page_id", "url", "text", "path"])
 
     joined = C.join_lookup(given, paths, "host", ["page_id", "url"]).select("page_id", "url", "html", "path")
