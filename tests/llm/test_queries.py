@@ -38,20 +38,6 @@ def test_query_runs(spark, name):
     assert n == spark.read.parquet(f"{SF}/{table}.parquet").count() if name != "op6_decontamination" else n > 0
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, ids = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF)
-        assert out.columns == columns
-        kept = {r.doc_id for r in out.select("doc_id").collect()}
-        assert kept < ids or name == "decontamination"
-        docs, ids = out, kept
-    final = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert {r.doc_id for r in final.select("doc_id").collect()} == ids
-    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == ids
-
-
 def test_stages_take_awkward_tables(spark, tmp_path):
     """Nulls in every column, empty and long texts, repeated rows, clashing names; then no rows at all."""
     rows = [
