@@ -67,7 +67,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def build_index(spark: SparkSession, paths: list[str], out: str, snps: str | None = None) -> None:
-    """Writes ref_contig, snp and ref_window; windows are clustered by seed, so a seed is in one file."""
+    """Writes ref_contig, snp and ref_window; windows are bucketed by seed."""
     if len(set(paths)) != len(paths):
         raise ValueError("genome paths must be unique")
     records = fastx.read_fastx(spark, paths).where(F.length("seq") > 0)
@@ -79,12 +79,11 @@ def build_index(spark: SparkSession, paths: list[str], out: str, snps: str | Non
     if snps:
         genome.located(variants.read_snps(spark, snps), ctg).write.mode("overwrite").parquet(f"{out}/snp")
         alternate = genome.alternate_windows(ctg, spark.read.parquet(f"{out}/snp"))
-    found = genome.distinct_windows(genome.windows(ctg), alternate)
-    found.repartition("seed").sortWithinPartitions("seed", "hi", "lo").write.mode("overwrite").parquet(f"{out}/ref_window")
+    genome.store_index(genome.distinct_windows(genome.windows(ctg), alternate), f"{out}/ref_window")
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/ref_window")
+    return genome.open_index(spark, f"{path}/ref_window")
 
 
 def encode_files(spark: SparkSession, index: str, paths: list[str], out: str, block: int = archive.DEFAULT_BLOCK, tries: int = 3, preset: int = 6) -> None:

@@ -44,6 +44,11 @@ def swap_bits(x, i: int, j: int) -> Column:
     return F.when(test_bit(x, i) != test_bit(x, j), change_bit(change_bit(x, i), j)).otherwise(_c(x))
 
 
+def swap_unequal_bits(x, i: int, j: int) -> Column:
+    """swap_bits for bits that are known to differ: both change."""
+    return _c(x).bitwiseXOR(_l((1 << i) ^ (1 << j)))
+
+
 def block(p: int, n: int) -> Column:
     """n ones from bit p on."""
     return _l((((1 << n) - 1) << p) & ((1 << 64) - 1))
@@ -57,6 +62,11 @@ def popcount(x) -> Column:
     return F.bit_count(_c(x))
 
 
+def count_low_ones(x) -> Column:
+    """Ones of a word that is 0..01..1."""
+    return F.when(_c(x) == 0, 0).otherwise(floor_log2(x) + 1)
+
+
 def parity(x) -> Column:
     return F.bit_count(_c(x)) % 2
 
@@ -134,6 +144,15 @@ def highest_zero(x) -> Column:
     return highest_one(F.bitwise_not(_c(x)))
 
 
+def highest_zero_index(x) -> Column:
+    """Index of the highest zero; 0 if there is none."""
+    return highest_one_index(F.bitwise_not(_c(x)))
+
+
+def set_highest_zero(x) -> Column:
+    return _c(x).bitwiseOR(highest_zero(x))
+
+
 def is_power_of_2(x) -> Column:
     """True for 0 too."""
     return clear_lowest_one(x) == 0
@@ -144,12 +163,14 @@ def is_one_bit(x) -> Column:
 
 
 def next_exponent_of_2(x) -> Column:
-    """Smallest e with 2**e >= x."""
-    return F.when(_c(x) <= 1, 0).otherwise(floor_log2(_minus_one(_c(x))) + 1)
+    """Smallest e with 2**e >= x, which counts as unsigned."""
+    return F.when(_c(x).isin(0, 1), 0).otherwise(floor_log2(_minus_one(_c(x))) + 1)
 
 
 def next_power_of_2(x) -> Column:
-    return F.when(_c(x) == 0, _l(0)).otherwise(_bit(next_exponent_of_2(x)))
+    """Smallest power of 2 that is not below x; 0 for 0 and beyond 2**63."""
+    e = next_exponent_of_2(x)
+    return F.when((_c(x) == 0) | (e > 63), _l(0)).otherwise(_bit(e))
 
 
 def nth_one_index(x, i: int) -> Column:
@@ -163,6 +184,10 @@ def same_highest_one(x, y) -> Column:
     return floor_log2(x) == floor_log2(y)
 
 
+def other_highest_one(x, y) -> Column:
+    return floor_log2(x) != floor_log2(y)
+
+
 def average(x, y) -> Column:
     """Floor of the mean without overflow; both count as unsigned."""
     return _wrapping_add(_c(x).bitwiseAND(_c(y)), F.shiftrightunsigned(_c(x).bitwiseXOR(_c(y)), 1))
@@ -174,3 +199,12 @@ def ceil_average(x, y) -> Column:
 
 def is_even(x) -> Column:
     return _c(x).bitwiseAND(_l(1)) == 0
+
+
+def is_odd(x) -> Column:
+    return _c(x).bitwiseAND(_l(1)) != 0
+
+
+def random_index(m: Column | int, seed: int | None = None) -> Column:
+    """A uniform number from 0 to m - 1 for each row."""
+    return F.floor(F.rand(seed) * m).cast("long")

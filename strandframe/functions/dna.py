@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Window, seed and word count of the index, mismatches from which a window is no hit, shortest read that is placed.
 WINDOW, SEED, WORDS, MISMATCHES, MIN_READ = 54, 14, 5, 5, 68
+#: The letters of reads in order, and what each pairs with.
+LETTERS, PAIRS = "ACGNT", "TGCNA"
 
 
 def _c(x: Column | str) -> Column:
@@ -19,7 +21,7 @@ def is_base(b: Column | str) -> Column:
 
 
 def is_base_or_n(b: Column | str) -> Column:
-    return _c(b).rlike("^[ACGTNacgtn]$")
+    return _c(b).rlike(f"^[{LETTERS}{LETTERS.lower()}]$")
 
 
 def has_n(s: Column | str) -> Column:
@@ -36,7 +38,7 @@ def long_enough(s: Column | str) -> Column:
 
 
 def complement(s: Column | str) -> Column:
-    return F.translate(_c(s), "ACGTNacgtn", "TGCANTGCAN")
+    return F.translate(_c(s), LETTERS + LETTERS.lower(), PAIRS + PAIRS)
 
 
 def reverse_complement(s: Column | str) -> Column:
@@ -77,6 +79,13 @@ def canonical(kmer: Column | str) -> Column:
     return F.least(_c(kmer), reverse_complement(kmer))
 
 
+def min_id(kmer: Column | str, k: int) -> Column:
+    """Code of a k-mer or of its reverse complement by the older rule: the latter if it is smaller at any place, not only at the first that differs."""
+    s, rc = _c(kmer), reverse_complement(kmer)
+    some = F.exists(F.sequence(F.lit(1), F.lit(k)), lambda i: F.substring(s, i, F.lit(1)) > F.substring(rc, i, F.lit(1)))
+    return F.when(some, kmer_id(rc)).otherwise(kmer_id(s))
+
+
 def next_id(code: Column | str, base: Column | str, k: int) -> Column:
     """Code after the window moves one base to the right."""
     return F.shiftleft(_c(code), 2).bitwiseOR(_c(base)).bitwiseAND(F.lit((1 << (2 * k)) - 1 if k < 32 else -1).cast("long"))

@@ -52,6 +52,16 @@ def probes(reads: DataFrame, tries: int = TRIES) -> DataFrame:
     return fit.mapInArrow(run, "rid long, strand int, attempt int, at int, hi long, lo long, seed int")
 
 
+def index_of(probe: DataFrame, ctg: DataFrame, alternate: DataFrame | None = None) -> DataFrame:
+    """The distinct windows that have the seed of a probe, made for these probes alone; without storing an index of all."""
+    from .genome import distinct_windows, seed_bitmap, windows
+
+    seeds = seed_bitmap(probe)
+    if alternate is not None:
+        alternate = alternate.join(probe.select("seed").distinct(), "seed", "left_semi")
+    return distinct_windows(windows(ctg, seeds), alternate)
+
+
 def hits(probe: DataFrame, index: DataFrame) -> DataFrame:
     """(rid, strand, attempt, at, mismatches, gpos): index windows with the probe's seed and fewer than MISMATCHES differing bases.
 

@@ -6,13 +6,17 @@ contigs in Arrow batches: one multiply-add per base instead of a substring per w
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions import dna
 
+from .prefix import sums_before
+
 HALF = dna.WINDOW // 2
 #: Pieces that long contigs are cut into; neighbours overlap by a window less one.
 PIECE = 1 << 20
@@ -27,22 +31,17 @@ def contigs(records: DataFrame) -> DataFrame:
 
     records: ord, chrom, seq. Of a repeated name the first is kept for lookups by name; all stay in the concatenation.
     """
-    n = F.length("seq").cast("long")
     # One row per contig: the running sum is over contig lengths, without their sequences.
-    sized = records.select("ord", n.alias("length"))
-    blocks = sized.withColumn("block", F.floor(F.col("ord") / 1024))
-    sums = blocks.groupBy("block").agg(F.sum("length").alias("total"))
-    base = sums.select("block", (F.sum("total").over(Window.orderBy("block")) - F.col("total")).alias("base"))
-    place = blocks.withColumn("within", F.sum("length").over(Window.partitionBy("block").orderBy("ord")) - F.col("length")).join(base, "block")
-    place = place.select("ord", (F.col("base") + F.col("within")).alias("offset"), "length")
+    place = sums_before(records.select("ord", F.length("seq").cast("long").alias("length")), "ord", "length", "offset")
     return records.join(place, "ord").select(F.col("ord").alias("ctg_ord"), "chrom", "offset", "length", F.upper("seq").alias("seq"))
 
 
 def pieces(ctg: DataFrame) -> DataFrame:
-    """Contigs cut into overlapping pieces, so that one contig is spread over tasks: (ctg_ord, offset, seq)."""
+    """Contigs cut into overlapping pieces, so that one contig is spread over tasks: (ctg_ord, piece, offset, seq)."""
     n = F.length("seq")
     starts = F.sequence(F.lit(0), F.greatest(n - dna.WINDOW, F.lit(0)), F.lit(PIECE))
-    return ctg.where(n >= dna.WINDOW).select("ctg_ord", "offset", F.explode(starts).alias("at"), "seq").select("ctg_ord", (F.col("offset") + F.col("at")).alias("offset"), F.substring("seq", F.col("at") + 1, F.lit(PIECE + dna.WINDOW - 1)).alias("seq"))
+    cut = ctg.where(n >= dna.WINDOW).select("ctg_ord", "offset", F.explode(starts).alias("at"), "seq")
+    return cut.select("ctg_ord", F.floor(F.col("at") / PIECE).alias("piece"), (F.col("offset") + F.col("at")).alias("offset"), F.substring("seq", F.col("at") + 1, F.lit(PIECE + dna.WINDOW - 1)).alias("seq"))
 
 
 def codes(seq: np.ndarray, k: int) -> np.ndarray:
@@ -79,27 +78,53 @@ def _packed(seq: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 SEED_MASK = (1 << 2 * dna.SEED) - 1
 
 
-def windows(ctg: DataFrame) -> DataFrame:
-    """(gpos, hi, lo, seed) of every window of a contig that holds A, C, G, T only; windows do not cross contigs."""
+WINDOW_SCHEMA = "gpos long, hi long, lo long, seed int"
+
+
+def _window_rows(pos: list[np.ndarray], hi: list[np.ndarray], lo: list[np.ndarray]) -> pa.RecordBatch:
+    cat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (pos, hi, lo)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, cat), pa.array((cat[2] & SEED_MASK).astype(np.int32))], ["gpos", "hi", "lo", "seed"])
+
+
+def windows(ctg: DataFrame, seeds: bytes | None = None) -> DataFrame:
+    """(gpos, hi, lo, seed) of every window of a contig that holds A, C, G, T only; windows do not cross contigs.
+
+    seeds: a bitmap of seed_bitmap(); windows with other seeds are not made into rows.
+    """
+    sent = ctg.sparkSession.sparkContext.broadcast(seeds) if seeds is not None else None
 
     def run(batches):
+        wanted = np.frombuffer(sent.value, np.uint8) if sent is not None else None
         for batch in batches:
-            pos, hi, lo = [], [], []
+            pos, hi, lo, n = [], [], [], 0
             for offset, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 at, a, b = _packed(seq.encode("ascii", "replace"))
+                if wanted is not None:
+                    seed = b & SEED_MASK
+                    some = np.flatnonzero(wanted[seed >> 3] >> (seed & 7).astype(np.uint8) & 1)
+                    at, a, b = at[some], a[some], b[some]
                 pos.append(at + offset)
                 hi.append(a)
                 lo.append(b)
-                if sum(map(len, pos)) > 1 << 20:
-                    yield _rows(pos, hi, lo)
-                    pos, hi, lo = [], [], []
-            yield _rows(pos, hi, lo)
+                n += len(at)
+                if n > 1 << 20:
+                    yield _window_rows(pos, hi, lo)
+                    pos, hi, lo, n = [], [], [], 0
+            yield _window_rows(pos, hi, lo)
+
+    return pieces(ctg).select("offset", "seq").mapInArrow(run, WINDOW_SCHEMA)
 
-    def _rows(pos, hi, lo):
-        low = np.concatenate([np.zeros(0, np.int64), *lo])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *pos])), pa.array(np.concatenate([np.zeros(0, np.int64), *hi])), pa.array(low), pa.array((low & SEED_MASK).astype(np.int32))], ["gpos", "hi", "lo", "seed"])
 
-    return pieces(ctg).select("offset", "seq").mapInArrow(run, "gpos long, hi long, lo long, seed int")
+def seed_bitmap(rows: DataFrame) -> bytes:
+    """A bit for each of the 4**14 seeds, set where `rows` has it: 32 MiB at most, whatever the number of rows.
+
+    Put together by the executors, 32,768 seeds to a row.
+    """
+    held = rows.select((F.col("seed").cast("long") + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    out, step = bytearray((SEED_MASK + 1) // 8), 4096
+    for r in held.collect():
+        out[(r.bucket - 1) * step : r.bucket * step] = r.bits
+    return bytes(out)
 
 
 def seed_counts(ctg: DataFrame) -> DataFrame:
@@ -115,28 +140,49 @@ def seed_counts(ctg: DataFrame) -> DataFrame:
 
 
 def located(snps: DataFrame, ctg: DataFrame) -> DataFrame:
-    """(gpos, alt): variants on the global axis; unknown chromosomes are dropped, the first of a position is kept.
+    """(gpos, alt, ctg_ord, pos): variants on the global axis and in their contig; unknown chromosomes are dropped, the first of a position is kept.
 
     snps: ord, chrom, pos (from 0), alt.
     """
-    first = ctg.groupBy("chrom").agg(F.min_by(F.struct("offset", "length"), "ctg_ord").alias("c"))
-    at = snps.join(first, "chrom").where((F.col("pos") >= 0) & (F.col("pos") < F.col("c.length"))).select("ord", (F.col("c.offset") + F.col("pos")).alias("gpos"), "alt")
-    return at.groupBy("gpos").agg(F.min_by("alt", "ord").alias("alt"))
+    first = ctg.groupBy("chrom").agg(F.min_by(F.struct("offset", "length", "ctg_ord"), "ctg_ord").alias("c"))
+    at = snps.join(first, "chrom").where((F.col("pos") >= 0) & (F.col("pos") < F.col("c.length")))
+    at = at.select("ord", (F.col("c.offset") + F.col("pos")).alias("gpos"), "alt", F.col("c.ctg_ord").alias("ctg_ord"), "pos")
+    return at.groupBy("gpos").agg(F.min_by(F.struct("alt", "ctg_ord", "pos"), "ord").alias("v")).select("gpos", "v.*")
 
 
 def alternate_windows(ctg: DataFrame, snps: DataFrame) -> DataFrame:
     """(gpos, hi, lo, seed) of the windows that cover a variant, with its base in place; one variant per window.
 
-    Each variant asks for its own 54 starts (an equi-join on the start), never for a range.
+    Variants go to the pieces of their contig in which such windows start, one list for each piece, and only these windows
+    are cut. snps: located().
     """
     digit = F.instr(F.lit("ACGT"), F.col("alt")) - 1
-    asked = snps.where(F.col("alt").rlike("^[ACGT]$")).select(F.explode(F.sequence(F.col("gpos") - (dna.WINDOW - 1), F.col("gpos"))).alias("gpos"), F.col("gpos").alias("at"), digit.cast("long").alias("digit"))
-    met = windows(ctg).join(asked, "gpos")
-    off = F.col("at") - F.col("gpos")
-    shift = F.when(off < HALF, 2 * (HALF - 1 - off)).otherwise(2 * (2 * HALF - 1 - off)).cast("int")
-    put = lambda x: x.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(3).cast("long"), shift))).bitwiseOR(F.call_function("shiftleft", F.col("digit"), shift))
-    out = met.select("gpos", F.when(off < HALF, put(F.col("hi"))).otherwise(F.col("hi")).alias("hi"), F.when(off >= HALF, put(F.col("lo"))).otherwise(F.col("lo")).alias("lo"))
-    return out.select("gpos", "hi", "lo", F.col("lo").bitwiseAND(F.lit(SEED_MASK)).cast("int").alias("seed"))
+    first, last = F.greatest(F.col("pos") - (dna.WINDOW - 1), F.lit(0)), F.col("pos")
+    asked = snps.where(F.col("alt").rlike("^[ACGT]$")).select("ctg_ord", "gpos", digit.cast("int").alias("digit"), F.explode(F.array_distinct(F.array(F.floor(first / PIECE), F.floor(last / PIECE)))).alias("piece"))
+    asked = asked.groupBy("ctg_ord", "piece").agg(F.collect_list(F.struct("gpos", "digit")).alias("variants"))
+
+    def run(batches):
+        for batch in batches:
+            for offset, seq, held in zip(*(c.to_pylist() for c in batch.columns)):
+                at, a, b = _packed(seq.encode("ascii", "replace"))
+                n = len(seq) - dna.WINDOW + 1
+                # Of each start the number of its window, or -1.
+                number = np.full(n, -1, np.int64)
+                number[at] = np.arange(len(at))
+                place = np.array([v["gpos"] for v in held], np.int64) - offset
+                digits = np.array([v["digit"] for v in held], np.int64)
+                starts = (place[:, None] - np.arange(dna.WINDOW)[None, :]).ravel()
+                off, base = np.tile(np.arange(dna.WINDOW), len(held)), np.repeat(digits, dna.WINDOW)
+                # A piece makes the windows that start in its first PIECE bases.
+                fit = (starts >= 0) & (starts < min(n, PIECE))
+                fit[fit] = number[starts[fit]] >= 0
+                starts, off, base = starts[fit], off[fit], base[fit]
+                hi, lo = a[number[starts]], b[number[starts]]
+                shift = 2 * (HALF - 1 - off % HALF)
+                changed = np.where(off < HALF, hi, lo) & ~(np.int64(3) << shift) | base << shift
+                yield _window_rows([starts + offset], [np.where(off < HALF, changed, hi)], [np.where(off < HALF, lo, changed)])
+
+    return pieces(ctg).join(asked, ["ctg_ord", "piece"]).select("offset", "seq", "variants").mapInArrow(run, WINDOW_SCHEMA)
 
 
 def distinct_windows(plain: DataFrame, alternate: DataFrame | None = None) -> DataFrame:
@@ -150,6 +196,28 @@ def distinct_windows(plain: DataFrame, alternate: DataFrame | None = None) -> Da
     return least.select("hi", "lo", F.col("lo").bitwiseAND(F.lit(SEED_MASK)).cast("int").alias("seed"), (F.col("p") >= flag).alias("is_alt"), F.col("p").bitwiseAND(F.lit(flag - 1)).alias("gpos"))
 
 
+def store_index(index: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Writes distinct windows bucketed and sorted by seed, so that a lookup moves the probes alone; and the number of buckets beside them."""
+    spark = index.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"windows_{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    rows = index.select("seed", "hi", "lo", "is_alt", "gpos").repartition(buckets, "seed")
+    rows.write.bucketBy(buckets, "seed").sortBy("seed").format("parquet").option("path", f"{path}/windows").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """A stored index as a bucketed table, declared under the same name for the same path."""
+    buckets = spark.read.parquet(f"{path}/layout").first().buckets
+    name = f"windows_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} (seed INT, hi BIGINT, lo BIGINT, is_alt BOOLEAN, gpos BIGINT) USING parquet CLUSTERED BY (seed) SORTED BY (seed) INTO {buckets} BUCKETS LOCATION '{path}/windows'")
+    return spark.table(name)
+
+
 def window_text(hi="hi", lo="lo"):
     return F.concat(dna.kmer_text(hi, HALF), dna.kmer_text(lo, HALF))
 
@@ -159,18 +227,16 @@ def seed_groups(index: DataFrame) -> DataFrame:
     return index.groupBy("seed").agg(F.count("*").alias("n"))
 
 
+def distinct_per_seed(plain: DataFrame) -> DataFrame:
+    """(seed, n) straight from windows: dealt by seed once, which serves the distinct windows and their count."""
+    return seed_groups(plain.select("seed", "hi", "lo").repartition("seed").groupBy("seed", "hi", "lo").agg(F.lit(1)))
+
+
 def bucket_histogram(groups: DataFrame) -> DataFrame:
     """(size, seeds): how many seeds have 1 .. 256 windows; larger ones count as 257."""
     return groups.select(F.least("n", F.lit(257)).cast("long").alias("size")).groupBy("size").agg(F.count("*").alias("seeds"))
 
 
-def first_ranks(groups: DataFrame, key: str, n: str, bucket) -> DataFrame:
-    """groups with `first_rank`: running count of rows before a key, in key order.
-
-    A prefix sum in two steps: within buckets of neighbouring keys, and over the few buckets.
-    """
-    cut = groups.withColumn("_b", bucket)
-    sums = cut.groupBy("_b").agg(F.sum(n).alias("_t"))
-    base = sums.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_base"))
-    within = F.sum(n).over(Window.partitionBy("_b").orderBy(key)) - F.col(n)
-    return cut.withColumn("_w", within).join(base, "_b").withColumn("first_rank", (F.col("_base") + F.col("_w")).cast("long")).drop("_b", "_w", "_base")
+def first_ranks(groups: DataFrame, key: str, n: str) -> DataFrame:
+    """groups with `first_rank`: running count of rows before a key, a long, in key order."""
+    return sums_before(groups, key, n, "first_rank")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,38 +27,56 @@ def oriented(rows: DataFrame) -> DataFrame:
     return rows.withColumn("alleles", F.when(F.col("strand") == "-", turned).otherwise(F.col("alleles")))
 
 
-def with_reference(rows: DataFrame, contigs: DataFrame) -> DataFrame:
-    """rows with ref, the base at start of their chromosome; unknown chromosomes go."""
-    return rows.join(contigs.select("chrom", F.upper("seq").alias("_s")), "chrom").withColumn("ref", F.substring("_s", F.col("start") + 1, F.lit(1))).drop("_s")
+def with_reference(rows: DataFrame, contigs: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """rows with ref, the base at start of their chromosome; unknown chromosomes and places outside go.
+
+    Contigs are cut into pieces of `width`; the rows of a piece meet it as one list, so no sequence is repeated for them.
+    """
+    n = F.length("seq")
+    cut = contigs.where(n > 0).select("chrom", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))).alias("_b"), "seq")
+    cut = cut.select("chrom", F.col("_b").cast("long").alias("_b"), F.upper(F.substring("seq", F.col("_b") * width + 1, F.lit(width))).alias("_s"))
+    held = rows.where("start >= 0").groupBy("chrom", F.floor(F.col("start") / width).alias("_b")).agg(F.collect_list(F.struct(*rows.columns)).alias("_rows"))
+    based = F.transform("_rows", lambda v: F.struct(v.alias("row"), F.substring(F.col("_s"), (v["start"] % width).cast("int") + 1, F.lit(1)).alias("ref")))
+    return held.join(cut, ["chrom", "_b"]).select(F.explode(based).alias("_v")).select("_v.row.*", F.col("_v.ref").alias("ref")).where("ref <> ''")
 
 
 def top_allele(rows: DataFrame) -> DataFrame:
     """rows with alt, the most frequent allele that may stand for the reference; ties keep the listed order; rows without one go."""
     known = rows.where((F.col("ref") != "N") & F.array_contains("alleles", F.col("ref")))
-    n = F.least(F.size("alleles"), F.size("freqs"), F.size("supports"))
+    n, even = F.size("alleles"), (F.size("alleles") == F.size("freqs")) & (F.size("alleles") == F.size("supports"))
+    n = F.when(even, n).otherwise(F.raise_error(F.concat(F.lit("alleles, frequencies and supports differ in number: "), F.col("rsid"))).cast("int"))
     zipped = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((-F.get("freqs", i).cast("double")).alias("f"), i.alias("i"), F.get("alleles", i).alias("a"), F.get("supports", i).cast("double").alias("s"))))
     fit = F.filter(zipped, lambda z: z["a"].rlike("^[ACGT]$") & (z["a"] != F.col("ref")) & (-z["f"] >= MIN_FREQUENCY) & (z["s"] >= MIN_SUPPORT))
     return known.withColumn("alt", F.array_min(fit)["a"]).where("alt is not null")
 
 
-def spaced(rows: DataFrame, distance: int = SPACING) -> DataFrame:
+def spaced(rows: DataFrame, distance: int = SPACING, width: int = 1 << 16) -> DataFrame:
     """Keeps a variant only if none that is kept lies within the preceding `distance` positions of its chromosome.
 
-    The choice depends on earlier ones, but not across gaps: stretches without a gap of
-    more than `distance` are walked by themselves.
+    The choice depends on earlier ones, but not across gaps of more than `distance`. Gaps are found within stretches of
+    `width` positions, each beginning with the last variant of the one before; whole stretches between gaps are walked
+    together, many of them by one call. Only a run without any gap must stay in one task.
     """
-    by = Window.partitionBy("chrom").orderBy("start")
-    cut = rows.withColumn("_new", (F.col("start") - F.lag("start").over(by) > distance).cast("int")).withColumn("_island", F.sum(F.coalesce("_new", F.lit(0))).over(by))
+    cut = rows.withColumn("_b", F.floor(F.col("start") / width))
+    ends = cut.groupBy("chrom", "_b").agg(F.max("start").alias("_last"))
+    before = ends.select("chrom", "_b", F.lag("_last").over(Window.partitionBy("chrom").orderBy("_b")).alias("_before"))
+    by = Window.partitionBy("chrom", "_b").orderBy("start")
+    cut = cut.join(before, ["chrom", "_b"]).withColumn("_prior", F.coalesce(F.lag("start").over(by), F.col("_before")))
+    cut = cut.withColumn("_new", F.coalesce((F.col("start") - F.col("_prior") > distance).cast("int"), F.lit(0)))
+    sums = cut.groupBy("chrom", "_b").agg(F.sum("_new").alias("_n"))
+    starts = sums.select("chrom", "_b", (F.sum("_n").over(Window.partitionBy("chrom").orderBy("_b")) - F.col("_n")).alias("_s"))
+    run = Window.partitionBy("chrom", "_b").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("_i", F.sum("_new").over(run)).join(starts, ["chrom", "_b"]).withColumn("_island", F.col("_s") + F.col("_i"))
     columns = rows.columns
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start", kind="stable")
-        keep, last = [], None
-        for p in pdf["start"]:
-            fits = last is None or p - last > distance
-            keep.append(fits)
-            last = p if fits else last
-        return pdf[keep][columns]
+        at = pdf["start"].to_numpy()
+        kept, i = [], 0
+        while i < len(at):
+            kept.append(i)
+            i = int(np.searchsorted(at, at[i] + distance, "right"))
+        return pdf.iloc[kept][columns]
 
     # A group is a few hundred neighbouring stretches: the gap between two of them is too wide to matter.
     return cut.groupBy("chrom", F.floor(F.col("_island") / ISLANDS)).applyInPandas(walk, rows.schema)

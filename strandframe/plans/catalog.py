@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.functions import bits, codecs, dna
+from strandframe import cli
+from strandframe.functions import arrays, bits, codecs, dna
+from strandframe.operators import archive
 from strandframe.operators import assign as A
+from strandframe.operators import bitarray as B
 from strandframe.operators import bitmap as S
 from strandframe.operators import genome as G
 from strandframe.operators import kmers as K
 from strandframe.operators import reads as R
 from strandframe.operators import snps as V
-from strandframe.sources import variants
+from strandframe.sources import fastx, variants
+from strandframe.streaming import ingest
 
 from . import derived as D
 from .derived import SQL_D, SQL_N, SQL_R
@@ -58,7 +62,7 @@ def read_len_hist(spark, sf):
 def _numbered(spark, sf):
     """Documents as reads of files named by source, numbered in file and record order."""
     docs = D.documents(spark, sf).where(F.length("seq") > 0).withColumn("file", F.coalesce("source", F.lit("")))
-    return R.ordinals(docs, ["doc_id"], F.col("file"))
+    return R.ordinals(docs, "file", "doc_id")
 
 
 _RID = f"{SQL_D}, r as (select coalesce(source, '') file, doc_id, seq, row_number() over (order by coalesce(source, ''), doc_id) - 1 rid from d where length(seq) > 0)"
@@ -96,7 +100,7 @@ def read_predicates(spark, sf):
     return D.documents(spark, sf, D.BASES_N).select("doc_id", dna.has_n("seq").alias("has_n"), dna.long_enough("seq").alias("long_enough"), dna.only_bases("seq").alias("only_bases"))
 
 
-@query(f"with {SQL_N} select doc_id, reverse(translate(seq, 'ACGTN', 'TGCAN')) rc from dn")
+@query(f"with {SQL_N} select doc_id, {D.SQL_RC.format('seq')} rc from dn")
 def rev_comp(spark, sf):
     return D.documents(spark, sf, D.BASES_N).select("doc_id", dna.reverse_complement("seq").alias("rc"))
 
@@ -122,13 +126,15 @@ _DISTINCT8 = f"{_kmers_sql(8)}, u as (select distinct kmer from k)"
 
 @query(
     f"with {_DISTINCT8}, i as (select kmer, {_id_sql('kmer')} id, {_id_sql('reverse(kmer)')} rev, {_id_sql(D.SQL_RC.format('kmer'))} rc from u) "
-    "select kmer, kmer as text, id, rev as rev_id, rc as rc_id, least(id, rc) as min_id, ((id << 2) | 3) & 65535 as next_id, (id >> 2) | (cast(2 as bigint) << 14) as prev_id from i"
+    "select kmer, kmer as text, id, rev as rev_id, rc as rc_id, least(id, rc) as min_id, ((id << 2) | 3) & 65535 as next_id, (id >> 2) | (cast(2 as bigint) << 14) as prev_id, "
+    f"case when len(list_filter(range(1, 9), lambda j: substring(kmer, j, 1) > substring({D.SQL_RC.format('kmer')}, j, 1))) > 0 then rc else id end as compat_min_id from i"
 )
 def kmer_codes(spark, sf):
     u = K.counts(D.documents(spark, sf), 8).select("kmer").withColumn("id", dna.kmer_id("kmer"))
     return u.select(
         "kmer", dna.kmer_text("id", 8).alias("text"), "id", dna.reversed_id("kmer").alias("rev_id"), dna.rc_id("kmer").alias("rc_id"),
         F.least("id", dna.rc_id("kmer")).alias("min_id"), dna.next_id("id", F.lit(3).cast("long"), 8).alias("next_id"), dna.prev_id("id", F.lit(2), 8).alias("prev_id"),
+        dna.min_id("kmer", 8).alias("compat_min_id"),
     )
 
 
@@ -138,7 +144,7 @@ def window_order(spark, sf):
     return u.select("kmer", dna.compare_reversed("kmer", dna.reverse_complement("kmer")).alias("ord"), dna.substituted("kmer", F.lit("N"), F.lit(3)).alias("replaced"))
 
 
-@query("with b as (select distinct substring(coalesce(text, ''), i, 1) c from (select text, unnest(range(1, length(coalesce(text, '')) + 1)) i from documents)) select c, regexp_matches(c, '^[ACGTacgt]$') is_base, regexp_matches(c, '^[ACGTNacgtn]$') is_base_or_n from b")
+@query(f"with b as (select distinct substring(coalesce(text, ''), i, 1) c from (select text, unnest(range(1, length(coalesce(text, '')) + 1)) i from documents)) select c, regexp_matches(c, '^[ACGTacgt]$') is_base, regexp_matches(c, '^[{dna.LETTERS}{dna.LETTERS.lower()}]$') is_base_or_n from b")
 def base_tests(spark, sf):
     letters = D.spread(D.table(spark, sf, "documents")).select(F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda x: x != "")).alias("c")).distinct()
     return letters.select("c", dna.is_base("c").alias("is_base"), dna.is_base_or_n("c").alias("is_base_or_n"))
@@ -182,8 +188,8 @@ def _contigs(spark, sf):
     return G.contigs(D.genome(spark, sf))
 
 
-_CTG = f"{SQL_D}, c as (select doc_id, 'd' || doc_id chrom, seq, length(seq) len, sum(length(seq)) over (order by doc_id) - length(seq) off from d)"
-_WIN = f"{_CTG}, w as (select cast(off + pos - 1 as bigint) gpos, substring(seq, pos, 54) w from (select off, seq, unnest(range(1, len - 52)) pos from c where len >= 54))"
+_CTG = f"{SQL_N}, c as (select doc_id, 'd' || doc_id chrom, seq, length(seq) len, sum(length(seq)) over (order by doc_id) - length(seq) off from dn)"
+_WIN = f"{_CTG}, w as (select gpos, w from (select cast(off + pos - 1 as bigint) gpos, substring(seq, pos, 54) w from (select off, seq, unnest(range(1, len - 52)) pos from c where len >= 54)) where not contains(w, 'N'))"
 
 
 @query(f"with {_CTG} select doc_id ctg_ord, chrom, cast(off as bigint) as \"offset\", cast(len as bigint) as length from c")
@@ -191,7 +197,7 @@ def ref_contigs(spark, sf):
     return _contigs(spark, sf).select("ctg_ord", "chrom", "offset", "length")
 
 
-@query(f"with {_CTG}, w as (select chrom, substring(seq, pos, 54) w from (select chrom, seq, unnest(range(1, len - 52)) pos from c where len >= 54)) select substring(w, 41, 4) word, cast(count(*) as bigint) n, cast(count(distinct substring(w, 41, 14)) as bigint) seeds from w group by 1")
+@query(f"with {_WIN} select substring(w, 41, 4) word, cast(count(*) as bigint) n, cast(count(distinct substring(w, 41, 14)) as bigint) seeds from w group by 1")
 def ref_windows(spark, sf):
     """Windows by the first four bases of their seed."""
     per = G.seed_counts(_contigs(spark, sf))
@@ -199,6 +205,15 @@ def ref_windows(spark, sf):
     return words.select(dna.kmer_text("w", 4).alias("word"), "n", "seeds")
 
 
+@query(f"with {_CTG} select cast(sum(greatest(len - 53, 0)) as bigint) windows, cast((select count(*) from (select unnest(range(1, len - 52)) pos, seq from c where len >= 54) where contains(substring(seq, pos, 54), 'N')) as bigint) with_n from c")
+def windows_with_n(spark, sf):
+    """Places of windows, and those left out since they hold an N."""
+    ctg = _contigs(spark, sf)
+    places = ctg.agg(F.sum(F.greatest(F.col("length") - 53, F.lit(0))).alias("windows"))
+    made = G.seed_counts(ctg).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("made"))
+    return places.join(F.broadcast(made)).select("windows", (F.col("windows") - F.col("made")).alias("with_n"))  # one row each
+
+
 @query(f"with {_WIN}, u as (select w, count(*) n, min(gpos) p from w group by w) select cast(n as bigint) copies, cast(count(*) as bigint) windows, cast(sum(p) as bigint) places from u group by n")
 def window_dedup(spark, sf):
     """How often distinct windows occur, with the sum of their first places."""
@@ -208,7 +223,7 @@ def window_dedup(spark, sf):
 
 @query(f"with {_WIN} select cast(least(n, 257) as bigint) size, cast(count(*) as bigint) seeds from (select right(w, 14) s, count(*) n from (select distinct w from w) group by 1) group by 1")
 def seed_bucket_hist(spark, sf):
-    return G.bucket_histogram(G.seed_groups(G.distinct_windows(G.windows(_contigs(spark, sf)))))
+    return G.bucket_histogram(G.distinct_per_seed(G.windows(_contigs(spark, sf))))
 
 
 @query(f"with {_WIN}, g as (select reverse(right(w, 8)) s, count(*) n from (select distinct w from w) group by 1) select s, cast(n as bigint) n, cast(sum(n) over (order by s) - n as bigint) first_rank from g")
@@ -216,7 +231,18 @@ def seed_ranks(spark, sf):
     """First rank of each group of windows that end alike, in the order of reversed windows."""
     w = G.distinct_windows(G.windows(_contigs(spark, sf)))
     groups = w.groupBy(F.col("lo").bitwiseAND(F.lit(0xFFFF)).alias("end8")).agg(F.count("*").alias("n")).select(F.reverse(dna.kmer_text("end8", 8)).alias("s"), "n")
-    return G.first_ranks(groups, "s", "n", F.substring("s", 1, 4))
+    return G.first_ranks(groups.withColumn("code", dna.kmer_id("s")), "code", "n").select("s", "n", "first_rank")
+
+
+@query(
+    f"with {_WIN}, u as (select reverse(w) r, min(gpos) p from w group by w), k as (select r, p, row_number() over (order by r) rk from u) "
+    "select substring(r, 1, 4) word, cast(min(rk) as bigint) first_rank, cast(max(rk) as bigint) last_rank, cast(sum(rk * (p % 997)) as bigint) mixed from k group by 1"
+)
+def window_rank(spark, sf):
+    """Distinct windows in the order of their reversed text: ranks by the first four letters, and where the windows of each rank first stand."""
+    w = G.distinct_windows(G.windows(_contigs(spark, sf))).select(F.reverse(G.window_text()).alias("r"), "gpos")
+    ranked = R.places(w.withColumn("stretch", dna.kmer_id(F.substring("r", 1, 8))), "stretch", ["r"])
+    return ranked.groupBy(F.substring("r", 1, 4).alias("word")).agg(F.min("rk").alias("first_rank"), F.max("rk").alias("last_rank"), F.sum(F.col("rk") * (F.col("gpos") % 997)).alias("mixed"))
 
 
 def _variants(spark, sf):
@@ -225,26 +251,48 @@ def _variants(spark, sf):
     return D.genome(spark, sf).where(F.length("seq") > 0).select("ord", "chrom", half.cast("long").alias("pos"), dna.complement(F.substring(F.col("seq"), half + 1, F.lit(1))).alias("alt"))
 
 
-@query(
-    f"with {_CTG}, s as (select off, seq, len, len // 2 p from c where len > 0), x as (select off, seq, len, p, translate(substring(seq, p + 1, 1), 'ACGT', 'TGCA') alt, unnest(range(p - 53, p + 1)) st from s where len >= 54) "
-    "select cast(off + st as bigint) gpos, substring(seq, st + 1, p - st) || alt || substring(seq, p + 2, 53 - (p - st)) w from x where st >= 0 and st + 54 <= len"
+_OVERLAY = (
+    f"{_CTG}, s as (select off, seq, len, len // 2 p from c where len > 0), x as (select off, seq, len, p, translate(substring(seq, p + 1, 1), 'ACGT', 'TGCA') alt, unnest(range(p - 53, p + 1)) st from s where len >= 54), "
+    "ov as (select cast(off + st as bigint) gpos, substring(seq, st + 1, p - st) || alt || substring(seq, p + 2, 53 - (p - st)) w from x where st >= 0 and st + 54 <= len and alt <> 'N' and not contains(substring(seq, st + 1, 54), 'N'))"
 )
+
+
+@query(f"with {_OVERLAY} select gpos, w from ov")
 def snp_overlay(spark, sf):
     ctg = _contigs(spark, sf)
     return G.alternate_windows(ctg, G.located(_variants(spark, sf), ctg)).select("gpos", G.window_text().alias("w"))
 
 
+@query(f"with {_CTG} select cast(off + len // 2 as bigint) gpos, translate(substring(seq, len // 2 + 1, 1), 'ACGT', 'TGCA') alt from c where len > 0")
+def snp_list(spark, sf):
+    """Variants by way of a list file: written, read, and put on the global axis."""
+    rows = _variants(spark, sf).select(F.concat_ws("\t", F.concat(F.lit("rs"), F.col("ord").cast("string")), "chrom", F.col("pos").cast("string"), F.lower("alt")).alias("value"))
+    unknown = rows.select(F.concat(F.lit("rs "), F.lit("nowhere 5 A")).alias("value")).limit(1)
+    folder = f"{D.work_dir(spark)}/snps"
+    D.write_lines(rows.union(unknown), folder)
+    return G.located(variants.read_snps(spark, folder), _contigs(spark, sf)).select("gpos", "alt")
+
+
 # Placing reads
 
 
-def _index(spark, sf):
-    return G.distinct_windows(G.windows(_contigs(spark, sf)))
+def _probed(spark, sf):
+    """Probes of all reads, and the windows of the genome that have a seed of them."""
+    probe = A.probes(D.reads(spark, sf))
+    return probe, A.index_of(probe, _contigs(spark, sf))
+
 
+def _assigned(spark, sf):
+    return A.first_match(A.hits(*_probed(spark, sf)))
 
-_PROBE = f"{SQL_R}, pr as (select rid, s, t, substring(case when s = 0 then seq else reverse(translate(seq, 'ACGT', 'TGCA')) end, 10 + 13 * t + 1, 54) w from rd cross join (values (0), (1)) a(s) cross join (values (0), (1), (2)) b(t))"
-_HIT = f"{_WIN}, ix as (select w, right(w, 14) seed, min(gpos) p from w group by w), {_PROBE}, hit as (select r.rid, r.s, r.t, x.p, hamming(r.w, x.w) h from pr r join ix x on right(r.w, 14) = x.seed where hamming(r.w, x.w) < 5)"
-_BEST = f"{_HIT}, best as (select *, p - (10 + 13 * t) pos, row_number() over (partition by rid order by s, t, h, p) rn from hit)"
-_PLACED = f"{_BEST}, pl as (select rd.rid, rd.seq, b.pos, coalesce(b.s = 0, true) fwd, case when b.rid is null then 1 else 0 end cls from rd left join (select * from best where rn = 1) b on rd.rid = b.rid)"
+
+_PROBE = (
+    f"{SQL_R}, pq as (select rid, seq, length(seq) n, least(3, n - 67) tries, n // 10 skip, case when tries > 1 then (n - 54 - 2 * skip) // (tries - 1) else 0 end step from rd where length(seq) >= 68 and not contains(seq, 'N')), "
+    "pr as (select rid, s, t, skip + t * step lead, substring(case when s = 0 then seq else reverse(translate(seq, 'ACGT', 'TGCA')) end, skip + step * t + 1, 54) w from pq cross join (values (0), (1)) a(s) cross join (values (0), (1), (2)) b(t) where t < tries)"
+)
+_HIT = f"{_WIN}, ix as (select w, right(w, 14) seed, min(gpos) p from w group by w), {_PROBE}, hit as (select r.rid, r.s, r.t, r.lead, x.p, hamming(r.w, x.w) h from pr r join ix x on right(r.w, 14) = x.seed where hamming(r.w, x.w) < 5)"
+_BEST = f"{_HIT}, best as (select *, p - lead pos, row_number() over (partition by rid order by s, t, h, p) rn from hit)"
+_PLACED = f"{_BEST}, pl as (select rd.rid, rd.seq, b.pos, coalesce(b.s = 0, true) fwd, case when contains(rd.seq, 'N') then 2 when b.rid is null then 1 else 0 end cls from rd left join (select * from best where rn = 1) b on rd.rid = b.rid)"
 
 
 @query(f"with {_PROBE} select cast(rid as bigint) rid, s strand, t attempt, w from pr")
@@ -254,30 +302,28 @@ def read_probes(spark, sf):
 
 @query(f"with {_HIT} select cast(rid as bigint) rid, s strand, t attempt, cast(h as int) mismatches, p gpos from hit")
 def seed_join(spark, sf):
-    return A.hits(A.probes(D.reads(spark, sf)), _index(spark, sf)).select("rid", "strand", "attempt", "mismatches", "gpos")
+    return A.hits(*_probed(spark, sf)).select("rid", "strand", "attempt", "mismatches", "gpos")
 
 
 @query(f"with {_HIT} select cast(h as int) mismatches, s strand, cast(count(*) as bigint) n from hit group by 1, 2")
 def hamming_hits(spark, sf):
-    return A.hits(A.probes(D.reads(spark, sf)), _index(spark, sf)).groupBy("mismatches", "strand").agg(F.count("*").alias("n"))
+    return A.hits(*_probed(spark, sf)).groupBy("mismatches", "strand").agg(F.count("*").alias("n"))
 
 
 @query(f"with {_BEST} select cast(rid as bigint) rid, s strand, t attempt, cast(h as int) mismatches, p gpos, cast(pos as bigint) pos from best where rn = 1")
 def assign_reads(spark, sf):
-    return A.assign(D.reads(spark, sf), _index(spark, sf)).select("rid", "strand", "attempt", "mismatches", "gpos", "pos")
+    return _assigned(spark, sf).select("rid", "strand", "attempt", "mismatches", "gpos", "pos")
 
 
 @query(f"with {_BEST} select cast(count(*) as bigint) reads, cast(count(b.rid) as bigint) placed, cast(count(case when b.s = 1 then 1 end) as bigint) reversed, cast(coalesce(sum(b.h), 0) as bigint) mismatches from rd left join (select * from best where rn = 1) b on rd.rid = b.rid")
 def placement_totals(spark, sf):
     """Share of reads placed, and on which strand."""
-    reads = D.reads(spark, sf)
-    got = reads.select("rid").join(A.assign(reads, _index(spark, sf)), "rid", "left")
+    got = D.reads(spark, sf).select("rid").join(_assigned(spark, sf), "rid", "left")
     return got.agg(F.count("*").alias("reads"), F.count("strand").alias("placed"), F.count(F.when(F.col("strand") == 1, 1)).alias("reversed"), F.coalesce(F.sum("mismatches"), F.lit(0)).cast("long").alias("mismatches"))
 
 
 def _classified(spark, sf):
-    reads = D.reads(spark, sf)
-    return A.classified(reads, A.assign(reads, _index(spark, sf)))
+    return A.classified(D.reads(spark, sf), _assigned(spark, sf))
 
 
 @query(f"with {_PLACED} select cls, fwd is_fwd, cast(count(*) as bigint) n from pl group by 1, 2")
@@ -285,7 +331,7 @@ def classify_reads(spark, sf):
     return _classified(spark, sf).groupBy("cls", "is_fwd").agg(F.count("*").alias("n"))
 
 
-@query(f"with {_PLACED} select cast(rid as bigint) rid, case when fwd then seq else reverse(translate(seq, 'ACGT', 'TGCA')) end seq from pl")
+@query(f"with {_PLACED} select cast(rid as bigint) rid, case when fwd then seq else {D.SQL_RC.format('seq')} end seq from pl")
 def canonical_reads(spark, sf):
     return A.canonical(_classified(spark, sf)).select("rid", "seq")
 
@@ -294,19 +340,30 @@ _ORDER = f"{_PLACED}, o as (select rid, cls, coalesce(pos, 0) pos, fwd, length(s
 
 
 def _ordered(spark, sf):
-    """Reads with their place in archive order, numbered within (cls, stretch of the genome)."""
-    placed = _classified(spark, sf).select("rid", "cls", F.coalesce("pos", F.lit(0)).alias("pos"), (~F.col("is_fwd")).cast("int").alias("rev"), F.length("seq").cast("long").alias("n"))
-    placed = placed.withColumn("stretch", F.struct("cls", F.floor(F.col("pos") / (1 << 20)).alias("at"), F.when(F.col("cls") > 0, F.floor(F.col("rid") / 100_000_000)).otherwise(0).alias("r")))
-    return placed
+    """Reads with their keys of archive order; stretch: of the genome, or of read numbers, as one long that rises with the order."""
+    placed = _classified(spark, sf).select("rid", "cls", F.coalesce("pos", F.lit(0)).cast("long").alias("pos"), (~F.col("is_fwd")).cast("int").alias("rev"), F.length("seq").cast("long").alias("n"))
+    # Placed reads may begin before the genome does; 2**58 stretches are enough for each class.
+    at = F.when(F.col("cls") == 0, F.floor(F.col("pos") / (1 << 16)) + 1).otherwise(F.floor(F.col("rid") / 100_000_000))
+    return placed.withColumn("stretch", F.shiftleft(F.col("cls").cast("long"), 58) + at)
 
 
 @query(f"with {_ORDER} select cast(rid as bigint) rid, cls, cast(pos as bigint) pos, cast(rk as bigint) rk from o")
 def read_order(spark, sf):
-    cut = _ordered(spark, sf)
-    sizes = cut.groupBy("stretch").agg(F.count("*").alias("m"))
-    starts = sizes.select("stretch", (F.sum("m").over(Window.orderBy("stretch")) - F.col("m")).alias("start"))
-    within = F.row_number().over(Window.partitionBy("stretch").orderBy("pos", "rev", "rid"))
-    return cut.withColumn("w", within).join(starts, "stretch").select("rid", "cls", "pos", (F.col("start") + F.col("w")).cast("long").alias("rk"))
+    return R.places(_ordered(spark, sf), "stretch", ["pos", "rev", "rid"]).select("rid", "cls", "pos", "rk")
+
+
+_PART = f"{_PLACED}, pt as (select rid, cls, rid // {D.STRIDE} page, length(seq) n, row_number() over (partition by cls, rid // {D.STRIDE} order by coalesce(pos, 0), (not fwd), rid) i from pl)"
+
+
+@query(
+    f"with recursive {_PART}, g(cls, page, i, held, block) as (select cls, page, i, cast(n as bigint), cast(0 as bigint) from pt where i = 1 "
+    "union all select p.cls, p.page, p.i, case when g.held + p.n >= 1000 then p.n else g.held + p.n end, case when g.held + p.n >= 1000 then g.block + 1 else g.block end from g join pt p on p.cls = g.cls and p.page = g.page and p.i = g.i + 1) "
+    "select cast(pt.rid as bigint) rid, pt.cls, g.block from pt join g using (cls, page, i)"
+)
+def block_greedy(spark, sf):
+    """Blocks that end before they would reach 1000 bases, within each page and class."""
+    part = _ordered(spark, sf).withColumn("part", F.struct("cls", F.floor(F.col("rid") / D.STRIDE).alias("page")))
+    return R.greedy_blocks(part.select("rid", "cls", "pos", "rev", "n", "part"), "part", ["pos", "rev", "rid"], "n", 1000).select("rid", "cls", "block")
 
 
 @query(f"with {_PLACED} select cast(rid as bigint) rid, cls, cast((sum(length(seq)) over (partition by cls, page order by coalesce(pos, 0), (not fwd), rid) - length(seq)) // 1000 as bigint) block from (select *, rid // {D.STRIDE} page from pl)")
@@ -374,7 +431,7 @@ def bitmap_remove_many(spark, sf):
 
 @query(
     f"with {_AB}, n as (select (select count(*) from a) n_a, (select count(*) from b) n_b, (select count(*) from a semi join b using (x)) n_and, (select count(*) from (select x from a union select x from b)) n_or) "
-    "select cast(n_a as bigint) n_a, cast(n_b as bigint) n_b, cast(n_and as bigint) n_and, cast(n_or as bigint) n_or, cast(n_or - n_and as bigint) n_xor, cast(n_a - n_and as bigint) n_andnot, n_and / n_or jaccard, n_and = n_a is_subset, n_and > 0 intersects from n"
+    "select cast(n_a as bigint) n_a, cast(n_b as bigint) n_b, cast(n_and as bigint) n_and, cast(n_or as bigint) n_or, cast(n_or - n_and as bigint) n_xor, cast(n_a - n_and as bigint) n_andnot, n_and / n_or jaccard, n_and = n_a is_subset, n_and = n_a and n_a < n_b is_strict_subset, n_or = n_and as \"equals\", n_and > 0 intersects from n"
 )
 def bitmap_jaccard(spark, sf):
     return S.counts(_a(spark, sf), _b(spark, sf))
@@ -452,54 +509,147 @@ def bit_powers(spark, sf):
     return x.select("l_orderkey", "l_linenumber", bits.highest_one("x").alias("high_one"), bits.next_power_of_2("x").alias("next_power"), bits.swap_groups("x", 1).alias("swapped"))
 
 
+@query(
+    f"with {_X}, y as (select l_orderkey, l_linenumber, x, l_orderkey y, ~x z from n) select l_orderkey, l_linenumber, (x & 1) = 1 is_odd, length(ltrim(bin(x), '0')) <> length(ltrim(bin(y), '0')) other_log, "
+    "xor(x, 40) both_changed, case when (x & 8) <> 0 then x | 1024 else x & ~cast(1024 as bigint) end copied, case when ((x >> 2) & 1) <> ((x >> 9) & 1) then xor(x, 516) else x end exchanged, z & (-z) low_zero, "
+    "cast(1 as bigint) << cast(62 as bigint) high_zero_of_max, x | (cast(1 as bigint) << cast(62 as bigint)) high_zero_set, cast(62 as int) high_zero_index, (x & y) + (xor(x, y) >> 1) mean, (x | y) - (xor(x, y) >> 1) ceil_mean, "
+    "cast(length(ltrim(bin(x), '0')) as int) low_ones, x & 4080 middle, coalesce(list_filter(range(0, 64), lambda i: ((x >> cast(i as bigint)) & 1) = 1)[3], -1) third_one from y"
+)
+def bit_more(spark, sf):
+    """Bit functions that popcount, bit_ops and bit_powers leave; x is below 2**62, so its two highest zeros are the sign and bit 62."""
+    x = _numbers(spark, sf)
+    low = F.col("x").bitwiseOR(F.expr("shiftleft(1L, 63)"))
+    ones = F.expr("shiftleft(1L, 62) | (shiftleft(1L, 62) - 1)")
+    return x.select(
+        "l_orderkey", "l_linenumber", bits.is_odd("x").alias("is_odd"), bits.other_highest_one("x", "l_orderkey").alias("other_log"), bits.swap_unequal_bits("x", 3, 5).alias("both_changed"),
+        bits.copy_bit("x", 3, 10).alias("copied"), bits.swap_bits("x", 2, 9).alias("exchanged"), bits.lowest_zero("x").alias("low_zero"), bits.highest_zero(low).alias("high_zero_of_max"),
+        bits.set_highest_zero(low).bitwiseAND(ones).alias("high_zero_set"), bits.highest_zero_index(low).alias("high_zero_index"), bits.average("x", "l_orderkey").alias("mean"), bits.ceil_average("x", "l_orderkey").alias("ceil_mean"),
+        bits.count_low_ones(bits.mask(62).bitwiseAND(F.expr("shiftrightunsigned(-1L, cast(64 - length(bin(x)) as int))"))).alias("low_ones"), F.col("x").bitwiseAND(bits.block(4, 8)).alias("middle"), bits.nth_one_index("x", 2).cast("long").alias("third_one"),
+    )
+
+
+@query("select l_orderkey, l_linenumber, true in_range from lineitem")
+def random_index(spark, sf):
+    """Random numbers stay within their bound, which is all that can be said of them."""
+    r = bits.random_index(F.col("l_quantity"), 7)
+    return D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ((r >= 0) & (r < F.col("l_quantity"))).alias("in_range"))
+
+
+# Arrays
+
+
+@query(
+    "with a as (select l_orderkey, list(l_partkey order by l_linenumber, l_partkey, l_suppkey) a, list(l_suppkey order by l_linenumber, l_partkey, l_suppkey) b from lineitem group by l_orderkey), "
+    "o as (select l_orderkey, list_append(a, 7) pushed, a[1:len(a) - 1] popped, a[3] third, a[1] front, a[-1] back, list_concat(a, b) joined, a = b same, list_transform(a, lambda x: 9) filled, "
+    "case when len(a) >= 3 then a[1:3] else list_concat(a, list_transform(range(0, 3 - len(a)), lambda x: cast(0 as bigint))) end resized, list_concat(a[1:2], b, a[3:]) inserted, list_concat(a[1:1], a[4:]) erased, [0, 0] zeros from a) "
+    "select l_orderkey, third, front, back, same, array_to_string(pushed, ',') pushed, array_to_string(popped, ',') popped, array_to_string(joined, ',') joined, array_to_string(filled, ',') filled, array_to_string(resized, ',') resized, array_to_string(inserted, ',') inserted, array_to_string(erased, ',') erased, array_to_string(zeros, ',') zeros from o"
+)
+def array_ops(spark, sf):
+    """Growable arrays: the parts and suppliers of each order."""
+    pair = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    rows = D.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(pair.alias("p")).select("l_orderkey", F.col("p.l_partkey").alias("a"), F.col("p.l_suppkey").alias("b"))
+    value = lambda v: F.lit(v).cast("long")
+    lists = {
+        "pushed": arrays.push("a", value(7)), "popped": arrays.pop("a"), "joined": arrays.append("a", "b"), "filled": arrays.fill("a", value(9)), "resized": arrays.resized("a", 3, value(0)),
+        "inserted": arrays.inserted("a", 2, "b"), "erased": arrays.erased("a", 1, 2), "zeros": arrays.zeros(2),
+    }
+    written = [F.array_join(x, ",").alias(n) for n, x in lists.items()]
+    return rows.select("l_orderkey", arrays.at("a", 2).alias("third"), arrays.front("a").alias("front"), arrays.back("a").alias("back"), arrays.equals("a", "b").alias("same"), *written)
+
+
+@query(
+    f"with {_AB}, u as (select x from a where x >= 0 and x < 20000) select cast((select count(*) from u) as bigint) ones, cast(20000 - (select count(*) from u) as bigint) zeros, (select count(*) from u) = 20000 all_set, (select count(*) from u) = 0 all_clear, "
+    "cast(coalesce((select min(x) from u), 20000) as bigint) first_set, cast((select min(i) from range(0, 20001) r(i) where i not in (select x from u)) as bigint) first_clear, "
+    "cast(coalesce((select min(x) from u where x >= 500), 20000) as bigint) next_set, cast((select min(i) from range(500, 20001) r(i) where i not in (select x from u)) as bigint) next_clear"
+)
+def bitarray_scan(spark, sf):
+    """An array of 20,000 bits: counts, first and next bits of either kind."""
+    held = B.resized(_a(spark, sf), 20_000)
+    return B.summary(held, 20_000).join(F.broadcast(B.next_set(held, 500, 20_000))).join(F.broadcast(B.next_clear(held, 500, 20_000)))  # one row each
+
+
+@query(f"with {_AB}, c as (select distinct cast(c_custkey as bigint) x from customer), ch as (select x from a where x not in (select x from c) union select x from c where x not in (select x from a)) select b.x, ch.x is not null is_set from b left join ch using (x)")
+def bitarray_change(spark, sf):
+    """Bits turned round at the customers' numbers, and tested at the second set's."""
+    return B.test(B.change(_a(spark, sf), S.of_values(D.table(spark, sf, "customer"), "c_custkey")), _b(spark, sf))
+
+
+@query(f"with {_AB}, o as (select x from a where x >= 700 order by x limit 40), p as (select x from a where x <= 700 order by x desc limit 40) select x, true forward from o union all select x, false forward from p")
+def bitmap_iterate(spark, sf):
+    """Iterators moved to 700: the next 40 values and the 40 before."""
+    a = _a(spark, sf)
+    return S.following(a, 700, 40).withColumn("forward", F.lit(True)).union(S.preceding(a, 700, 40).withColumn("forward", F.lit(False)))
+
+
+@query(f"with {_AB}, k as (select x, (row_number() over (order by x) - 1) // 256 batch from a) select cast(batch as bigint) batch, min(x) as \"first\", max(x) as \"last\", cast(count(*) as bigint) n from k group by 1")
+def bitmap_batches(spark, sf):
+    return S.in_batches(_a(spark, sf), 256)
+
+
+@query(
+    f"with {_AB}, g as (select x // 65536 chunk, count(*) n, min(x) lo, max(x) hi, sum(x) total from a group by 1) select cast(count(*) as bigint) chunks, cast(count(*) filter (n <= 4096) as bigint) list_chunks, cast(count(*) filter (n > 4096) as bigint) bit_chunks, "
+    "cast(coalesce(sum(n) filter (n <= 4096), 0) as bigint) in_lists, cast(coalesce(sum(n) filter (n > 4096), 0) as bigint) in_bits, cast(sum(n) as bigint) cardinality, min(lo) least, max(hi) greatest, cast(sum(total) as varchar) total from g"
+)
+def bitmap_statistics(spark, sf):
+    return S.statistics(_a(spark, sf))
+
+
 # Variants
 
 
-def _dump(spark):
-    """Rows of a dump in both trailing layouts, with every reason to be left out once."""
-    def row(rsid, chrom, start, strand, kind, alleles, freqs, supports, mol="genomic", end=None, swapped=False):
-        head = ["585", chrom, str(start), str(start + 1 if end is None else end), rsid, "0", strand, "N", "N", "x", mol, kind]
-        tail = [alleles, supports, freqs, "note"] if swapped else [alleles, supports, freqs]
-        return "\t".join([*head, *tail])
-
-    return [
-        "#bin\tchrom", "",
-        row("rs1", "c1", 10, "+", "single", "A,G,", "0.6,0.4,", "300,200,"),
-        row("rs2", "c1", 10, "+", "single", "A,T,", "0.6,0.4,", "300,200,"),
-        row("rs3", "c1", 30, "+", "single", "G,C,", "0.6,0.4,", "300,200,"),
-        row("rs4", "c1", 70, "-", "single", "T,C,G,", "0.5,0.2,0.3,", "300,200,250,"),
-        row("rs5", "c1", 90, "+", "single", "G,C,T,", "0.5,0.25,0.25,", "300,200,250,", swapped=True),
-        row("rs6", "c1", 130, "+", "insertion", "G,C,", "0.5,0.5,", "300,200,"),
-        row("rs7", "c1", 140, "+", "single", "G,C,", "0.5,0.5,", "300,200,", mol="cDNA"),
-        row("rs8", "c1", 150, "+", "single", "G,C,", "0.5,0.5,", "300,200,", end=155),
-        row("rs9", "c2", 0, "+", "single", "A,C,", "0.995,0.005,", "900,200,"),
-        row("rs10", "c2", 4, "+", "single", "A,C,", "0.9,0.1,", "900,20,"),
-        row("rs11", "c2", 8, "+", "single", "A,CT,C,", "0.5,0.3,0.2,", "900,300,200,"),
-        row("rs12", "c9", 8, "+", "single", "A,C,", "0.9,0.1,", "900,200,"),
+#: Alleles, frequencies and supports of the rows of the dump, by (doc_id + k) mod 5.
+_ALLELES = (("A,C,", "0.6,0.4,", "300,200,"), ("G,T,A,", "0.5,0.25,0.25,", "300,200,250,"), ("C,AT,G,T,", "0.4,0.3,0.2,0.1,", "900,300,200,150,"), ("T,A,", "0.995,0.005,", "900,200,"), ("A,G,C,T,", "0.25,0.25,0.25,0.25,", "99,250,250,250,"))
+
+
+def _dump_lines(spark, sf):
+    """Six lines of a dump for each contig, in both trailing layouts, with every reason to be left out; comments and blank lines too."""
+    six = D.genome(spark, sf).where(F.length("seq") > 0).select("ord", F.length("seq").alias("len"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    d, k, v = F.col("ord"), F.col("k"), (F.col("ord") + F.col("k")) % 5
+    start = (d * 7 + k * 31) % F.col("len")
+    at = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in _ALLELES]), (v + 1).cast("int"))
+    either = lambda c, a, b: F.when(c, a).otherwise(b)
+    head = [
+        d * 10 + k, F.concat(either(d % 17 == 0, "zz", "d"), d.cast("string")), start, start + either((d + k) % 13 == 0, 2, 1), F.concat(F.lit("rs"), (d * 10 + k).cast("string")), F.lit("0"), either((d + k) % 3 == 0, "-", "+"),
+        F.lit("N"), F.lit("N"), F.lit("x"), either((d + 2 * k) % 11 == 0, "cDNA", "genomic"), either((d + k) % 7 == 0, "insertion", "single"),
     ]
+    tail = F.when(k % 2 == 0, F.concat_ws("\t", at(0), at(2), at(1))).otherwise(F.concat_ws("\t", at(0), at(2), at(1), F.lit("note")))
+    line = F.concat_ws("\t", *[c.cast("string") for c in head], tail)
+    return six.select(F.when(k == 3, F.concat(F.lit("# comment\n\n"), line)).otherwise(line).alias("value"))
 
 
-_C1 = "".join("ACGT"[(i * i // 10) % 4] for i in range(200))
-_C1 = "".join({10: "A", 30: "G", 70: "A", 90: "G", 130: "G", 140: "G", 150: "G"}.get(i, b) for i, b in enumerate(_C1))
-_C2 = "A" * 60
+def _parsed(spark, sf):
+    folder = f"{D.work_dir(spark)}/dump"
+    D.write_lines(_dump_lines(spark, sf), folder)
+    lines = spark.read.text(folder).select(F.split("value", "\t")[0].try_cast("long").alias("ord"), "value")
+    return variants.parse_dump(lines), D.genome(spark, sf).select("chrom", "seq")
 
 
-def _parsed(spark):
-    lines = spark.createDataFrame(list(enumerate(_dump(spark))), "ord long, value string")
-    contigs = spark.createDataFrame([("c1", _C1), ("c2", _C2)], "chrom string, seq string")
-    return variants.parse_dump(lines), contigs
+def _lists(i, quote):
+    return "case v " + " ".join(f"when {j} then [{', '.join(quote + x + quote for x in row[i].split(',') if x)}]" for j, row in enumerate(_ALLELES)) + " end"
 
 
-@query("select * from (values ('rs1', 'c1', 10, 'G'), ('rs3', 'c1', 30, 'C'), ('rs4', 'c1', 70, 'C'), ('rs5', 'c1', 90, 'C'), ('rs11', 'c2', 8, 'C')) v(rsid, chrom, pos, alt)".replace("select *", "select rsid, chrom, cast(pos as bigint) pos, alt"))
+_SNP = (
+    f"{SQL_N}, six as (select doc_id, seq, length(seq) len, unnest(range(0, 6)) k from dn where length(seq) > 0), "
+    "r as (select doc_id * 10 + k ord, 'd' || doc_id chrom, doc_id, seq, (doc_id * 7 + k * 31) % len pos, (doc_id + k) % 5 v, (doc_id + k) % 3 = 0 minus from six where (doc_id + k) % 13 <> 0 and (doc_id + 2 * k) % 11 <> 0 and (doc_id + k) % 7 <> 0), "
+    "one as (select *, substring(seq, pos + 1, 1) ref from (select *, row_number() over (partition by chrom, pos order by ord) rn from r) where rn = 1 and doc_id % 17 <> 0), "
+    f"al as (select ord, chrom, pos, ref, {_lists(1, '')} fr, {_lists(2, '')} su, list_transform({_lists(0, chr(39))}, lambda x: case when minus and length(x) = 1 then translate(x, 'ACGT', 'TGCA') else x end) al from one where ref <> 'N'), "
+    "cand as (select ord, chrom, pos, al[i] a, fr[i] f, i from (select *, unnest(range(1, len(al) + 1)) i from al where list_contains(al, ref)) where regexp_full_match(al[i], '[ACGT]') and al[i] <> ref and fr[i] >= 0.01 and su[i] >= 100), "
+    "best as (select ord, chrom, pos, a, row_number() over (partition by ord order by f desc, i) rk from cand), "
+    "sel as (select 'rs' || ord rsid, chrom, cast(pos as bigint) pos, a alt from best where rk = 1)"
+)
+
+
+@query(f"with {_SNP} select rsid, chrom, pos, alt from sel")
 def snp_select(spark, sf):
-    rows, contigs = _parsed(spark)
-    return V.select_snps(rows, contigs, spacing=False)
+    return V.select_snps(*_parsed(spark, sf), spacing=False)
 
 
-@query("select * from (values ('rs1', 'c1', 10, 'G'), ('rs4', 'c1', 70, 'C'), ('rs11', 'c2', 8, 'C')) v(rsid, chrom, pos, alt)".replace("select *", "select rsid, chrom, cast(pos as bigint) pos, alt"))
+@query(
+    f"with recursive {_SNP}, s(chrom, pos) as (select chrom, min(pos) from sel group by chrom union all select chrom, n from (select s.chrom, (select min(x.pos) from sel x where x.chrom = s.chrom and x.pos > s.pos + 54) n from s) where n is not null) "
+    "select rsid, chrom, pos, alt from sel join s using (chrom, pos)"
+)
 def snp_spaced(spark, sf):
-    rows, contigs = _parsed(spark)
-    return V.select_snps(rows, contigs)
+    return V.select_snps(*_parsed(spark, sf))
 
 
 @query(
@@ -529,6 +679,14 @@ def sort_keys(spark, sf):
     return _numbered(spark, sf).select(codecs.from_big_endian(codecs.big_endian_key("rid")).alias("rid"), F.hex(codecs.big_endian_key("rid")).alias("key"))
 
 
+@query("select cast(l_orderkey // 1024 as bigint) part, l_orderkey x from lineitem")
+def packed_ids(spark, sf):
+    """Order numbers packed as differences, a list for each thousand of them, and unpacked again."""
+    rows = D.table(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 1024).alias("part"), "l_orderkey")
+    lists = rows.groupBy("part").agg(F.sort_array(F.collect_list("l_orderkey")).alias("ids"))
+    return lists.select("part", codecs.packed("ids").alias("bytes")).select("part", F.explode(codecs.unpacked("bytes")).alias("x"))
+
+
 @query()
 def crc64_per_file(spark, sf):
     return R.checksums(_numbered(spark, sf).select("file", "rid", "seq"), "file")
@@ -537,8 +695,79 @@ def crc64_per_file(spark, sf):
 @query(f"with {SQL_R} select cast(rid as bigint) rid, seq from rd")
 def archive_round_trip(spark, sf):
     """Reads placed, ordered, cut into compressed blocks and unpacked again."""
-    from strandframe.operators import archive
-
-    reads = D.reads(spark, sf)
-    placed = A.canonical(A.classified(reads, A.assign(reads, _index(spark, sf))))
+    placed = A.canonical(_classified(spark, sf))
     return archive.unpack(archive.cut_blocks(archive.ordered(placed), 1 << 20))
+
+
+# Files: written from the tables, then read, indexed, encoded and decoded
+
+
+def _genome_files(spark, sf, work):
+    g = D.genome(spark, sf)
+    return D.write_lines(g.select(D.fasta(F.col("chrom"), F.concat(F.lit("length "), F.length("seq").cast("string")), F.lower("seq")).alias("value")), f"{work}/genome", gzip=True)
+
+
+def _read_files(spark, sf, work):
+    r = D.reads(spark, sf)
+    return D.write_lines(r.select(D.fastq(F.concat(F.lit("r"), F.col("rid").cast("string")), F.col("seq")).alias("value")), f"{work}/reads")
+
+
+@query(f"with {SQL_N} select 'd' || doc_id as \"name\", 'length ' || length(seq) as \"comment\", lower(seq) seq, cast(null as varchar) qual from dn")
+def fasta_scan(spark, sf):
+    """FASTA with wrapped lines, gzipped, through Spark's reader."""
+    return fastx.read_fastx(spark, _genome_files(spark, sf, D.work_dir(spark)), local=False).select("name", "comment", "seq", "qual")
+
+
+@query(f"with {SQL_R} select 'r' || rid as \"name\", '' as \"comment\", seq, translate(seq, '{dna.LETTERS}', '@+I#F') qual from rd")
+def fastq_scan(spark, sf):
+    """FASTQ by way of a list file."""
+    work = D.work_dir(spark)
+    spark.createDataFrame([(p,) for p in _read_files(spark, sf, work)], "value string").coalesce(1).write.text(f"{work}/list")
+    return fastx.read_fastx(spark, fastx.path_list(spark, f"{work}/list")).select("name", "comment", "seq", "qual")
+
+
+@query(f"with {SQL_R} select cast(count(*) as bigint) reads, cast(max(rid) + 1 as bigint) next_rid, cast(sum(length(seq)) as bigint) bases from (select seq, row_number() over () - 1 rid from rd)")
+def fastq_ordinals(spark, sf):
+    """Reads of files are numbered without gaps."""
+    reads = fastx.with_ordinals(fastx.read_fastx(spark, _read_files(spark, sf, D.work_dir(spark))))
+    return reads.agg(F.countDistinct("rid").alias("reads"), (F.max("rid") + 1).alias("next_rid"), F.sum(F.length("seq").cast("long")).alias("bases"))
+
+
+@query(f"with {_BEST} select cast(rid as bigint) rid, s strand, t attempt, cast(h as int) mismatches, p gpos, cast(pos as bigint) pos from best where rn = 1")
+def stored_index(spark, sf):
+    """Reads placed by an index that is stored in buckets of seeds and opened again."""
+    path = f"{D.work_dir(spark)}/index"
+    G.store_index(G.distinct_windows(G.windows(_contigs(spark, sf))), path)
+    return A.assign(D.reads(spark, sf), G.open_index(spark, path)).select("rid", "strand", "attempt", "mismatches", "gpos", "pos")
+
+
+@query(f"with {SQL_R} select seq, cast(count(*) as bigint) n from rd group by 1")
+def index_encode_decode(spark, sf):
+    """The three commands one after the other, from files to files; decoding compares counts and checksums."""
+    work = D.work_dir(spark)
+    cli.build_index(spark, _genome_files(spark, sf, work), f"{work}/index", None)
+    cli.encode_files(spark, f"{work}/index", _read_files(spark, sf, work), f"{work}/archive", archive.MIN_BLOCK)
+    cli.decode_archive(spark, f"{work}/archive", f"{work}/out")
+    return spark.read.text(f"{work}/out").groupBy(F.col("value").alias("seq")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {SQL_R} select '{archive.VERSION}' as \"version\", cast({archive.MIN_BLOCK} as bigint) block_bases, cast(count(*) as bigint) reads, cast(sum(length(seq)) as bigint) bases, cast(min(length(seq)) as bigint) min_length, cast(max(length(seq)) as bigint) max_length from rd")
+def archive_header(spark, sf):
+    """The header of an archive of reads that no window places."""
+    work = D.work_dir(spark)
+    none = spark.createDataFrame([], "seed int, hi long, lo long, gpos long")
+    reads = D.reads(spark, sf).withColumn("file_ord", (F.floor(F.col("rid") / D.STRIDE) % 3).cast("int"))
+    archive.encode(reads, none, f"{work}/archive", block_bases=archive.MIN_BLOCK)
+    head = spark.read.parquet(f"{work}/archive/header")
+    archive.check_header(head.collect())
+    return head.select("version", "block_bases", *_long("reads", "bases", "min_length", "max_length"))
+
+
+@query(f"with {_PLACED} select 'r' || rid as \"name\", cls, cast(pos as bigint) pos, fwd is_fwd from pl")
+def stream_place(spark, sf):
+    """Reads placed as their files arrive, in a stream that ends with the files there are."""
+    work = D.work_dir(spark)
+    _read_files(spark, sf, work)
+    G.store_index(G.distinct_windows(G.windows(_contigs(spark, sf))), f"{work}/index")
+    ingest.place_arriving(spark, f"{work}/reads", G.open_index(spark, f"{work}/index"), f"{work}/placed", f"{work}/progress").awaitTermination()
+    return spark.read.parquet(f"{work}/placed").select("name", "cls", "pos", "is_fwd")

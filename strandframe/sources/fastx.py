@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -80,7 +81,7 @@ class _Reader(DataSourceReader):
         return [_File(i, p) for i, p in enumerate(self.paths)]
 
     def read(self, partition):
-        with open(partition.path.removeprefix("file://"), "rb") as f:
+        with open(re.sub("^file:(//)?", "", partition.path), "rb") as f:
             yield from batches_of(partition.at, partition.path, opened(f))
 
 
@@ -113,7 +114,7 @@ def read_fastx(spark: SparkSession, paths: list[str], local: bool | None = None)
     if not paths:
         return spark.createDataFrame([], SCHEMA)
     if local is None:
-        local = not any("://" in p and not p.startswith("file://") for p in paths)
+        local = not any("://" in p and not p.startswith("file:") for p in paths)
     if local:
         import json
 
@@ -164,12 +165,6 @@ def with_ordinals(records: DataFrame) -> DataFrame:
 
     Ordinals are a prefix sum of the counts of the files, one row per file, plus the place in the file.
     """
-    reads = records.where(F.length("seq") > 0)
-    # Places in a file: counts of fixed stretches of record numbers, then the place in the stretch.
-    cut = reads.withColumn("stretch", F.floor(F.col("rec_no") / (1 << 16)))
-    sizes = cut.groupBy("file_ord", "stretch").agg(F.count("*").alias("n"))
-    files = sizes.groupBy("file_ord").agg(F.sum("n").alias("n"))
-    offsets = files.select("file_ord", (F.sum("n").over(Window.orderBy("file_ord")) - F.col("n")).alias("file_start"))
-    starts = sizes.withColumn("stretch_start", F.sum("n").over(Window.partitionBy("file_ord").orderBy("stretch")) - F.col("n")).join(offsets, "file_ord").select("file_ord", "stretch", (F.col("file_start") + F.col("stretch_start")).alias("start"))
-    place = F.row_number().over(Window.partitionBy("file_ord", "stretch").orderBy("rec_no")) - 1
-    return cut.withColumn("place", place).join(starts, ["file_ord", "stretch"]).select((F.col("start") + F.col("place")).alias("rid"), "file_ord", "seq")
+    from strandframe.operators.reads import ordinals
+
+    return ordinals(records.where(F.length("seq") > 0), "file_ord", "rec_no").select("rid", "file_ord", "seq")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import bits, codecs, dna
 
-RC = str.maketrans("ACGTN", "TGCAN")
+RC = str.maketrans("ACGNT", "TGCNA")
 
 
 def _id(s):
@@ -20,7 +20,7 @@ def _id(s):
 
 def test_sequences(spark):
     rng = random.Random(1)
-    seqs = ["", "A", "ACG", "N"] + ["".join(rng.choice("ACGTN") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    seqs = ["", "A", "ACG", "N"] + ["".join(rng.choice("ACGNT") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
     df = spark.createDataFrame([(s,) for s in seqs], "s string")
     got = df.select("s", dna.reverse_complement("s"), dna.reverse_complement_in_place("s"), dna.has_n("s"), dna.kmers("s", 3)).collect()
     for s, rc, odd, n, kmers in got:
@@ -103,3 +103,44 @@ def test_keys_and_lzma(spark):
     df = spark.createDataFrame([(0, ""), (1, "ACGT" * 99), (1 << 39, "N"), (None, None)], "x long, s string")
     rows = df.select("x", codecs.from_big_endian(codecs.big_endian_key("x")), "s", codecs.lzma_decode(codecs.lzma_encode(3)("s")).cast("string")).collect()
     assert all(a == b and s == t for a, b, s, t in rows)
+
+
+@settings(deadline=None, max_examples=40)
+@given(st.lists(st.one_of(st.integers(-(1 << 63), (1 << 63) - 1), st.integers(0, 1000)), max_size=700))
+def test_packed_integers(values):
+    import numpy as np
+
+    data = codecs.pack_integers(np.array(values, np.int64))
+    assert codecs.unpack_integers(data).tolist() == values
+    for bad in (data + b"x", data[:-1] if len(data) > 4 else b"\x01\0\0\0"):
+        try:
+            assert codecs.unpack_integers(bad).tolist() != values
+        except ValueError:
+            pass
+
+
+def test_packed_ordinals_are_small():
+    import numpy as np
+
+    assert len(codecs.pack_integers(np.arange(100_000))) < 100_000 * 0.3
+
+
+def test_unsigned_exponents(spark):
+    values = [0, 1, 2, 3, (1 << 62) + 1, (1 << 63) - 1, -(1 << 63), -(1 << 63) + 1, -1]
+    df = spark.createDataFrame([(v,) for v in values], "x long")
+    got = [tuple(r) for r in df.select(bits.next_exponent_of_2("x"), bits.next_power_of_2("x"), bits.set_highest_zero("x"), bits.highest_zero_index("x"), bits.count_low_ones("x")).collect()]
+    for v, (e, power, filled, at, _) in zip(values, got):
+        u = v & (1 << 64) - 1
+        assert e == (u - 1).bit_length() * (u > 1)
+        assert power & (1 << 64) - 1 == (0 if not u or e > 63 else 1 << e)
+        zeros = [i for i in range(64) if not u >> i & 1]
+        assert at == (zeros[-1] if zeros else 0) and filled & (1 << 64) - 1 == (u | (1 << zeros[-1] if zeros else 0))
+
+
+def test_compatible_min_id(spark):
+    rng = random.Random(6)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(7)) for _ in range(200)]
+    df = spark.createDataFrame([(s,) for s in seqs], "s string")
+    for s, got in df.select("s", dna.min_id("s", 7)).collect():
+        rc = s.translate(RC)[::-1]
+        assert got == _id(rc if any(a > b for a, b in zip(s, rc)) else s)

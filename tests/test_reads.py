@@ -181,6 +181,48 @@ def test_checksums_follow_order(spark):
     assert {r.file_ord: r.crc64 for r in got.collect()} == want
 
 
+def test_headers_are_checked():
+    from pyspark.sql import Row
+
+    good = Row(version=archive.VERSION, block_bases=64 << 20, reads=3, bases=9, min_length=2, max_length=4)
+    archive.check_header([good])
+    for bad in ([], [good, good], [Row(**good.asDict() | {"version": "9.0.0"})], [Row(**good.asDict() | {"max_length": 1})], [Row(**good.asDict() | {"block_bases": 1 << 20})]):
+        with pytest.raises(ValueError):
+            archive.check_header(bad)
+
+
+def test_sums_before_and_ranges(spark, monkeypatch):
+    from strandframe.operators import prefix
+
+    monkeypatch.setattr(prefix, "WIDTH", 3)
+    rng = random.Random(5)
+    keys = rng.sample(range(-50, 400), 120)
+    rows = [(k, rng.randrange(5)) for k in keys]
+    got = {r.k: r.before for r in prefix.sums_before(spark.createDataFrame(rows, "k long, n long"), "k", "n", "before").collect()}
+    assert got == {k: sum(n for j, n in rows if j < k) for k in keys}
+    ranges = [(i, a, a + rng.randrange(0, 40)) for i, a in enumerate(range(0, 400, 40))]
+    points = spark.createDataFrame([(p,) for p in range(-3, 403)], "p long")
+    held = {r.p: r.f for r in prefix.ranges_hold(points, "p", spark.createDataFrame(ranges, "f int, lo long, hi long"), 16, "left").collect()}
+    assert held == {p: next((i for i, lo, hi in ranges if lo <= p < hi), None) for p in range(-3, 403)}
+
+
+def test_uneven_lists_of_a_dump_are_an_error(spark):
+    from strandframe.operators import snps
+
+    rows = spark.createDataFrame([("rs1", "x", 3, ["A", "C"], ["0.5"], ["300", "200"], "A")], "rsid string, chrom string, start long, alleles array<string>, freqs array<string>, supports array<string>, ref string")
+    with pytest.raises(Exception, match="differ in number"):
+        snps.top_allele(rows).collect()
+
+
+def test_reference_bases_at_piece_borders(spark):
+    from strandframe.operators import snps
+
+    seq = "ACGTTGCAAC"
+    rows = spark.createDataFrame([(f"r{i}", "x", i) for i in range(-1, 12)] + [("q", "y", 0)], "rsid string, chrom string, start long")
+    got = {r.rsid: r.ref for r in snps.with_reference(rows, spark.createDataFrame([("x", seq), ("z", "")], "chrom string, seq string"), 4).collect()}
+    assert got == {f"r{i}": b for i, b in enumerate(seq)}
+
+
 def test_streaming_places_arriving_files(spark, files, tmp_path):
     d, g, every = files
     folder = tmp_path / "in"
@@ -201,7 +243,7 @@ def test_kmer_counts(spark, k):
     from strandframe.operators import kmers
 
     rng = random.Random(k)
-    seqs = ["", "ACGT", None, "N" * 40] + ["".join(rng.choice("ACGTACGTACGTN") for _ in range(rng.randrange(20, 200))) for _ in range(30)]
+    seqs = ["", "ACGT", None, "N" * 40] + ["".join(rng.choice("ACGNTACGTACGT") for _ in range(rng.randrange(20, 200))) for _ in range(30)]
     plain = Counter(s[i : i + k] for s in seqs if s for i in range(len(s) - k + 1) if "N" not in s[i : i + k])
     both = Counter()
     for s, n in plain.items():
