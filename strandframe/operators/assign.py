@@ -62,15 +62,46 @@ def index_of(probe: DataFrame, ctg: DataFrame, alternate: DataFrame | None = Non
     return distinct_windows(windows(ctg, seeds), alternate)
 
 
-def hits(probe: DataFrame, index: DataFrame) -> DataFrame:
+#: Seeds with more distinct windows than this are looked up by a word as well.
+HOT_SEED = 4096
+
+
+def hot_seeds(index: DataFrame, limit: int = HOT_SEED) -> DataFrame:
+    """(seed) of the seeds with more than `limit` windows; of a stored index no row is moved for it."""
+    return index.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("seed")
+
+
+def _words(hi: str, lo: str) -> list:
+    """The WORDS words of eight bases before the seed of a window."""
+    cut = lambda c, bits: F.shiftright(F.col(c), bits).bitwiseAND(F.lit(0xFFFF))
+    across = F.shiftleft(F.col(hi).bitwiseAND(F.lit(0x3F)), 10).bitwiseOR(F.shiftright(F.col(lo), 44).bitwiseAND(F.lit(0x3FF)))
+    return [cut(hi, 38), cut(hi, 22), cut(hi, 6), across, cut(lo, 28)]
+
+
+def hits(probe: DataFrame, index: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """(rid, strand, attempt, at, mismatches, gpos): index windows with the probe's seed and fewer than MISMATCHES differing bases.
 
-    The distance is part of the join condition, so a frequent seed costs comparisons and not rows.
+    The distance is part of the join condition, so a frequent seed costs comparisons and not rows. hot: seeds with many
+    windows, whose windows and probes are dealt by a word too: with fewer mismatches than words one of them is equal, and a
+    pair counts at its first equal word. So a hot seed is spread over 65,536 keys for each word, and no pair is lost.
     """
     i = index.select("seed", F.col("hi").alias("i_hi"), F.col("lo").alias("i_lo"), "gpos")
     distance = dna.packed_distance("hi", "i_hi") + dna.packed_distance("lo", "i_lo")
-    near = probe.join(i, (probe["seed"] == i["seed"]) & (distance < dna.MISMATCHES))
-    return near.select("rid", "strand", "attempt", "at", distance.alias("mismatches"), "gpos")
+
+    def near(p: DataFrame, w: DataFrame, condition) -> DataFrame:
+        return p.join(w, condition & (distance < dna.MISMATCHES)).select("rid", "strand", "attempt", "at", distance.alias("mismatches"), "gpos")
+
+    if hot is None:
+        return near(probe, i, probe["seed"] == i["seed"])
+    by_word = lambda df, hi, lo, no, word: df.join(hot, "seed", "left_semi").select("*", F.posexplode(F.array(*_words(hi, lo))).alias(no, word))
+    p, w = by_word(probe, "hi", "lo", "no", "word"), by_word(i, "i_hi", "i_lo", "i_no", "i_word")
+    # Words before this one differ.
+    first = F.lit(True)
+    for k, (x, y) in enumerate(zip(_words("hi", "lo"), _words("i_hi", "i_lo"))):
+        first = first & ((F.col("no") <= k) | (x != y))
+    spread = near(p, w, (p["seed"] == w["seed"]) & (p["no"] == w["i_no"]) & (p["word"] == w["i_word"]) & first)
+    cold_p, cold_i = probe.join(hot, "seed", "left_anti"), i.join(hot, "seed", "left_anti")
+    return near(cold_p, cold_i, cold_p["seed"] == cold_i["seed"]).union(spread)
 
 
 def first_match(found: DataFrame) -> DataFrame:
@@ -79,8 +110,8 @@ def first_match(found: DataFrame) -> DataFrame:
     return best.select("rid", "m.*").withColumn("pos", F.col("gpos") - F.col("at"))
 
 
-def assign(reads: DataFrame, index: DataFrame, tries: int = TRIES) -> DataFrame:
-    return first_match(hits(probes(reads, tries), index))
+def assign(reads: DataFrame, index: DataFrame, tries: int = TRIES, hot: DataFrame | None = None) -> DataFrame:
+    return first_match(hits(probes(reads, tries), index, hot))
 
 
 def classified(reads: DataFrame, placed: DataFrame) -> DataFrame:

@@ -738,7 +738,8 @@ def stored_index(spark, sf):
     """Reads placed by an index that is stored in buckets of seeds and opened again."""
     path = f"{D.work_dir(spark)}/index"
     G.store_index(G.distinct_windows(G.windows(_contigs(spark, sf))), path)
-    return A.assign(D.reads(spark, sf), G.open_index(spark, path)).select("rid", "strand", "attempt", "mismatches", "gpos", "pos")
+    index = G.open_index(spark, path)
+    return A.assign(D.reads(spark, sf), index, hot=A.hot_seeds(index)).select("rid", "strand", "attempt", "mismatches", "gpos", "pos")
 
 
 @query(f"with {SQL_R} select seq, cast(count(*) as bigint) n from rd group by 1")

@@ -121,6 +121,25 @@ def test_mismatch_bound(spark, wrong, found):
     assert [(r.pos, r.strand, r.mismatches) for r in rows] == ([(500, 0, 4)] if found else [])
 
 
+@pytest.mark.parametrize("limit", [0, 3])
+def test_hot_seeds_lose_no_pair(spark, limit):
+    """Windows that share a seed, with 0 to 7 differing bases before it."""
+    rng = random.Random(10)
+    base = [rng.choice("ACGT") for _ in range(54)]
+    contigs, reads_ = [], []
+    for i in range(60):
+        w = _mutated(rng, base, rng.sample(range(40), rng.randrange(0, 8)))
+        contigs.append((i, f"c{i}", w if i % 4 else "".join(rng.choice("ACGT") for _ in range(54))))
+        reads_.append((i, "ACGTAC" + _mutated(rng, base, rng.sample(range(40), rng.randrange(0, 5))) + "GATTACAT"))
+    index = genome.distinct_windows(genome.windows(genome.contigs(spark.createDataFrame(contigs, "ord long, chrom string, seq string"))))
+    probe = assign.probes(spark.createDataFrame(reads_, "rid long, seq string"))
+    plain = sorted(tuple(r) for r in assign.hits(probe, index).collect())
+    hot = assign.hot_seeds(index, limit)
+    assert sorted(tuple(r) for r in assign.hits(probe, index, hot).collect()) == plain and len(plain) > 300
+    kept = assign.index_of(probe, genome.contigs(spark.createDataFrame(contigs, "ord long, chrom string, seq string")))
+    assert sorted(tuple(r) for r in assign.hits(probe, kept).collect()) == plain and kept.count() <= index.count()
+
+
 def test_probe_offsets():
     assert assign.probe_offsets(67) == [] and assign.probe_offsets(68) == [6] and assign.probe_offsets(100) == [10, 23, 36] and len(assign.probe_offsets(69)) == 2
 
