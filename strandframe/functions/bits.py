@@ -180,12 +180,12 @@ def nth_one_index(x, i: int) -> Column:
 
 
 def same_highest_one(x, y) -> Column:
-    """Whether floor(log2) of both is the same."""
-    return floor_log2(x) == floor_log2(y)
+    """Whether floor(log2) of both is the same; 0 has it in common with itself only."""
+    return (floor_log2(x) == floor_log2(y)) & ((_c(x) == 0) == (_c(y) == 0))
 
 
 def other_highest_one(x, y) -> Column:
-    return floor_log2(x) != floor_log2(y)
+    return ~same_highest_one(x, y)
 
 
 def average(x, y) -> Column:
