@@ -19,7 +19,6 @@ import json
 import mmap
 import os
 import struct
-import sys
 import tempfile
 import unicodedata
 from collections import Counter
@@ -324,13 +323,15 @@ def decode_ids(spec: str, ids: list[int]) -> str:
     return " ".join(names[i] for i in ids if i in names)
 
 
+_HELD: dict[tuple, object] = {}
+
+
 def _once(key: tuple, make):
     """One object per Python worker and key: workers live longer than tasks."""
-    held = sys.__dict__.setdefault("_strandframe_held", {})
-    if key not in held:
-        held.clear()
-        held[key] = make()
-    return held[key]
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def word_counts(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:

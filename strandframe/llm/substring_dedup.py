@@ -58,48 +58,67 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(have) - rest], have[rest:]) if rest else have
 
 
-def fingerprints(hashes: np.ndarray) -> np.ndarray:
-    """Fingerprint of each window of a text's word hashes."""
-    if len(hashes) < WINDOW:
-        return np.zeros(0, C.U)
-    return sliding_min(C.gram_hashes(hashes, ANCHOR), WINDOW - ANCHOR + 1)
+class _Chunk:
+    """Texts hashed together: what they need is worked out for all of them when the first one asks for it."""
+
+    def __init__(self, words: C.Words, salt: int):
+        self.words, self.salt = words, salt
+        self.held: dict[str, np.ndarray] = {}
+
+    def grams(self, what: str) -> np.ndarray:
+        if what not in self.held:
+            w = self.words
+            if what == "anchors":
+                self.held[what] = C.gram_hashes(w.hashes, ANCHOR)
+            elif what == "first":
+                self.held[what] = C.gram_hashes(w.hashes, WINDOW, 0)
+            else:
+                # Windows under the second key rest on words under the second key.
+                self.held[what] = C.gram_hashes(C.word_hashes(w.data, w.starts, w.ends, self.salt ^ 0x5DEECE66D), WINDOW, 1)
+        return self.held[what]
 
 
 class _Text:
-    """One text of a chunk: its word hashes, and those under the second key when they are asked for."""
+    """One text of a chunk, by its word numbers a .. b - 1."""
 
-    __slots__ = ("row", "words", "i", "hashes", "held", "salt")
+    __slots__ = ("row", "chunk", "i", "a", "b")
 
-    def __init__(self, row: int, words: C.Words, i: int, held: list, salt: int):
-        self.row, self.words, self.i, self.held, self.salt = row, words, i, held, salt
-        self.hashes = words.hashes[words.first[i] : words.first[i + 1]]
+    def __init__(self, row: int, chunk: _Chunk, i: int, a: int, b: int):
+        self.row, self.chunk, self.i, self.a, self.b = row, chunk, i, a, b
 
-    def first_windows(self) -> np.ndarray:
-        return C.gram_hashes(self.hashes, WINDOW, 0)
+    def __len__(self) -> int:
+        return self.b - self.a
 
-    def second_windows(self) -> np.ndarray:
-        if not self.held:
-            w = self.words
-            self.held.append(C.word_hashes(w.data, w.starts, w.ends, self.salt ^ 0x5DEECE66D))
-        w = self.words
-        return C.gram_hashes(self.held[0][w.first[self.i] : w.first[self.i + 1]], WINDOW, 1)
+    def windows(self, what: str) -> np.ndarray:
+        """Hash of each window: "first" or "second"."""
+        return self.chunk.grams(what)[self.a : max(self.a, self.b - WINDOW + 1)]
+
+    def fingerprints(self) -> np.ndarray:
+        """Fingerprint of each window."""
+        if len(self) < WINDOW:
+            return np.zeros(0, C.U)
+        return sliding_min(self.chunk.grams("anchors")[self.a : self.b - ANCHOR + 1], WINDOW - ANCHOR + 1)
 
     def first_places(self, at: np.ndarray | None = None) -> np.ndarray:
         """First position of each distinct window, in order; of those at the given positions only."""
-        w1 = self.first_windows()
-        at = np.arange(len(w1)) if at is None else at
-        if not len(at):
+        w1 = self.windows("first")
+        if at is not None:
+            w1 = w1[at]
+        if not len(w1):
             return np.zeros(0, np.int64)
-        w1 = w1[at]
         order = np.argsort(w1, kind="stable")
-        same = w1[order[1:]] == w1[order[:-1]]
+        rising = w1[order]
+        same = rising[1:] == rising[:-1]
         if same.any():
-            w2 = self.second_windows()[at]
+            w2 = self.windows("second") if at is None else self.windows("second")[at]
             if (w2[order[1:]][same] != w2[order[:-1]][same]).any():
                 # Windows that differ share their first hash: sort by both.
                 order = np.lexsort((np.arange(len(w1)), w2, w1))
                 same = (w1[order[1:]] == w1[order[:-1]]) & (w2[order[1:]] == w2[order[:-1]])
-        return np.sort(at[order[np.r_[True, ~same]]])
+            order = order[np.concatenate([[True], ~same])]
+        elif at is None:
+            return np.arange(len(w1))
+        return np.sort(order if at is None else at[order])
 
 
 def _per_text(batch: pa.RecordBatch, column: int, salt: int) -> Iterator[_Text]:
@@ -107,9 +126,9 @@ def _per_text(batch: pa.RecordBatch, column: int, salt: int) -> Iterator[_Text]:
     data, off = C.text_buffers(batch.column(column))
     for lo, hi in C.row_chunks(off):
         words = C.words_of(data, off, lo, hi, key=salt)
-        held: list = []
+        chunk, first = _Chunk(words, salt), words.first.tolist()
         for i in range(hi - lo):
-            yield _Text(lo + i, words, i, held, salt)
+            yield _Text(lo + i, chunk, i, first[i], first[i + 1])
 
 
 def _int_lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -128,18 +147,19 @@ def sketches(given: DataFrame, salt: int) -> DataFrame:
             n, s1, s2, prints, twice = [], [], [], [], []
             texts = batch.column(2)
             for t in _per_text(batch, 2, salt):
-                n.append(len(t.hashes))
+                n.append(len(t))
                 digest = hashlib.sha256(b" ".join(texts[t.row].as_buffer().to_pybytes().split())).digest()
                 s1.append(int.from_bytes(digest[:8], "little", signed=True))
                 s2.append(int.from_bytes(digest[8:16], "little", signed=True))
-                f = fingerprints(t.hashes)
+                f = t.fingerprints()
                 prints.append(np.unique(f))
-                if len(f):
+                first = t.first_places()
+                if len(first) < len(f):
                     again = np.ones(len(f), bool)
-                    again[t.first_places()] = False
+                    again[first] = False
                     twice.append(np.unique(f[again]))
                 else:
-                    twice.append(f)
+                    twice.append(f[:0])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _int_lists(prints), _int_lists(twice)],
                 ["doc_id", "row", "n_words", "s1", "s2", "prints", "twice"],
@@ -333,13 +353,13 @@ def candidate_windows(given: DataFrame, candidates: DataFrame, salt: int) -> Dat
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             prints = batch.column(3)
             for t in _per_text(batch, 2, salt):
-                if not prints[t.row].is_valid or len(t.hashes) < WINDOW:
+                if not prints[t.row].is_valid or len(t) < WINDOW:
                     continue
-                at = np.flatnonzero(np.isin(fingerprints(t.hashes), np.sort(np.asarray(prints[t.row].values).view(C.U))))
+                at = np.flatnonzero(np.isin(t.fingerprints(), np.sort(np.asarray(prints[t.row].values).view(C.U))))
                 if not len(at):
                     continue
                 at = t.first_places(at)
-                w1, w2 = t.first_windows(), t.second_windows()
+                w1, w2 = t.windows("first"), t.windows("second")
                 for col, x in zip(cols, (w1[at], w2[at], np.full(len(at), ids[t.row], np.int64), np.full(len(at), keys[t.row], np.int64), at.astype(np.int32))):
                     col.append(x)
             w1, w2, d, r, p = (np.concatenate(c) for c in cols)
@@ -362,21 +382,23 @@ def repeated_places(windows: DataFrame) -> DataFrame:
 
 def _kept(t: _Text, places: np.ndarray | None, copy: bool) -> np.ndarray:
     """Which words of a text stay."""
-    n = len(t.hashes)
+    n = len(t)
     stay = np.ones(n, bool)
     if n < WINDOW:
         return stay
     if copy:
         return np.zeros(n, bool)
-    gone = np.ones(n - WINDOW + 1, bool)
-    gone[t.first_places()] = False
+    first, at = t.first_places(), np.zeros(0, np.int64)
+    if len(first) < n - WINDOW + 1:
+        gone = np.ones(n - WINDOW + 1, bool)
+        gone[first] = False
+        at = np.flatnonzero(gone)
     if places is not None and len(places):
-        gone[places] = True
-    if gone.any():
+        at = np.union1d(at, places)
+    if len(at):
         steps = np.zeros(n + 1, np.int32)
-        at = np.flatnonzero(gone)
-        np.add.at(steps, at, 1)
-        np.add.at(steps, at + WINDOW, -1)
+        steps[at] += 1
+        steps[at + WINDOW] -= 1
         stay = np.cumsum(steps[:n]) == 0
     return stay
 
@@ -410,9 +432,9 @@ def _without_repeats(given: DataFrame, first: DataFrame, places: DataFrame, salt
             for t in _per_text(batch, 1, salt):
                 p = places[t.row]
                 stay = _kept(t, np.asarray(p.values) if p.is_valid else None, not firsts[t.row])
-                kept = _joined(t.words, t.i, stay)
-                n.append(len(t.hashes))
-                removed.append(len(t.hashes) - int(stay.sum()))
+                kept = _joined(t.chunk.words, t.i, stay)
+                n.append(len(t))
+                removed.append(len(t) - int(stay.sum()))
                 out.append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
@@ -431,12 +453,14 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", d
     work = work or C.shared_dir(spark)
     given = C.keyed_texts(docs, key, text, row=True)
     index = FingerprintIndex(spark, f"{work}/index")
-    known = C.stored(sketches(given, index.salt), f"{work}/known")
-    # Of documents with the same words only the first takes part; the others lose everything.
-    first = index.add_wholes(known, work)
-    taking = known.join(first, ["doc_id", "row"], "left_semi").select("doc_id", "prints", "twice")
-    candidates = C.stored(_by_row(candidate_prints(taking, index, work, batches), first), f"{work}/candidates")
-    index.close()
+    try:
+        known = C.stored(sketches(given, index.salt), f"{work}/known")
+        # Of documents with the same words only the first takes part; the others lose everything.
+        first = index.add_wholes(known, work)
+        taking = known.join(first, ["doc_id", "row"], "left_semi").select("doc_id", "prints", "twice")
+        candidates = C.stored(_by_row(candidate_prints(taking, index, work, batches), first), f"{work}/candidates")
+    finally:
+        index.close()
     C.drop_dir(spark, f"{work}/index")
     C.release(spark)
     places = repeated_places(candidate_windows(given, candidates, index.salt))
@@ -452,19 +476,21 @@ def add_batch(docs: DataFrame, history: DataFrame, path: str, key: str = "doc_id
     spark = docs.sparkSession
     work = work or C.shared_dir(spark)
     index = FingerprintIndex(spark, path)
-    given = C.keyed_texts(docs, key, text, row=True)
-    known = C.stored(sketches(given, index.salt), f"{work}/known")
-    ends = known.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    if index.last is not None and ends.lo is not None and ends.lo <= index.last:
-        raise ValueError(f"the batch begins at {ends.lo}, but the index holds documents up to {index.last}")
-    first = index.add_wholes(known, work)
-    hits = index.add(print_rows(known.join(first, ["doc_id", "row"], "left_semi")), f"{work}/batch")
-    old_ids = C.stored(hits.join(first, "doc_id", "left_anti").select("doc_id").distinct(), f"{work}/old-ids")
-    old = C.keyed_texts(history, key, text, row=True).join(old_ids, "doc_id", "left_semi")
-    candidates = C.stored(_by_row(hits, first.union(old.select("doc_id", "row").distinct())), f"{work}/candidates")
-    windows = C.stored(candidate_windows(given.union(old), candidates, index.salt), f"{work}/windows")
-    places = C.stored(_places(index.add_windows(windows)).join(first, ["doc_id", "row"], "left_semi"), f"{work}/places")
-    index.last = ends.hi if ends.hi is not None else index.last
-    index.commit()
-    index.close()
+    try:
+        given = C.keyed_texts(docs, key, text, row=True)
+        known = C.stored(sketches(given, index.salt), f"{work}/known")
+        ends = known.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+        if index.last is not None and ends.lo is not None and ends.lo <= index.last:
+            raise ValueError(f"the batch begins at {ends.lo}, but the index holds documents up to {index.last}")
+        first = index.add_wholes(known, work)
+        hits = index.add(print_rows(known.join(first, ["doc_id", "row"], "left_semi")), f"{work}/batch")
+        old_ids = C.stored(hits.join(first, "doc_id", "left_anti").select("doc_id").distinct(), f"{work}/old-ids")
+        old = C.keyed_texts(history, key, text, row=True).join(old_ids, "doc_id", "left_semi")
+        candidates = C.stored(_by_row(hits, first.union(old.select("doc_id", "row").distinct())), f"{work}/candidates")
+        windows = C.stored(candidate_windows(given.union(old), candidates, index.salt), f"{work}/windows")
+        places = C.stored(_places(index.add_windows(windows)).join(first, ["doc_id", "row"], "left_semi"), f"{work}/places")
+        index.last = ends.hi if ends.hi is not None else index.last
+        index.commit()
+    finally:
+        index.close()
     return _without_repeats(given, first, places, index.salt, False)
