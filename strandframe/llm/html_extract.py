@@ -56,15 +56,16 @@ _CONTAINER = frozenset("article main section div body td blockquote center".spli
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = _BLOCK - {"br"}
 _STOPS = frozenset("table ul ol dl div article section body html main blockquote td th".split())
-#: Words in class, id or role that name what is not the article.
+#: Words in class, id or role that name what is not the article; outside of one, a single word of a longer name is enough.
 _PLAIN = frozenset(
-    "ad ads adbox adslot adunit adsense adsbygoogle advert adverts advertisement advertisements advertising advertorial banner banners promo promos promotion promoted sponsor sponsored sponsors "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars masthead topbar cookie cookies consent gdpr notice notices notification notifications popup popups modal modals newsletter "
-    "subscribe subscription signup login share sharing sharebar social related recommended recommendations comment comments commenting commentlist disqus replies respond widget widgets pagination pager toolbar "
-    "footer footers contentinfo complementary dialog alertdialog outbrain taboola paywall copyright teaser teasers".split()
+    "ad ads adbox adslot adunit adsense adsbygoogle advert adverts advertisement advertisements advertising advertorial banner banners promo promos sponsor sponsored sponsors "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars masthead topbar cookie cookies consent gdpr popup popups modal modals newsletter "
+    "subscribe subscription signup login sharebar comment comments commenting commentlist disqus pagination pager toolbar footer footers contentinfo complementary alertdialog outbrain taboola paywall".split()
 )
+#: The same, but the whole name must say so.
+_WHOLE = frozenset("notice notices notification notifications announcement announcements alert alerts related recommended recommendations share sharing social promotion promoted widget widgets copyright teaser teasers dialog respond replies".split())
 #: Words that name such parts too, but have other meanings in an article.
-_DOUBTFUL = frozenset("rail foot announcement announcements alert alerts warning disclaimer disclaimers overlay recommend reply response responses discussion skip tag tags tagcloud search form forms hidden legal toc".split())
+_DOUBTFUL = frozenset("rail foot warning disclaimer disclaimers overlay recommend reply response responses discussion skip tag tags tagcloud search form forms hidden legal toc".split())
 #: Words of a name that say nothing of the content.
 _LAYOUT = frozenset(
     "area bar block body bottom box btn button buttons card cards cell center cloud col column component container content desktop element fixed float frame global grid group head heading holder icon icons inline inner item items label large "
@@ -145,8 +146,8 @@ def _named(name: str, within: bool) -> int:
     parts = [x for x in _PARTS.findall(_CAMEL.sub("-", name).lower()) if not x.isdigit()]
     if not parts or not _STATE.isdisjoint(parts):
         return 0
-    whole = all(x in _PLAIN or x in _DOUBTFUL or x in _HEADERS or x in _LAYOUT or len(x) == 1 for x in parts)
-    if not _PLAIN.isdisjoint(parts) and (whole or not within):
+    whole = all(x in _PLAIN or x in _WHOLE or x in _DOUBTFUL or x in _HEADERS or x in _LAYOUT or len(x) == 1 for x in parts)
+    if not _PLAIN.isdisjoint(parts) and (whole or not within) or whole and not _WHOLE.isdisjoint(parts):
         return 2
     if whole and not _HEADERS.isdisjoint(parts) and not within and _ARTICLE.isdisjoint(parts):
         return 2

@@ -26,6 +26,8 @@ def text_of(page, path=None):
     ("<aside><p>By the way, more.</p></aside>", False),
     ("<header class='header'><h2>Heading of it</h2></header>", True),
     ("<div class='related_posts'><p>More to read here.</p></div>", False),
+    ("<div class='related-work'><p>Others did this, too.</p></div>", True),
+    ("<div class='alert'>Service is down, today.</div>", False),
 ])
 def test_names_inside_an_article(inner, stays):
     page = f"<body><article><h1>T</h1><p>{FILL}</p>{inner}<p>Tail, too.</p></article></body>"
