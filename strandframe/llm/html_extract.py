@@ -366,12 +366,22 @@ def best_container(found: list[Block], scores: list[float]) -> int:
         used[b.node] = True
     for node in range(len(used) - 1, 0, -1):
         used[tree.parent[node]] |= used[node]
-    nodes = [n for n in range(1, len(used)) if used[n]]
-    if not nodes:
+    most = max((scores[n] for n in range(1, len(used)) if used[n]), default=None)
+    if most is None:
         return 0
-    most = max(scores[n] for n in nodes)
-    tied = [n for n in nodes if scores[n] == most]
-    return tied[0] if len(tied) == 1 else min(tied, key=lambda n: tree.path(n).split("/"))
+    # Of those that share the highest score the one with the smallest path: down from the root by the smallest step.
+    holds = [n > 0 and used[n] and scores[n] == most for n in range(len(used))]
+    tied, least = holds.copy(), {}
+    for node in range(len(used) - 1, 0, -1):
+        if holds[node]:
+            up = tree.parent[node]
+            holds[up] = True
+            if up not in least or tree.step[node] < tree.step[least[up]]:
+                least[up] = node
+    node = 0
+    while not tied[node]:
+        node = least[node]
+    return node
 
 
 def extract(found: list[Block], path: str | None) -> str:
