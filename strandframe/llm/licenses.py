@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from typing import NamedTuple
 
@@ -189,25 +190,22 @@ class Scanner:
         if "spdx-license-identifier" in low and (name := self.identifier(text)):
             return name, 1.0, 4 >= FILE_SHARE * len(terms(text))
         best: tuple[float, int, str | None, bool] = (0.0, 0, None, False)
-        lines = low.split("\n")
-        before = 0
-        for i, line in enumerate(lines):
-            words = _WORD.findall(line)
-            own = len(words)
-            if _CUE.search(line):
-                cues = {len(_WORD.findall(line[: m.start()])) for m in _CUE.finditer(line)}
-                starts = sorted({0} | {max(0, k - d) for k in cues for d in range(LEAD + 1)})
-                j = i + 1
-                while len(words) < starts[-1] + self.longest and j < len(lines):
-                    words += _WORD.findall(lines[j])
-                    j += 1
-                score, n, name, head, s = self.best(words, starts)
-                if (score, n) > best[:2]:
-                    best = (score, n, name, head and before + s <= TITLE_WORDS)
-            before += own
+        lines, words, first = low.split("\n"), [], []
+        for line in lines:
+            first.append(len(words))
+            words += _WORD.findall(line)
+        for line, before in zip(lines, first):
+            if not _CUE.search(line):
+                continue
+            places = [m.start() for m in _WORD.finditer(line)]
+            cues = {bisect_left(places, m.start()) for m in _CUE.finditer(line)}
+            starts = sorted({0} | {max(0, k - d) for k in cues for d in range(LEAD + 1)})
+            score, n, name, head, s = self.best(words[before : before + starts[-1] + self.longest], starts)
+            if (score, n) > best[:2]:
+                best = (score, n, name, head and before + s <= TITLE_WORDS)
         if best[0] < THRESHOLD:
             return None, best[0], False
-        return best[2], best[0], best[3] or best[1] >= FILE_SHARE * len(terms(text))
+        return best[2], best[0], best[3] or best[1] >= FILE_SHARE * len(words)
 
 
 def inverse_frequencies(files: DataFrame, text: str = "text", templates=TEMPLATES) -> tuple[dict[str, float], float]:
