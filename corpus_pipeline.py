@@ -23,7 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that an earlier line is alike; a document that loses all its words goes."""
+    """Takes out lines that an earlier line equals or is one word edit away from; a document that loses all its words goes."""
     return line_dedup.drop_lines(docs)
 
 
@@ -53,8 +53,8 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: A learned lexicon and BPE are beyond SQL; tests/llm holds the stages' operators against brute force,
-#: the tokenizers library and held-out rows.
+#: A learned lexicon and BPE are beyond SQL; tests/llm/test_brute.py holds every stage against brute force
+#: over a table with planted cases, and the last against the tokenizers library.
 ORACLE_SQL = None
 
 
