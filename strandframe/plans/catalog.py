@@ -513,7 +513,7 @@ def bit_powers(spark, sf):
     f"with {_X}, y as (select l_orderkey, l_linenumber, x, l_orderkey y, ~x z from n) select l_orderkey, l_linenumber, (x & 1) = 1 is_odd, length(ltrim(bin(x), '0')) <> length(ltrim(bin(y), '0')) other_log, "
     "xor(x, 40) both_changed, case when (x & 8) <> 0 then x | 1024 else x & ~cast(1024 as bigint) end copied, case when ((x >> 2) & 1) <> ((x >> 9) & 1) then xor(x, 516) else x end exchanged, z & (-z) low_zero, "
     "cast(1 as bigint) << cast(62 as bigint) high_zero_of_max, x | (cast(1 as bigint) << cast(62 as bigint)) high_zero_set, cast(62 as int) high_zero_index, (x & y) + (xor(x, y) >> 1) mean, (x | y) - (xor(x, y) >> 1) ceil_mean, "
-    "cast(length(ltrim(bin(x), '0')) as int) low_ones, x & 4080 middle, coalesce(list_filter(range(0, 64), lambda i: ((x >> cast(i as bigint)) & 1) = 1)[3], -1) third_one from y"
+    "cast(length(ltrim(bin(x), '0')) as int) low_ones, x & 4080 middle, y << 13 turned_left, y turned_right, (y & 127) << 56 bytes_swapped, coalesce(list_filter(range(0, 64), lambda i: ((x >> cast(i as bigint)) & 1) = 1)[3], -1) third_one from y"
 )
 def bit_more(spark, sf):
     """Bit functions that popcount, bit_ops and bit_powers leave; x is below 2**62, so its two highest zeros are the sign and bit 62."""
@@ -524,7 +524,8 @@ def bit_more(spark, sf):
         "l_orderkey", "l_linenumber", bits.is_odd("x").alias("is_odd"), bits.other_highest_one("x", "l_orderkey").alias("other_log"), bits.swap_unequal_bits("x", 3, 5).alias("both_changed"),
         bits.copy_bit("x", 3, 10).alias("copied"), bits.swap_bits("x", 2, 9).alias("exchanged"), bits.lowest_zero("x").alias("low_zero"), bits.highest_zero(low).alias("high_zero_of_max"),
         bits.set_highest_zero(low).bitwiseAND(ones).alias("high_zero_set"), bits.highest_zero_index(low).alias("high_zero_index"), bits.average("x", "l_orderkey").alias("mean"), bits.ceil_average("x", "l_orderkey").alias("ceil_mean"),
-        bits.count_low_ones(bits.mask(62).bitwiseAND(F.expr("shiftrightunsigned(-1L, cast(64 - length(bin(x)) as int))"))).alias("low_ones"), F.col("x").bitwiseAND(bits.block(4, 8)).alias("middle"), bits.nth_one_index("x", 2).cast("long").alias("third_one"),
+        bits.count_low_ones(bits.mask(62).bitwiseAND(F.expr("shiftrightunsigned(-1L, cast(64 - length(bin(x)) as int))"))).alias("low_ones"), F.col("x").bitwiseAND(bits.block(4, 8)).alias("middle"),
+        bits.rotate_left("l_orderkey", 13).alias("turned_left"), bits.rotate_right(F.shiftleft("l_orderkey", 5), 5).alias("turned_right"), bits.swap_bytes(F.col("l_orderkey").bitwiseAND(F.lit(127))).alias("bytes_swapped"), bits.nth_one_index("x", 2).cast("long").alias("third_one"),
     )
 
 
@@ -644,6 +645,14 @@ def snp_select(spark, sf):
     return V.select_snps(*_parsed(spark, sf), spacing=False)
 
 
+@query(f"with {_SNP} select rsid, chrom, pos, alt from sel")
+def snp_sink(spark, sf):
+    """Selected variants written as a list file and read as any such list."""
+    folder = f"{D.work_dir(spark)}/selected"
+    variants.write_snps(V.select_snps(*_parsed(spark, sf), spacing=False), folder)
+    return variants.read_snps(spark, folder).select("rsid", "chrom", "pos", "alt")
+
+
 @query(
     f"with recursive {_SNP}, s(chrom, pos) as (select chrom, min(pos) from sel group by chrom union all select chrom, n from (select s.chrom, (select min(x.pos) from sel x where x.chrom = s.chrom and x.pos > s.pos + 54) n from s) where n is not null) "
     "select rsid, chrom, pos, alt from sel join s using (chrom, pos)"
