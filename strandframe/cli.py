@@ -16,7 +16,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.operators import archive, assign, genome
+from strandframe.operators import archive, genome
 from strandframe.sources import fastx, variants
 
 log = logging.getLogger("strandframe")
@@ -79,7 +79,7 @@ def build_index(spark: SparkSession, paths: list[str], out: str, snps: str | Non
     if snps:
         genome.located(variants.read_snps(spark, snps), ctg).write.mode("overwrite").parquet(f"{out}/snp")
         alternate = genome.alternate_windows(ctg, spark.read.parquet(f"{out}/snp"))
-    genome.store_index(genome.distinct_windows(genome.windows(ctg), alternate), f"{out}/ref_window")
+    genome.store_index(genome.distinct_windows(genome.windows(ctg, once=True), alternate), f"{out}/ref_window")
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
@@ -93,8 +93,8 @@ def encode_files(spark: SparkSession, index: str, paths: list[str], out: str, bl
     # Reads are numbered once and stored: the encoder goes over them for placing, order and checksums.
     fastx.with_ordinals(fastx.read_fastx(spark, paths)).write.mode("overwrite").parquet(f"{out}/.reads")
     reads = spark.read.parquet(f"{out}/.reads")
-    windows = load_index(spark, index)
-    archive.encode(reads, windows, out, dict(enumerate(names)), block, preset, tries, assign.hot_seeds(windows))
+    hot = genome.stored_hot_seeds(spark, f"{index}/ref_window")
+    archive.encode(reads, load_index(spark, index), out, dict(enumerate(names)), block, preset, tries, hot)
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/.reads")
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -59,16 +59,7 @@ def index_of(probe: DataFrame, ctg: DataFrame, alternate: DataFrame | None = Non
     seeds = seed_bitmap(probe)
     if alternate is not None:
         alternate = alternate.join(probe.select("seed").distinct(), "seed", "left_semi")
-    return distinct_windows(windows(ctg, seeds), alternate)
-
-
-#: Seeds with more distinct windows than this are looked up by a word as well.
-HOT_SEED = 4096
-
-
-def hot_seeds(index: DataFrame, limit: int = HOT_SEED) -> DataFrame:
-    """(seed) of the seeds with more than `limit` windows; of a stored index no row is moved for it."""
-    return index.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("seed")
+    return distinct_windows(windows(ctg, seeds, once=True), alternate)
 
 
 def _words(hi: str, lo: str) -> list:

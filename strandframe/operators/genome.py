@@ -86,15 +86,30 @@ def _window_rows(pos: list[np.ndarray], hi: list[np.ndarray], lo: list[np.ndarra
     return pa.RecordBatch.from_arrays([*map(pa.array, cat), pa.array((cat[2] & SEED_MASK).astype(np.int32))], ["gpos", "hi", "lo", "seed"])
 
 
-def windows(ctg: DataFrame, seeds: bytes | None = None) -> DataFrame:
+def _combined(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Windows of a batch once each, with their smallest place and n, how often they are there."""
+    pos, hi, lo = (np.asarray(batch.column(i)) for i in range(3))
+    mixed = hi.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lo.view(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    order = np.argsort(mixed, kind="stable")
+    a, b = hi[order], lo[order]
+    # Windows that are not next to each other for a shared mixture stay apart: they are met again behind the shuffle.
+    edge = np.flatnonzero(np.concatenate([np.ones(min(len(a), 1), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    first, n = order[edge], np.diff(np.concatenate([edge, [len(a)]]))
+    least = np.minimum.reduceat(pos[order], edge) if len(a) else pos
+    return pa.RecordBatch.from_arrays([pa.array(least), pa.array(hi[first]), pa.array(lo[first]), batch.column(3).take(pa.array(first)), pa.array(n.astype(np.int64))], ["gpos", "hi", "lo", "seed", "n"])
+
+
+def windows(ctg: DataFrame, seeds: bytes | None = None, once: bool = False) -> DataFrame:
     """(gpos, hi, lo, seed) of every window of a contig that holds A, C, G, T only; windows do not cross contigs.
 
-    seeds: a bitmap of seed_bitmap(); windows with other seeds are not made into rows.
+    seeds: a bitmap of seed_bitmap(); windows with other seeds are not made into rows. once: equal windows of a batch are one
+    row with their number n, so that a repeat does not travel as often as it stands in the genome.
     """
     sent = ctg.sparkSession.sparkContext.broadcast(seeds) if seeds is not None else None
 
     def run(batches):
         wanted = np.frombuffer(sent.value, np.uint8) if sent is not None else None
+        shape = _combined if once else lambda batch: batch
         for batch in batches:
             pos, hi, lo, n = [], [], [], 0
             for offset, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -108,11 +123,11 @@ def windows(ctg: DataFrame, seeds: bytes | None = None) -> DataFrame:
                 lo.append(b)
                 n += len(at)
                 if n > 1 << 20:
-                    yield _window_rows(pos, hi, lo)
+                    yield shape(_window_rows(pos, hi, lo))
                     pos, hi, lo, n = [], [], [], 0
-            yield _window_rows(pos, hi, lo)
+            yield shape(_window_rows(pos, hi, lo))
 
-    return pieces(ctg).select("offset", "seq").mapInArrow(run, WINDOW_SCHEMA)
+    return pieces(ctg).select("offset", "seq").mapInArrow(run, WINDOW_SCHEMA + (", n long" if once else ""))
 
 
 def seed_bitmap(rows: DataFrame) -> bytes:
@@ -186,18 +201,30 @@ def alternate_windows(ctg: DataFrame, snps: DataFrame) -> DataFrame:
 
 
 def distinct_windows(plain: DataFrame, alternate: DataFrame | None = None) -> DataFrame:
-    """(hi, lo, seed, is_alt, gpos): each distinct window once; the reference goes before a variant, then the smallest place."""
+    """(hi, lo, seed, is_alt, gpos): each distinct window once; the reference goes before a variant, then the smallest place.
+
+    Windows are dealt by seed, which serves lookups by seed as well.
+    """
     # Flag and place in one long, so the minimum is a hash aggregation: the top bit but one is the flag.
     flag = 1 << 62
-    every = plain.select("hi", "lo", F.col("gpos").alias("p"))
+    every = plain.select("seed", "hi", "lo", F.col("gpos").alias("p"))
     if alternate is not None:
-        every = every.union(alternate.select("hi", "lo", F.col("gpos").bitwiseOR(F.lit(flag)).alias("p")))
-    least = every.groupBy("hi", "lo").agg(F.min("p").alias("p"))
-    return least.select("hi", "lo", F.col("lo").bitwiseAND(F.lit(SEED_MASK)).cast("int").alias("seed"), (F.col("p") >= flag).alias("is_alt"), F.col("p").bitwiseAND(F.lit(flag - 1)).alias("gpos"))
+        every = every.union(alternate.select("seed", "hi", "lo", F.col("gpos").bitwiseOR(F.lit(flag)).alias("p")))
+    least = every.repartition("seed").groupBy("seed", "hi", "lo").agg(F.min("p").alias("p"))
+    return least.select("hi", "lo", "seed", (F.col("p") >= flag).alias("is_alt"), F.col("p").bitwiseAND(F.lit(flag - 1)).alias("gpos"))
+
+
+#: Seeds with more distinct windows than this are looked up by a word as well.
+HOT_SEED = 4096
+
+
+def hot_seeds(index: DataFrame, limit: int = HOT_SEED) -> DataFrame:
+    """(seed) of the seeds with more than `limit` windows; of a stored index no row is moved for it."""
+    return index.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("seed")
 
 
 def store_index(index: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Writes distinct windows bucketed and sorted by seed, so that a lookup moves the probes alone; and the number of buckets beside them."""
+    """Writes distinct windows bucketed and sorted by seed, so that a lookup moves the probes alone; the number of buckets and the hot seeds beside them."""
     spark = index.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"windows_{uuid.uuid4().hex}"
@@ -205,6 +232,7 @@ def store_index(index: DataFrame, path: str, buckets: int | None = None) -> None
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     rows = index.select("seed", "hi", "lo", "is_alt", "gpos").repartition(buckets, "seed")
     rows.write.bucketBy(buckets, "seed").sortBy("seed").format("parquet").option("path", f"{path}/windows").saveAsTable(name)
+    hot_seeds(spark.table(name)).coalesce(1).write.mode("overwrite").parquet(f"{path}/hot")
     spark.sql(f"DROP TABLE {name}")
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
 
@@ -218,6 +246,12 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.table(name)
 
 
+def stored_hot_seeds(spark: SparkSession, path: str) -> DataFrame | None:
+    """The hot seeds of a stored index, None if it has none."""
+    hot = spark.read.parquet(f"{path}/hot")
+    return None if hot.isEmpty() else hot
+
+
 def window_text(hi="hi", lo="lo"):
     return F.concat(dna.kmer_text(hi, HALF), dna.kmer_text(lo, HALF))
 
@@ -229,7 +263,7 @@ def seed_groups(index: DataFrame) -> DataFrame:
 
 def distinct_per_seed(plain: DataFrame) -> DataFrame:
     """(seed, n) straight from windows: dealt by seed once, which serves the distinct windows and their count."""
-    return seed_groups(plain.select("seed", "hi", "lo").repartition("seed").groupBy("seed", "hi", "lo").agg(F.lit(1)))
+    return seed_groups(plain.select("seed", "hi", "lo").repartition("seed").distinct())
 
 
 def bucket_histogram(groups: DataFrame) -> DataFrame:

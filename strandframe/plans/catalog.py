@@ -217,19 +217,19 @@ def windows_with_n(spark, sf):
 @query(f"with {_WIN}, u as (select w, count(*) n, min(gpos) p from w group by w) select cast(n as bigint) copies, cast(count(*) as bigint) windows, cast(sum(p) as bigint) places from u group by n")
 def window_dedup(spark, sf):
     """How often distinct windows occur, with the sum of their first places."""
-    w = G.windows(_contigs(spark, sf)).groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min("gpos").alias("p"))
+    w = G.windows(_contigs(spark, sf), once=True).repartition("seed").groupBy("seed", "hi", "lo").agg(F.sum("n").alias("copies"), F.min("gpos").alias("p"))
     return w.groupBy("copies").agg(F.count("*").alias("windows"), F.sum("p").alias("places"))
 
 
 @query(f"with {_WIN} select cast(least(n, 257) as bigint) size, cast(count(*) as bigint) seeds from (select right(w, 14) s, count(*) n from (select distinct w from w) group by 1) group by 1")
 def seed_bucket_hist(spark, sf):
-    return G.bucket_histogram(G.distinct_per_seed(G.windows(_contigs(spark, sf))))
+    return G.bucket_histogram(G.distinct_per_seed(G.windows(_contigs(spark, sf), once=True)))
 
 
 @query(f"with {_WIN}, g as (select reverse(right(w, 8)) s, count(*) n from (select distinct w from w) group by 1) select s, cast(n as bigint) n, cast(sum(n) over (order by s) - n as bigint) first_rank from g")
 def seed_ranks(spark, sf):
     """First rank of each group of windows that end alike, in the order of reversed windows."""
-    w = G.distinct_windows(G.windows(_contigs(spark, sf)))
+    w = G.distinct_windows(G.windows(_contigs(spark, sf), once=True))
     groups = w.groupBy(F.col("lo").bitwiseAND(F.lit(0xFFFF)).alias("end8")).agg(F.count("*").alias("n")).select(F.reverse(dna.kmer_text("end8", 8)).alias("s"), "n")
     return G.first_ranks(groups.withColumn("code", dna.kmer_id("s")), "code", "n").select("s", "n", "first_rank")
 
@@ -240,7 +240,7 @@ def seed_ranks(spark, sf):
 )
 def window_rank(spark, sf):
     """Distinct windows in the order of their reversed text: ranks by the first four letters, and where the windows of each rank first stand."""
-    w = G.distinct_windows(G.windows(_contigs(spark, sf))).select(F.reverse(G.window_text()).alias("r"), "gpos")
+    w = G.distinct_windows(G.windows(_contigs(spark, sf), once=True)).select(F.reverse(G.window_text()).alias("r"), "gpos")
     ranked = R.places(w.withColumn("stretch", dna.kmer_id(F.substring("r", 1, 8))), "stretch", ["r"])
     return ranked.groupBy(F.substring("r", 1, 4).alias("word")).agg(F.min("rk").alias("first_rank"), F.max("rk").alias("last_rank"), F.sum(F.col("rk") * (F.col("gpos") % 997)).alias("mixed"))
 
@@ -744,11 +744,11 @@ def fastq_ordinals(spark, sf):
 
 @query(f"with {_BEST} select cast(rid as bigint) rid, s strand, t attempt, cast(h as int) mismatches, p gpos, cast(pos as bigint) pos from best where rn = 1")
 def stored_index(spark, sf):
-    """Reads placed by an index that is stored in buckets of seeds and opened again."""
+    """Reads placed by an index that is stored in buckets of seeds and opened again; seeds with more than 64 windows are looked up by a word."""
     path = f"{D.work_dir(spark)}/index"
-    G.store_index(G.distinct_windows(G.windows(_contigs(spark, sf))), path)
+    G.store_index(G.distinct_windows(G.windows(_contigs(spark, sf), once=True)), path)
     index = G.open_index(spark, path)
-    return A.assign(D.reads(spark, sf), index, hot=A.hot_seeds(index)).select("rid", "strand", "attempt", "mismatches", "gpos", "pos")
+    return A.assign(D.reads(spark, sf), index, hot=G.hot_seeds(index, 64)).select("rid", "strand", "attempt", "mismatches", "gpos", "pos")
 
 
 @query(f"with {SQL_R} select seq, cast(count(*) as bigint) n from rd group by 1")
@@ -778,6 +778,6 @@ def stream_place(spark, sf):
     """Reads placed as their files arrive, in a stream that ends with the files there are."""
     work = D.work_dir(spark)
     _read_files(spark, sf, work)
-    G.store_index(G.distinct_windows(G.windows(_contigs(spark, sf))), f"{work}/index")
+    G.store_index(G.distinct_windows(G.windows(_contigs(spark, sf), once=True)), f"{work}/index")
     ingest.place_arriving(spark, f"{work}/reads", G.open_index(spark, f"{work}/index"), f"{work}/placed", f"{work}/progress").awaitTermination()
     return spark.read.parquet(f"{work}/placed").select("name", "cls", "pos", "is_fwd")

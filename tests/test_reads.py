@@ -92,6 +92,15 @@ def test_windows(spark):
     assert got == want
 
 
+def test_windows_combined_in_batches(spark):
+    g = {"a": "ACGT" * 40 + "A" * 100, "b": "A" * 70, "c": "ACGT" * 20}
+    ctg = genome.contigs(spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(g.items())], "ord long, chrom string, seq string").coalesce(1))
+    plain = {(r.hi, r.lo): (r.p, r.n) for r in genome.windows(ctg).groupBy("hi", "lo").agg(F.min("gpos").alias("p"), F.count("*").alias("n")).collect()}
+    once = genome.windows(ctg, once=True)
+    assert {(r.hi, r.lo): (r.p, r.n) for r in once.groupBy("hi", "lo").agg(F.min("gpos").alias("p"), F.sum("n").alias("n")).collect()} == plain
+    assert once.count() < sum(n for _, n in plain.values()) and genome.windows(ctg.where("ctg_ord > 5"), once=True).collect() == []
+
+
 def test_long_contigs_are_cut(spark, monkeypatch):
     monkeypatch.setattr(genome, "PIECE", 100)
     s = _genome()["one"][:777]
@@ -134,7 +143,7 @@ def test_hot_seeds_lose_no_pair(spark, limit):
     index = genome.distinct_windows(genome.windows(genome.contigs(spark.createDataFrame(contigs, "ord long, chrom string, seq string"))))
     probe = assign.probes(spark.createDataFrame(reads_, "rid long, seq string"))
     plain = sorted(tuple(r) for r in assign.hits(probe, index).collect())
-    hot = assign.hot_seeds(index, limit)
+    hot = genome.hot_seeds(index, limit)
     assert sorted(tuple(r) for r in assign.hits(probe, index, hot).collect()) == plain and len(plain) > 300
     kept = assign.index_of(probe, genome.contigs(spark.createDataFrame(contigs, "ord long, chrom string, seq string")))
     assert sorted(tuple(r) for r in assign.hits(probe, kept).collect()) == plain and kept.count() <= index.count()
