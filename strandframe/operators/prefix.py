@@ -15,14 +15,16 @@ def sums_before(sizes: DataFrame, key: str, n: str, name: str) -> DataFrame:
     key: distinct longs. Keys are summed up in three levels, so the one task that sees the whole order has one row for each
     WIDTH * WIDTH stretch of keys.
     """
-    cut = sizes.withColumns({"_near": F.floor(F.col(key) / WIDTH), "_far": F.floor(F.floor(F.col(key) / WIDTH) / WIDTH)})
-    first = cut.groupBy("_near", "_far").agg(F.sum(n).alias("_sum"))
+    # Dealt once by stretches: the sums of stretches and the sums within them read the same shuffle. Left joins, since an inner
+    # one would filter its sides, and shuffles with other filters below are other shuffles.
+    cut = sizes.withColumns({"_near": F.floor(F.col(key) / WIDTH), "_far": F.floor(F.floor(F.col(key) / WIDTH) / WIDTH)}).repartition("_near")
+    first = cut.groupBy("_near", "_far").agg(F.sum(n).alias("_sum")).repartition("_far")
     second = first.groupBy("_far").agg(F.sum("_sum").alias("_total"))
     top = second.select("_far", (F.sum("_total").over(Window.orderBy("_far")) - F.col("_total")).alias("_top"))
     middle = first.withColumn("_middle", F.sum("_sum").over(Window.partitionBy("_far").orderBy("_near")) - F.col("_sum"))
-    middle = middle.join(top, "_far").select("_near", (F.col("_middle") + F.col("_top")).alias("_base"))
+    middle = middle.join(top, "_far", "left").select("_near", (F.col("_middle") + F.col("_top")).alias("_base"))
     within = F.sum(n).over(Window.partitionBy("_near").orderBy(key)) - F.col(n)
-    return cut.withColumn("_within", within).join(middle, "_near").withColumn(name, (F.col("_within") + F.col("_base")).cast("long")).select(*sizes.columns, name)
+    return cut.withColumn("_within", within).join(middle, "_near", "left").withColumn(name, (F.col("_within") + F.col("_base")).cast("long")).select(*sizes.columns, name)
 
 
 def ranges_hold(points: DataFrame, at: str, ranges: DataFrame, width: int = 1 << 20, how: str = "inner") -> DataFrame:
