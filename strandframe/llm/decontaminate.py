@@ -10,7 +10,7 @@ verified by the weighted share of their shingles that the window holds, with mul
 SIMILARITY or more is contamination.
 
 Blocks that must be equal would have to be three bits wide for such a radius, and nearly every
-pair shares one of those; of unrelated pairs 0.4 in a hundred agree in a block of 64 bits up to
+pair shares one of those; of unrelated pairs 0.3 in a hundred agree in a block of 64 bits up to
 19, and none of 240,000 is within RADIUS. Of windows that share 0.8 with an item about one in
 fifty thousand is beyond it. Windows without a single shingle of an item of that size have
 similarity 0 to all of them and get no fingerprint.
