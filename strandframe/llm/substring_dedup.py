@@ -237,6 +237,7 @@ class FingerprintIndex:
         self.buckets = found.get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         #: Largest doc_id taken in; a batch must begin behind it.
         self.last = found.get("last")
+
         def runs(name: str, schema: str, keys: list[str], *merge) -> SortedRuns:
             return SortedRuns(spark, f"{path}/{name}", schema, keys, list(merge), self.buckets, fanout, found.get(name, ()))
 
