@@ -45,16 +45,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/strandframe-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that removes the shuffle files of an execution when it ends, not when the driver next collects its garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
-    """Writes df as Parquet and reads it again: lineage is cut at a table that outlives executors."""
-    df.write.mode("overwrite").parquet(path)
+    """Writes df as Parquet and reads it again: lineage is cut at a table that outlives executors.
+
+    The shuffle files of the write go with its end: what comes after reads the table.
+    """
+    conf = df.sparkSession.conf
+    was = conf.get(FILE_CLEANUP, None)
+    conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.unset(FILE_CLEANUP) if was is None else conf.set(FILE_CLEANUP, was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Removes a folder of intermediate tables through Hadoop's file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop_dir(spark: SparkSession, *paths: str) -> None:
+    """Removes folders of intermediate tables through Hadoop's file system."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:

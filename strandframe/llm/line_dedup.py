@@ -216,7 +216,10 @@ def _words(line: str) -> list[bytes]:
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", work: str | None = None) -> DataFrame:
-    """(doc_id, row, numbers): the line numbers, from 0, that go."""
+    """(doc_id, row, numbers): the line numbers, from 0, that go.
+
+    That is a stored table, so the others are removed as soon as nothing reads them any more.
+    """
     spark = docs.sparkSession
     work = work or C.shared_dir(spark)
     salt = C.fresh_key()
@@ -232,10 +235,9 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", work
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     near = keys.join(shared, "key").groupBy("line", "check").agg(F.sort_array(F.collect_set(F.col("no").cast("int"))).alias("shared"))
     near = C.stored(distinct.select("line", "check", "place").join(near, ["line", "check"]), f"{work}/near")
-    C.release(spark)
     wanted = near.groupBy("place.doc_id", "place.row").agg(F.collect_list(F.struct(F.col("place.number").alias("number"), "line", "check", "shared")).alias("wanted"))
     texts = C.stored(line_texts(docs, wanted, key, text).dropDuplicates(["line", "check"]), f"{work}/texts")
-    C.release(spark)
+    C.drop_dir(spark, f"{work}/near")
 
     rows = C.stored(neighbourhood(texts, salt), f"{work}/variants").select("kind", "key", "line", "check", place.alias("place"))
     replaced, own, shorter = (rows.where(f"kind = {k}").select("key", "line", "check", "place") for k in (0, 1, 2))
@@ -245,11 +247,12 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", work
         met = one.join(first, "key").where("y.place < place").select("line", "check", F.col("y.line").alias("line_y"), F.col("y.check").alias("check_y"))
         pairs = met if pairs is None else pairs.union(met)
     alike = C.stored(_verified(pairs.distinct(), texts), f"{work}/alike")
+    C.drop_dir(spark, f"{work}/texts", f"{work}/variants")
 
     first_gone = distinct.join(alike, ["line", "check"]).select("place.doc_id", "place.row", "place.number")
     later = every.join(distinct.where("copies > 1").select("line", "check", "place"), ["line", "check"]).where(place != F.col("place")).select("doc_id", "row", "number")
     gone = C.stored(first_gone.union(later).groupBy("doc_id", "row").agg(F.collect_set("number").alias("numbers")), f"{work}/gone")
-    C.release(spark)
+    C.drop_dir(spark, f"{work}/lines", f"{work}/distinct", f"{work}/alike")
     return gone
 
 

@@ -246,13 +246,16 @@ def told_apart(known: DataFrame) -> tuple[DataFrame, frozenset[int]]:
 
 
 def link_classes(docs: DataFrame, known: DataFrame, clashing: frozenset[int], k: int, percent: int, work: str, key: str = "doc_id", text: str = "text", salt: int = 0) -> DataFrame:
-    """(node, label) over linked classes: label is the smallest class of the component. known: classes()."""
+    """(node, label) over linked classes: label is the smallest class of the component. known: classes(); work: a folder of this step alone."""
     spark = docs.sparkSession
     bands = Bands(percent)
     one = known.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     rows = block_rows(docs, k, percent, clashing, text, salt)
+    # Stored by itself: the shuffle of all block values is gone before the next one is made, as both take most of the disk.
     shared = rows.groupBy("block").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most")
-    members = C.stored(rows.join(shared.select("block"), "block").distinct(), f"{work}/members")
+    shared = C.stored(shared.select("block"), f"{work}/blocks")
+    members = C.stored(rows.join(shared, "block").distinct(), f"{work}/members")
+    C.drop_dir(spark, f"{work}/blocks")
     one = C.stored(one.join(members.select("cls").distinct(), "cls", "left_semi"), f"{work}/classes")
     # One text of each class; of equal rows, which share the row key, the first that a task meets.
     place = one.select("cls", F.col("at.doc_id").alias("at_id"), F.col("at.row").alias("at_row"))
@@ -305,15 +308,17 @@ def link_classes(docs: DataFrame, known: DataFrame, clashing: frozenset[int], k:
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", work: str | None = None, row: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) of every document; row: with the row key."""
-    work = work or C.shared_dir(docs.sparkSession)
+    spark = docs.sparkSession
+    work = work or C.shared_dir(spark)
     salt = C.fresh_key()
     known, clashing = told_apart(C.stored(classes(docs, k, key, text, salt), f"{work}/known"))
-    lab = link_classes(docs, known, clashing, k, percent, work, key, text, salt)
+    lab = link_classes(docs, known, clashing, k, percent, f"{work}/linked", key, text, salt)
     least = known.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     least = least.join(lab.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
     root = C.stored(least, f"{work}/least")
     top = root.groupBy("label").agg(F.min("least").alias("component_id"))
     of = C.stored(root.join(top, "label").select("cls", "component_id"), f"{work}/roots")
+    C.drop_dir(spark, f"{work}/linked", f"{work}/least")
     found = known.select("doc_id", "row", "n", "cls").join(of, "cls", "left")
     return found.select("doc_id", *(["row"] if row else []), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
