@@ -229,8 +229,7 @@ def seed_bucket_hist(spark, sf):
 @query(f"with {_WIN}, g as (select reverse(right(w, 8)) s, count(*) n from (select distinct w from w) group by 1) select s, cast(n as bigint) n, cast(sum(n) over (order by s) - n as bigint) first_rank from g")
 def seed_ranks(spark, sf):
     """First rank of each group of windows that end alike, in the order of reversed windows."""
-    w = G.distinct_windows(G.windows(_contigs(spark, sf), once=True))
-    groups = w.groupBy(F.col("lo").bitwiseAND(F.lit(0xFFFF)).alias("end8")).agg(F.count("*").alias("n")).select(F.reverse(dna.kmer_text("end8", 8)).alias("s"), "n")
+    groups = W.endings(W.of_genome(_contigs(spark, sf)), 8).select(F.reverse(dna.kmer_text("ending", 8)).alias("s"), "n")
     return G.first_ranks(groups.withColumn("code", dna.kmer_id("s")), "code", "n").select("s", "n", "first_rank")
 
 
