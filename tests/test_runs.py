@@ -78,3 +78,52 @@ def test_few_bytes_travel_for_a_window(spark):
     rng = random.Random(22)
     index = runs.of_genome(_contigs(spark, ["".join(rng.choice("ACGT") for _ in range(300_000))]))
     assert index.agg(F.sum(F.length("runs"))).first()[0] < 7 * 300_000
+
+
+def _found(hits):
+    return sorted((r.rid, r.strand, r.attempt, r.at, r.mismatches, r.gpos) for r in hits.collect())
+
+
+@pytest.mark.parametrize("many", [64, 2])
+def test_hits_in_runs_are_those_in_windows(spark, monkeypatch, tmp_path, many):
+    """Rows, counts and best hits, with and without storing; windows of one seed, variants, copies and repeats among them."""
+    rng = random.Random(23)
+    base = "".join(rng.choice("ACGT") for _ in range(54))
+    near = lambda s, n: "".join(rng.choice("ACGT") if i in set(rng.sample(range(40), n)) else b for i, b in enumerate(s))
+    texts = [*_texts(), *(near(base, rng.randrange(8)) for _ in range(40))]
+    reads = [(i, "ACGTAC" + near(base, rng.randrange(5)) + "GATTACAT") for i in range(30)] + [(100 + i, texts[0][7 * i : 7 * i + 100]) for i in range(40)]
+    reads_ = spark.createDataFrame([*reads, (200, "GT" * 50), (201, "ACG" * 30), (202, "N" * 80), (203, "ACGT")], "rid long, seq string")
+    ctg = _contigs(spark, texts)
+    snps = genome.located(spark.createDataFrame([(0, "c0", 50, "A"), (1, "c1", 120, "G"), (2, "c6", 60, "T")], "ord long, chrom string, pos long, alt string"), ctg)
+    alternate = genome.alternate_windows(ctg, snps)
+    rows, index = genome.distinct_windows(genome.windows(ctg), alternate), runs.of_genome(ctg, alternate)
+    probe = assign.probes(reads_)
+    want = _found(assign.hits(probe, rows))
+    if many != 64:  # in this process, since tasks read the module anew
+        p = np.array([(r.rid, r.strand, r.attempt, r["at"], r.hi, r.lo) for r in probe.collect()], assign.PROBE)
+        monkeypatch.setattr(assign, "MANY", many)
+        monkeypatch.setattr(assign, "PAIRS", 5)
+        w = rows.collect()
+        got = [x for pi, wi, d in assign._near(p, np.array([r.hi for r in w]), np.array([r.lo for r in w])) for x in zip(pi, wi, d)]
+        assert sorted((*(int(p[n][i]) for n in ("rid", "strand", "attempt", "at")), int(d), w[j].gpos) for i, j, d in got) == want
+        return
+    assert len(want) > 300 and _found(assign.hits(probe, index)) == want and _found(assign.hits(assign.packed_probes(reads_), index)) == want
+    assert {(r.mismatches, r.strand): r.n for r in assign.hit_counts(assign.packed_probes(reads_), index).collect()} == Counter((m, s) for _, s, _, _, m, _ in want)
+    placed = sorted(map(tuple, assign.assign(reads_, rows).collect()))
+    path = str(tmp_path / "index")
+    genome.store_index(index, path)
+    for held in (index, genome.open_index(spark, path)):
+        assert sorted(map(tuple, assign.assign(reads_, held).collect())) == placed
+
+
+def test_a_stored_index_is_small(spark, tmp_path):
+    """Rows of windows took 28 bytes; only probes are shuffled for a lookup."""
+    rng = random.Random(24)
+    text = "".join(rng.choice("ACGT") for _ in range(300_000))
+    path = str(tmp_path / "index")
+    genome.store_index(runs.of_genome(_contigs(spark, [text])), path)
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+    assert size < 8 * len(text)
+    placed = assign.assign(spark.createDataFrame([(1, text[1000:1100])], "rid long, seq string"), genome.open_index(spark, path))
+    assert placed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(grp") == 1
+    assert [(r.pos, r.mismatches) for r in placed.collect()] == [(1000, 0)]
