@@ -303,7 +303,7 @@ def seed_join(spark, sf):
 
 @query(f"with {_HIT} select cast(h as int) mismatches, s strand, cast(count(*) as bigint) n from hit group by 1, 2")
 def hamming_hits(spark, sf):
-    return A.hits(*_probed(spark, sf)).groupBy("mismatches", "strand").agg(F.count("*").alias("n"))
+    return A.hit_counts(*_probed(spark, sf))
 
 
 @query(f"with {_BEST} select cast(rid as bigint) rid, s strand, t attempt, cast(h as int) mismatches, p gpos, cast(pos as bigint) pos from best where rn = 1")
