@@ -1,56 +1,47 @@
 """K-mer counts.
 
-K-mers are coded by numpy over whole sequences and counted within each Arrow batch, so a
-shuffle sees distinct codes with counts; text is made for the final rows only. On 18
-million 14-mers this took 43 s as exploded strings in the JVM.
+K-mers are coded by numpy over whole sequences and counted by tasks, so a shuffle sees
+packed codes with counts; text is made for the final rows only.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions import dna
 
-from .genome import _CODE, codes
+from .genome import codes
+from .tally import tally
 
 
-def reverse_codes(code: np.ndarray, k: int) -> np.ndarray:
-    """Codes of the reverse complements of k-mers."""
-    x, out = ~code, np.zeros_like(code)
-    for _ in range(k):
-        out = out << 2 | x & 3
-        x = x >> 2
-    return out
-
-
-def counts(sequences: DataFrame, k: int, canonical: bool = False) -> DataFrame:
-    """(kmer, n) over the column seq; k-mers with other letters than A, C, G, T are left out. k is at most 31.
+def code_counts(sequences: DataFrame, k: int, canonical: bool = False) -> DataFrame:
+    """(code, n) of the k-mers of the column seq; those with other letters than A, C, G, T are left out. k is at most 31.
 
     canonical: a k-mer and its reverse complement count as the smaller of both.
     """
 
-    def run(batches):
-        for batch in batches:
-            found = [np.zeros(0, np.int64)]
-            for seq in batch.column(0).to_pylist():
-                c = _CODE[np.frombuffer((seq or "").encode("ascii", "replace"), np.uint8)]
-                if len(c) < k:
-                    continue
-                code = codes(c & 3, k)
-                if (c > 3).any():
-                    bad = np.r_[0, np.cumsum(c > 3)]
-                    code = code[bad[k:] == bad[: len(code)]]
-                found.append(np.minimum(code, reverse_codes(code, k)) if canonical else code)
-            code, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
-
-    got = sequences.select("seq").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return got.select(dna.kmer_text("code", k).alias("kmer"), "n")
+    def codes_of(c: np.ndarray) -> np.ndarray:
+        if len(c) < k:
+            return np.zeros(0, np.int64)
+        bad = np.zeros(len(c) + 1, np.int32)
+        np.cumsum(c > 3, out=bad[1:])
+        c = c & 3
+        code = codes(c, k)
+        if canonical:
+            # The reverse complement's k-mers stand in the opposite order.
+            code = np.minimum(code, codes(3 - c[::-1], k)[::-1])
+        return code[bad[k:] == bad[: len(code)]]
+
+    return tally(sequences.select(F.coalesce("seq", F.lit("")).cast("binary").alias("seq")), codes_of, 2 * k)
+
+
+def counts(sequences: DataFrame, k: int, canonical: bool = False) -> DataFrame:
+    """(kmer, n): code_counts() as text."""
+    return code_counts(sequences, k, canonical).select(dna.kmer_text("code", k).alias("kmer"), "n")
 
 
 def top(sequences: DataFrame, k: int, n: int, canonical: bool = True) -> DataFrame:
     """The n most frequent k-mers; ties go to the smaller."""
-    return counts(sequences, k, canonical).orderBy(F.desc("n"), "kmer").limit(n)
+    return code_counts(sequences, k, canonical).orderBy(F.desc("n"), "code").limit(n).select(dna.kmer_text("code", k).alias("kmer"), "n")

@@ -115,7 +115,7 @@ def _cut(seqs: list[bytes], offsets: list[int]) -> pa.RecordBatch:
 
 
 def chunked(batches, size: int = CHUNK) -> Iterator[tuple[list, ...]]:
-    """The columns of rows whose last one holds bytes, in lists of about `size` bytes, whatever an Arrow batch holds."""
+    """The columns of rows whose last one holds texts or bytes, in lists of about `size` signs, whatever an Arrow batch holds."""
     rows, n = [], 0
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
@@ -133,7 +133,8 @@ def of_genome(ctg: DataFrame, alternate: DataFrame | None = None) -> DataFrame:
 
     def run(batches):
         for offsets, seqs in chunked(batches):
-            yield _cut(seqs, offsets)
+            # A sign beyond ASCII is one place, as in the contigs' lengths.
+            yield _cut([s.encode("ascii", "replace") for s in seqs], offsets)
 
     def single(batches):
         for batch in batches:
@@ -141,7 +142,7 @@ def of_genome(ctg: DataFrame, alternate: DataFrame | None = None) -> DataFrame:
             arrays = [pos | ALTERNATE, hi << 10 | lo >> 44, lo << 20, np.ones(len(pos), np.uint8)]
             yield by_group(groups_of(lo & SEED_MASK), arrays, _pack, ["grp", "runs"])
 
-    out = pieces(ctg).select("offset", F.col("seq").cast("binary").alias("seq")).mapInArrow(run, SCHEMA)
+    out = pieces(ctg).select("offset", "seq").mapInArrow(run, SCHEMA)
     return out if alternate is None else out.union(alternate.select("gpos", "hi", "lo").mapInArrow(single, SCHEMA))
 
 
