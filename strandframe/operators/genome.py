@@ -142,18 +142,6 @@ def seed_bitmap(rows: DataFrame) -> bytes:
     return bytes(out)
 
 
-def seed_counts(ctg: DataFrame) -> DataFrame:
-    """(seed, n): windows of each seed, counted within Arrow batches before the shuffle."""
-
-    def run(batches):
-        for batch in batches:
-            low = [np.zeros(0, np.int64)] + [_packed(seq.encode("ascii", "replace"))[2] for seq in batch.column(0).to_pylist()]
-            seed, n = np.unique(np.concatenate(low) & SEED_MASK, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int32)), pa.array(n.astype(np.int64))], ["seed", "n"])
-
-    return pieces(ctg).select("seq").mapInArrow(run, "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-
-
 def located(snps: DataFrame, ctg: DataFrame) -> DataFrame:
     """(gpos, alt, ctg_ord, pos): variants on the global axis and in their contig; unknown chromosomes are dropped, the first of a position is kept.
 

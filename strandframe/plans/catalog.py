@@ -18,6 +18,7 @@ from strandframe.operators import kmers as K
 from strandframe.operators import reads as R
 from strandframe.operators import runs as W
 from strandframe.operators import snps as V
+from strandframe.operators import tally as T
 from strandframe.sources import fastx, variants
 from strandframe.streaming import ingest
 
@@ -201,7 +202,7 @@ def ref_contigs(spark, sf):
 @query(f"with {_WIN} select substring(w, 41, 4) word, cast(count(*) as bigint) n, cast(count(distinct substring(w, 41, 14)) as bigint) seeds from w group by 1")
 def ref_windows(spark, sf):
     """Windows by the first four bases of their seed."""
-    per = G.seed_counts(_contigs(spark, sf))
+    per = T.seed_counts(_contigs(spark, sf))
     words = per.groupBy(F.shiftright("seed", 20).alias("w")).agg(F.sum("n").alias("n"), F.count("*").alias("seeds"))
     return words.select(dna.kmer_text("w", 4).alias("word"), "n", "seeds")
 
