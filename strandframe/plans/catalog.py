@@ -212,8 +212,7 @@ def windows_with_n(spark, sf):
     """Places of windows, and those left out since they hold an N."""
     ctg = _contigs(spark, sf)
     places = ctg.agg(F.sum(F.greatest(F.col("length") - 53, F.lit(0))).alias("windows"))
-    made = G.seed_counts(ctg).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("made"))
-    return places.join(F.broadcast(made)).select("windows", (F.col("windows") - F.col("made")).alias("with_n"))  # one row each
+    return places.join(F.broadcast(T.window_count(ctg))).select("windows", (F.col("windows") - F.col("made")).alias("with_n"))  # one row each
 
 
 @query(f"with {_WIN}, u as (select w, count(*) n, min(gpos) p from w group by w) select cast(n as bigint) copies, cast(count(*) as bigint) windows, cast(sum(p) as bigint) places from u group by n")
