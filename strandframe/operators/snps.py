@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,19 +67,43 @@ def spaced(rows: DataFrame, distance: int = SPACING, width: int = 1 << 16) -> Da
     starts = sums.select("chrom", "_b", (F.sum("_n").over(Window.partitionBy("chrom").orderBy("_b")) - F.col("_n")).alias("_s"))
     run = Window.partitionBy("chrom", "_b").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     cut = cut.withColumn("_i", F.sum("_new").over(run)).join(starts, ["chrom", "_b"]).withColumn("_island", F.col("_s") + F.col("_i"))
-    columns = rows.columns
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start", kind="stable")
-        at = pdf["start"].to_numpy()
-        kept, i = [], 0
-        while i < len(at):
-            kept.append(i)
-            i = int(np.searchsorted(at, at[i] + distance, "right"))
-        return pdf.iloc[kept][columns]
-
-    # A group is a few hundred neighbouring stretches: the gap between two of them is too wide to matter.
-    return cut.groupBy("chrom", F.floor(F.col("_island") / ISLANDS)).applyInPandas(walk, rows.schema)
+    cut = cut.withColumn("_g", F.floor(F.col("_island") / ISLANDS))
+    keys, columns = ["chrom", "_g", "start"], rows.columns
+
+    def walk(batches):
+        last = None
+        for batch in batches:
+            chrom, group, start = (batch.column(batch.schema.get_field_index(k)) for k in keys)
+            kept, last = _walk(chrom.to_pylist(), np.asarray(group), np.asarray(start), distance, last)
+            yield batch.select(columns).take(pa.array(kept, pa.int64()))
+
+    # A group is a few hundred neighbouring stretches: the gap between two of them is too wide to matter. Groups of a
+    # partition follow each other, and there may be very many: each chromosome has one.
+    return cut.select(*columns, "_g").repartition("chrom", "_g").sortWithinPartitions(*keys).mapInArrow(walk, rows.schema)
+
+
+def _walk(chrom: list, group: np.ndarray, start: np.ndarray, distance: int, last: tuple | None) -> tuple[np.ndarray, tuple | None]:
+    """Numbers of the rows that are kept, and (chrom, group, start) of the last one kept; last: that of the rows before."""
+    if not len(start):
+        return np.zeros(0, np.int64), last
+    other = np.concatenate([[0], np.cumsum((group[1:] != group[:-1]) | np.fromiter((a != b for a, b in zip(chrom[1:], chrom[:-1])), bool, len(chrom) - 1))])
+    # Groups side by side on one axis, too far from each other to matter.
+    edge = np.flatnonzero(np.diff(other, prepend=-1))
+    end = np.append(edge[1:], len(start)) - 1
+    shift = np.concatenate([[0], np.cumsum(start[end[:-1]] - start[edge[1:]] + distance + 1)])
+    at = start + shift[other]
+    follows = np.searchsorted(at, at + distance, "right").tolist()
+    i = int(np.searchsorted(at, last[2] + distance, "right")) if last and last[:2] == (chrom[0], int(group[0])) else 0
+    # A row of the last one's group that is too near; the next group begins with a row that is kept.
+    if i and len(edge) > 1:
+        i = min(i, int(edge[1]))
+    kept = []
+    while i < len(at):
+        kept.append(i)
+        i = follows[i]
+    if kept:
+        last = chrom[kept[-1]], int(group[kept[-1]]), int(start[kept[-1]])
+    return np.array(kept, np.int64), last
 
 
 def select_snps(rows: DataFrame, contigs: DataFrame, spacing: bool = True) -> DataFrame:
