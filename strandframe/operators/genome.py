@@ -153,39 +153,63 @@ def located(snps: DataFrame, ctg: DataFrame) -> DataFrame:
     return at.groupBy("gpos").agg(F.min_by(F.struct("alt", "ctg_ord", "pos"), "ord").alias("v")).select("gpos", "v.*")
 
 
-def alternate_windows(ctg: DataFrame, snps: DataFrame) -> DataFrame:
-    """(gpos, hi, lo, seed) of the windows that cover a variant, with its base in place; one variant per window.
+def alternate_windows(ctg: DataFrame, snps: DataFrame, text: bool = False) -> DataFrame:
+    """(gpos, hi, lo, seed) of the windows that cover a variant, with its base in place; one variant per window. text: (gpos, w).
 
     Variants go to the pieces of their contig in which such windows start, one list for each piece, and only these windows
-    are cut. snps: located().
+    are cut, those of many variants at once. snps: located().
     """
     digit = F.instr(F.lit("ACGT"), F.col("alt")) - 1
     first, last = F.greatest(F.col("pos") - (dna.WINDOW - 1), F.lit(0)), F.col("pos")
     asked = snps.where(F.col("alt").rlike("^[ACGT]$")).select("ctg_ord", "gpos", digit.cast("int").alias("digit"), F.explode(F.array_distinct(F.array(F.floor(first / PIECE), F.floor(last / PIECE)))).alias("piece"))
     asked = asked.groupBy("ctg_ord", "piece").agg(F.collect_list(F.struct("gpos", "digit")).alias("variants"))
+    piece = PIECE
 
     def run(batches):
+        held = []
         for batch in batches:
-            for offset, seq, held in zip(*(c.to_pylist() for c in batch.columns)):
-                at, a, b = _packed(seq.encode("ascii", "replace"))
-                n = len(seq) - dna.WINDOW + 1
-                # Of each start the number of its window, or -1.
-                number = np.full(n, -1, np.int64)
-                number[at] = np.arange(len(at))
-                place = np.array([v["gpos"] for v in held], np.int64) - offset
-                digits = np.array([v["digit"] for v in held], np.int64)
-                starts = (place[:, None] - np.arange(dna.WINDOW)[None, :]).ravel()
-                off, base = np.tile(np.arange(dna.WINDOW), len(held)), np.repeat(digits, dna.WINDOW)
-                # A piece makes the windows that start in its first PIECE bases.
-                fit = (starts >= 0) & (starts < min(n, PIECE))
-                fit[fit] = number[starts[fit]] >= 0
-                starts, off, base = starts[fit], off[fit], base[fit]
-                hi, lo = a[number[starts]], b[number[starts]]
-                shift = 2 * (HALF - 1 - off % HALF)
-                changed = np.where(off < HALF, hi, lo) & ~(np.int64(3) << shift) | base << shift
-                yield _window_rows([starts + offset], [np.where(off < HALF, changed, hi)], [np.where(off < HALF, lo, changed)])
-
-    return pieces(ctg).join(asked, ["ctg_ord", "piece"]).select("offset", "seq", "variants").mapInArrow(run, WINDOW_SCHEMA)
+            for offset, seq, variants in zip(*(c.to_pylist() for c in batch.columns)):
+                for v in variants:
+                    place = v["gpos"] - offset
+                    # A piece makes the windows that start in its first PIECE bases.
+                    least, most = max(0, place - dna.WINDOW + 1), min(place, len(seq) - dna.WINDOW, piece - 1)
+                    if least <= most:
+                        held.append((seq[least : most + dna.WINDOW], offset + least, place - least, v["digit"]))
+                        if len(held) >= VARIANTS:
+                            yield made(held)
+                            held = []
+        if held:
+            yield made(held)
+
+    def made(held):
+        pos, hi, lo = _changed(*zip(*held))
+        return pa.RecordBatch.from_arrays([pa.array(pos), _texts(hi, lo)], ["gpos", "w"]) if text else _window_rows([pos], [hi], [lo])
+
+    return pieces(ctg).join(asked, ["ctg_ord", "piece"]).select("offset", "seq", "variants").mapInArrow(run, "gpos long, w string" if text else WINDOW_SCHEMA)
+
+
+#: Variants whose windows are cut at once.
+VARIANTS = 1 << 13
+
+
+def _changed(around: tuple[str, ...], start: tuple[int, ...], within: tuple[int, ...], digit: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first half, second half) of the windows of the bases around variants, with the variant's base in place."""
+    begin = np.cumsum([0] + [len(s) + 1 for s in around[:-1]])
+    at, hi, lo = _packed("N".join(around).encode("ascii", "replace"))
+    of = np.searchsorted(begin, at, "right") - 1
+    at = at - begin[of]
+    off, base = np.array(within, np.int64)[of] - at, np.array(digit, np.int64)[of]
+    shift = 2 * (HALF - 1 - off % HALF)
+    changed = np.where(off < HALF, hi, lo) & ~(np.int64(3) << shift) | base << shift
+    return np.array(start, np.int64)[of] + at, np.where(off < HALF, changed, hi), np.where(off < HALF, lo, changed)
+
+
+def _texts(hi: np.ndarray, lo: np.ndarray) -> pa.Array:
+    """window_text() of many windows."""
+    letters, shift = np.frombuffer(b"ACGT", np.uint8), np.arange(2 * HALF - 2, -1, -2)
+    grid = np.concatenate([letters[x[:, None] >> shift & 3] for x in (hi, lo)], axis=1)
+    ends = np.arange(len(hi) + 1, dtype=np.int32) * dna.WINDOW
+    return pa.StringArray.from_buffers(len(hi), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(grid)))
 
 
 def distinct_windows(plain: DataFrame, alternate: DataFrame | None = None) -> DataFrame:

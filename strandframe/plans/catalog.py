@@ -242,10 +242,17 @@ def window_rank(spark, sf):
     return W.rank_sums(W.of_genome(_contigs(spark, sf)), 997)
 
 
-def _variants(spark, sf):
+def _kept_genome(spark, sf):
+    """The genome written once and read again: its contigs are gone over several times, and letters cost more than bases."""
+    path = f"{D.work_dir(spark)}/contigs"
+    D.genome(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _variants(records):
     """A variant in the middle of every contig: the base's complement."""
     half = (F.length("seq") / 2).cast("int")
-    return D.genome(spark, sf).where(F.length("seq") > 0).select("ord", "chrom", half.cast("long").alias("pos"), dna.complement(F.substring(F.col("seq"), half + 1, F.lit(1))).alias("alt"))
+    return records.where(F.length("seq") > 0).select("ord", "chrom", half.cast("long").alias("pos"), dna.complement(F.substring(F.col("seq"), half + 1, F.lit(1))).alias("alt"))
 
 
 _OVERLAY = (
@@ -256,14 +263,15 @@ _OVERLAY = (
 
 @query(f"with {_OVERLAY} select gpos, w from ov")
 def snp_overlay(spark, sf):
-    ctg = _contigs(spark, sf)
-    return G.alternate_windows(ctg, G.located(_variants(spark, sf), ctg)).select("gpos", G.window_text().alias("w"))
+    records = _kept_genome(spark, sf)
+    ctg = G.contigs(records)
+    return G.alternate_windows(ctg, G.located(_variants(records), ctg), text=True)
 
 
 @query(f"with {_CTG} select cast(off + len // 2 as bigint) gpos, translate(substring(seq, len // 2 + 1, 1), 'ACGT', 'TGCA') alt from c where len > 0")
 def snp_list(spark, sf):
     """Variants by way of a list file: written, read, and put on the global axis."""
-    rows = _variants(spark, sf).select(F.concat_ws("\t", F.concat(F.lit("rs"), F.col("ord").cast("string")), "chrom", F.col("pos").cast("string"), F.lower("alt")).alias("value"))
+    rows = _variants(D.genome(spark, sf)).select(F.concat_ws("\t", F.concat(F.lit("rs"), F.col("ord").cast("string")), "chrom", F.col("pos").cast("string"), F.lower("alt")).alias("value"))
     unknown = rows.select(F.concat(F.lit("rs "), F.lit("nowhere 5 A")).alias("value")).limit(1)
     folder = f"{D.work_dir(spark)}/snps"
     D.write_lines(rows.union(unknown), folder)

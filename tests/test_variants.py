@@ -56,3 +56,11 @@ def test_windows_of_many_variants_are_one_batch(spark):
     located = genome.located(spark.createDataFrame(listed, "ord long, chrom string, pos long, alt string"), ctg)
     rows = genome.alternate_windows(ctg, located).select("gpos", genome.window_text().alias("w")).collect()
     assert {tuple(r) for r in rows} == want and len(rows) == sum(1 for r in genome.alternate_windows(ctg, located, text=True).collect() if (r.gpos, r.w) in want)
+
+
+def test_letters_become_bases_once(spark):
+    """Windows of variants go over the contigs several times."""
+    from strandframe.plans import catalog
+
+    plan = catalog.QUERIES["snp_overlay"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan
